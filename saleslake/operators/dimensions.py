@@ -110,33 +110,23 @@ def refresh_customers(
     is_changed = F.col("new").isNotNull() & changed(tracked, "old", "new", null_safe)
     same_day = F.col("old.effective_start_date") == on
 
-    def version(**values: Column) -> Column:
-        return F.struct(
-            *(values[f.name].cast(f.dataType).alias(f.name) for f in schemas.DIM_CUSTOMER.fields)
-        )
-
-    new_values = {c: F.col(f"new.{c}") for c in attributes}
-    old_values = {c: F.col(f"old.{c}") for c in columns}
     opened_on = day(first_start or as_of)
-    first = version(
-        customer_key=surrogate_key(F.col("customer_id"), opened_on.cast("string")),
-        customer_id=F.col("customer_id"),
-        **new_values,
-        effective_start_date=opened_on,
-        effective_end_date=F.date_sub("next_start", 1),
-        is_current=F.col("next_start").isNull(),
-    )
-    closed = version(**{**old_values, "effective_end_date": F.date_sub(on, 1), "is_current": F.lit(False)})
-    replacement = version(
-        **{
-            **old_values,
-            **new_values,
-            "customer_key": surrogate_key(F.col("customer_id"), on.cast("string")),
-            "effective_start_date": on,
-        }
+    first_values = {
+        "customer_key": surrogate_key(F.col("customer_id"), opened_on.cast("string")),
+        "customer_id": F.col("customer_id"),
+        "effective_start_date": opened_on,
+        "effective_end_date": F.date_sub("next_start", 1),
+        "is_current": F.col("next_start").isNull(),
+    }
+    first = F.struct(*(first_values.get(c, F.col(f"new.{c}")).alias(c) for c in columns))
+    kept = F.col("old")
+    closed = kept.withField("effective_end_date", F.date_sub(on, 1)).withField("is_current", F.lit(False))
+    replaced_in_place = kept
+    for c in attributes:
+        replaced_in_place = replaced_in_place.withField(c, F.col(f"new.{c}"))
+    replacement = replaced_in_place.withField("effective_start_date", on).withField(
+        "customer_key", surrogate_key(F.col("customer_id"), on.cast("string"))
     )
-    replaced_in_place = version(**{**old_values, **new_values})
-    kept = version(**old_values)
     versions = (
         F.when(is_new, F.array(first))
         .when(is_changed & same_day, F.array(replaced_in_place))
@@ -148,4 +138,4 @@ def refresh_customers(
 
 
 def empty_dimension(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], schemas.DIMENSIONS[name])
+    return schemas.empty(spark, schemas.DIMENSIONS[name])

@@ -25,6 +25,7 @@ from saleslake.operators.joins import lookup_join
 from saleslake.operators.upsert import upsert
 from saleslake.plans import reports
 from saleslake.plans.fact import build_sales, dropped_of, load_fact, resolve_lines
+from saleslake.session import together
 from saleslake.sinks.tables import (
     STAGING_RETENTION_DAYS,
     create_tables,
@@ -48,8 +49,8 @@ LATE_CHANNEL, DROPPED_CHANNEL = "SMS", "Email"
 # Deliveries up to this day make up the fact that later deliveries are merged into.
 FIRST_LOAD_UPTO = date(1998, 6, 30)
 
-# Ends of the ranges of a load in steps.
-STEP_ENDS = (date(1996, 12, 31), date(1998, 12, 31))
+# A load in steps is cut here, and some days around the cut are loaded again.
+STEP_CUT, STEP_OVERLAP = date(1998, 1, 1), timedelta(days=30)
 
 _samples: dict[tuple[str, str], SampleTables] = {}
 _stars: dict[tuple[str, str], Layout] = {}
@@ -71,29 +72,30 @@ def scratch(spark: SparkSession, purpose: str) -> Layout:
 def star(spark: SparkSession, sf_dir: str) -> Layout:
     """Dimensions and fact of the sample tables, loaded once per application and input.
 
-    Checks and reports read stored tables, as they do in production, instead of rebuilding the star.
+    Checks and reports read stored tables, as they do in production, instead of rebuilding the star. They
+    run over the whole history here, so the fact is stored without day partitions, which would bring
+    them nothing; `fact_loaded_in_steps` stores and reads the partitioned table.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stars:
         t = samples(spark, sf_dir)
         layout = scratch(spark, "star")
-        start, end = t.sales_range
-        create_tables(spark, layout)
-        write_dimension(build_dim_date(spark, start, end), layout, "dim_date")
-        write_dimension(dim_customer(t), layout, "dim_customer")
-        write_dimension(
-            refresh_products(empty_dimension(spark, "dim_product"), t.products(), LOADED_AT), layout, "dim_product"
-        )
-        write_dimension(
-            refresh_campaigns(empty_dimension(spark, "dim_campaign"), t.campaigns(), LOADED_AT),
-            layout,
-            "dim_campaign",
-        )
-        load_fact(spark, layout, sales(t, layout), start, end)
+        dimensions = {
+            "dim_date": build_dim_date(spark, *t.sales_range),
+            "dim_customer": dim_customer(t),
+            "dim_product": refresh_products(empty_dimension(spark, "dim_product"), t.products(), LOADED_AT),
+            "dim_campaign": refresh_campaigns(empty_dimension(spark, "dim_campaign"), t.campaigns(), LOADED_AT),
+        }
+        together(spark, [lambda n=n, rows=rows: write_dimension(rows, layout, n) for n, rows in dimensions.items()])
+        sales(t, layout).write.parquet(_whole_fact(layout))
         _stars[key] = layout
     return _stars[key]
 
 
+def _whole_fact(layout: Layout) -> str:
+    return f"{layout.root}/fact_of_whole_history"
+
+
 def dim_customer(t: SampleTables) -> DataFrame:
     start, _ = t.sales_range
     opened = refresh_customers(empty_dimension(t.spark, "dim_customer"), t.customers(), start)
@@ -122,7 +124,7 @@ def sales(
 
 
 def full_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_fact(spark, star(spark, sf_dir), *samples(spark, sf_dir).sales_range)
+    return spark.read.schema(schemas.FACT_SALES).parquet(_whole_fact(star(spark, sf_dir)))
 
 
 def dimension(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -200,15 +202,18 @@ def fact_upsert_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_loaded_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored fact after loading three ranges, the middle one twice."""
+    """The day-partitioned fact after loading two ranges and, again, the days around their border."""
     t = samples(spark, sf_dir)
     first, last = t.sales_range
-    starts = [first, *(end + timedelta(days=1) for end in STEP_ENDS)]
-    steps = list(zip(starts, [*STEP_ENDS, last]))
+    steps = [
+        (first, STEP_CUT - timedelta(days=1)),
+        (STEP_CUT, last),
+        (STEP_CUT - STEP_OVERLAP, STEP_CUT + STEP_OVERLAP),
+    ]
     dimensions = star(spark, sf_dir)
     layout = scratch(spark, "steps")
     create_tables(spark, layout)
-    for start, end in [steps[0], steps[1], steps[1], steps[2]]:
+    for start, end in steps:
         load_fact(spark, layout, sales(t, dimensions, start, end), start, end)
     return read_fact(spark, layout, first, last)
 

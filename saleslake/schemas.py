@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
     DataType,
@@ -164,3 +166,8 @@ def staged(table: str) -> StructType:
 
 def required_columns(schema: StructType) -> list[str]:
     return [field.name for field in schema.fields if not field.nullable]
+
+
+def empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    """A frame without rows that Spark knows to be empty, so it drops the joins and unions it is in."""
+    return spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields)).limit(0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 # Adaptive execution sizes shuffles at run time, splits skewed join partitions and turns a join into
@@ -55,3 +57,11 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
+
+
+def together(spark: SparkSession, steps: Iterable[Callable[[], object]]) -> None:
+    """Submit independent steps at the same time, so small jobs do not wait for each other."""
+    steps = list(steps)
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]:
+            done.result()

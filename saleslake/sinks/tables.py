@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from saleslake import schemas, storage
 from saleslake.functions.dates import day
 from saleslake.layout import Layout
-from saleslake.session import setting
+from saleslake.session import setting, together
 from saleslake.sources.tables import committed_snapshots
 
 # How long partitions are kept.
@@ -33,20 +33,24 @@ _BITMAP_DAYS = 32_768
 
 def create_tables(spark: SparkSession, layout: Layout) -> None:
     """Make every table that does not exist yet, empty and with its partitioning."""
-    for table in schemas.STAGING:
-        _create_partitioned(spark, layout.staging(table), schemas.staged(table), "ingest_date")
-    _create_partitioned(spark, layout.fact_sales, schemas.FACT_SALES, "sale_date")
     window_schema = StructType(list(schemas.WINDOW_COUNTS.fields)).add("window_date", "date")
-    _create_partitioned(spark, layout.window_counts, window_schema, "window_date")
-    for name, schema in schemas.DIMENSIONS.items():
-        path = layout.dimension(name)
-        if not committed_snapshots(spark, path):
-            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/snapshot=0")
-
-
-def _create_partitioned(spark: SparkSession, path: str, schema: StructType, column: str) -> None:
-    if not storage.exists(spark, path):
-        spark.createDataFrame([], schema).write.partitionBy(column).parquet(path)
+    partitioned = [(layout.staging(table), schemas.staged(table), "ingest_date") for table in schemas.STAGING]
+    partitioned.append((layout.fact_sales, schemas.FACT_SALES, "sale_date"))
+    partitioned.append((layout.window_counts, window_schema, "window_date"))
+    steps = [
+        lambda path=path, schema=schema, column=column: (
+            schemas.empty(spark, schema).write.partitionBy(column).parquet(path)
+        )
+        for path, schema, column in partitioned
+        if not storage.exists(spark, path)
+    ]
+    steps += [
+        lambda name=name: write_dimension(schemas.empty(spark, schemas.DIMENSIONS[name]), layout, name)
+        for name in schemas.DIMENSIONS
+        if not committed_snapshots(spark, layout.dimension(name))
+    ]
+    if steps:
+        together(spark, steps)
 
 
 def replace_day(rows: DataFrame, layout: Layout, table: str, on: date) -> int:

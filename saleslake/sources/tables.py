@@ -33,7 +33,7 @@ def read_days(
     every = storage.partition_days(spark, path, column)
     wanted = [d for d in every if (start is None or d >= start) and (end is None or d <= end)]
     if not wanted:
-        return spark.createDataFrame([], schema)
+        return schemas.empty(spark, schema)
     paths = [path] if len(wanted) == len(every) else [f"{path}/{column}={d.isoformat()}" for d in wanted]
     rows = spark.read.schema(schema).option("basePath", path).parquet(*paths)
     if start is not None:
@@ -73,7 +73,7 @@ def read_dimension(spark: SparkSession, layout: Layout, name: str) -> DataFrame:
     snapshots = committed_snapshots(spark, path)
     schema = schemas.DIMENSIONS[name]
     if not snapshots:
-        return spark.createDataFrame([], schema)
+        return schemas.empty(spark, schema)
     return spark.read.schema(schema).parquet(f"{path}/snapshot={snapshots[-1]}")
 
 

@@ -48,5 +48,5 @@ def read_minutes(spark: SparkSession, path: str) -> DataFrame:
     ]
     complete = [folder for folder in batches if storage.exists(spark, f"{folder}/_SUCCESS")]
     if not complete:
-        return spark.createDataFrame([], schemas.WINDOW_COUNTS)
+        return schemas.empty(spark, schemas.WINDOW_COUNTS)
     return add_partials(spark.read.schema(schemas.WINDOW_COUNTS).parquet(*complete))

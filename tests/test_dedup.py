@@ -1,0 +1,30 @@
+from conftest import d, plan_of, rows_of, staged, money
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from saleslake.operators.dedup import latest_per_key
+
+DAYS = [d("2024-01-01"), d("2024-01-02"), d("2024-01-03")]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.tuples(st.sampled_from("abc"), st.sampled_from([None, "x", "y"]), st.sampled_from(DAYS)), max_size=30
+    )
+)
+def test_newest_row_wins_and_ties_are_settled_by_value(spark, rows):
+    frame = spark.createDataFrame(rows, "id string, v string, ingest_date date").repartition(5)
+    expected = {}
+    for key, value, on in rows:
+        rank = (-on.toordinal(), value is not None, value or "")
+        if key not in expected or rank < expected[key][0]:
+            expected[key] = (rank, (key, value, on))
+    assert rows_of(latest_per_key(frame, ["id"])) == sorted((v for _, v in expected.values()), key=repr)
+
+
+def test_one_row_per_key_leaves_each_input_partition(spark):
+    rows = staged(spark, "products", [("P1", "n", "c", money("1"), d("2024-01-01"))])
+    plan = plan_of(latest_per_key(rows, ["product_id"]))
+    before_shuffle = plan[plan.index("Exchange") :]
+    assert "WindowGroupLimit" in before_shuffle

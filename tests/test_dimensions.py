@@ -1,0 +1,231 @@
+from collections import defaultdict
+from datetime import datetime, timedelta, timezone
+
+from conftest import d, money, plan_of, rows_of
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+import pytest
+
+from saleslake import schemas
+from saleslake.functions.keys import date_key, surrogate_key
+from saleslake.operators.calendar import build_dim_date, extend_dim_date, missing_days
+from saleslake.operators.dimensions import (
+    empty_dimension,
+    refresh_campaigns,
+    refresh_customers,
+    refresh_products,
+    with_unknown_campaign,
+)
+from saleslake.operators.upsert import DuplicateKeys, require_unique, upsert
+
+NOON = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
+LATER = datetime(2024, 1, 2, 12, tzinfo=timezone.utc)
+
+
+def customers(spark, *rows):
+    """Customer rows as (id, city); the other attributes are the same for all."""
+    full = [(i, "Name", "a@example.com", city, d("2020-05-17")) for i, city in rows]
+    return spark.createDataFrame(full, schemas.STAGING["customers"])
+
+
+def versions(dim):
+    return rows_of(dim, "customer_id", "city", "effective_start_date", "effective_end_date", "is_current")
+
+
+def test_keys(spark):
+    row = (
+        spark.createDataFrame([("CUST1", d("2024-02-03"))], "id string, on date")
+        .select(
+            surrogate_key(F.col("id")).alias("one"),
+            surrogate_key(F.col("id"), F.col("on").cast("string")).alias("two"),
+            surrogate_key(F.concat(F.col("id"), F.lit("|2024-02-03"))).alias("same_as_two"),
+            surrogate_key(F.lit(None).cast("string")).alias("none"),
+            date_key(F.col("on")).alias("date_key"),
+        )
+        .first()
+    )
+    assert row["one"] >= 0 and row["two"] >= 0 and row["one"] != row["two"]
+    assert row["two"] == row["same_as_two"]
+    assert row["none"] is None
+    assert row["date_key"] == 20240203
+
+
+def test_keys_are_unique_and_never_negative(spark):
+    keys = spark.range(200_000).select(surrogate_key(F.concat(F.lit("C"), F.col("id").cast("string"))).alias("k"))
+    row = keys.agg(F.count_distinct("k").alias("n"), F.min("k").alias("least")).first()
+    assert row["n"] == 200_000 and row["least"] >= 0
+
+
+def test_calendar(spark):
+    rows = {r["date_key"]: r for r in build_dim_date(spark, d("2024-02-28"), d("2024-03-02")).collect()}
+    assert sorted(rows) == [20240228, 20240229, 20240301, 20240302]
+    saturday = rows[20240302]
+    assert (saturday["day_of_week"], saturday["day_name"], saturday["is_weekend"]) == (7, "Saturday", True)
+    assert (saturday["month_name"], saturday["quarter"], saturday["day_of_month"]) == ("March", 1, 2)
+    assert not rows[20240301]["is_weekend"]
+
+
+def test_calendar_extension_adds_only_missing_days(spark):
+    existing = build_dim_date(spark, d("2024-01-01"), d("2024-01-10"))
+    assert missing_days(existing, d("2024-01-02"), d("2024-01-09")).isEmpty()
+    added = missing_days(existing, d("2023-12-30"), d("2024-01-12"))
+    assert sorted(r["date_key"] for r in added.collect()) == [20231230, 20231231, 20240111, 20240112]
+    assert extend_dim_date(existing, d("2024-01-05"), d("2024-01-12")).count() == 12
+
+
+def test_product_refresh_overwrites_keeps_and_adds(spark):
+    schema = schemas.STAGING["products"]
+    first = spark.createDataFrame([("P1", "one", "A", money("1")), ("P2", "two", "A", money("2"))], schema)
+    second = spark.createDataFrame([("P2", None, "B", money("3")), ("P3", "three", "C", money("4"))], schema)
+    dim = refresh_products(empty_dimension(spark, "dim_product"), first, NOON)
+    before = {r["product_id"]: r for r in dim.collect()}
+    after = {r["product_id"]: r for r in refresh_products(dim, second, LATER).collect()}
+    assert set(after) == {"P1", "P2", "P3"}
+    assert after["P1"] == before["P1"]
+    # A null in the source is a value like any other and overwrites.
+    assert (after["P2"]["product_name"], after["P2"]["category"]) == (None, "B")
+    assert after["P2"]["product_key"] == before["P2"]["product_key"]
+    assert after["P2"]["updated_at"] > before["P2"]["updated_at"]
+
+
+def test_surrogate_key_is_stable_even_if_it_was_not_a_hash(spark):
+    dim = spark.createDataFrame([(7, "P1", "one", "A", money("1"), NOON)], schemas.DIM_PRODUCT)
+    source = spark.createDataFrame([("P1", "uno", "A", money("1"))], schemas.STAGING["products"])
+    assert rows_of(refresh_products(dim, source, LATER), "product_key", "product_name") == [(7, "uno")]
+
+
+def test_campaign_refresh_and_unknown_member(spark):
+    schema = schemas.STAGING["marketing_campaigns"]
+    campaign = spark.createDataFrame([("C1", "Push", d("2022-01-14"), d("2022-02-08"), "Email")], schema)
+    dim = refresh_campaigns(empty_dimension(spark, "dim_campaign"), campaign, NOON)
+    rows = {r["campaign_id"]: r for r in dim.collect()}
+    assert rows["C1"]["duration_days"] == 25
+    unknown = rows["UNKNOWN"]
+    assert (unknown["campaign_key"], unknown["campaign_name"], unknown["channel"]) == (
+        -1, "No Campaign (Organic)", "Organic")
+    assert unknown["start_date"] is None and unknown["duration_days"] is None
+    again = {r["campaign_id"]: r for r in refresh_campaigns(dim, campaign, LATER).collect()}
+    assert len(again) == 2
+    assert again["UNKNOWN"]["updated_at"] == unknown["updated_at"]
+    assert with_unknown_campaign(dim, LATER).count() == 2
+
+
+def test_upsert_source_must_be_unique(spark):
+    twice = spark.createDataFrame([("a", 1), ("a", 2)], "id string, v int")
+    with pytest.raises(DuplicateKeys):
+        require_unique(twice, ["id"], "source")
+    require_unique(twice.limit(1), ["id"], "source")
+
+
+def test_upsert_of_empty_sides(spark):
+    some = spark.createDataFrame([("a", 1)], "id string, v int")
+    none = some.where("false")
+    assert rows_of(upsert(some, none, "id")) == [("a", 1)]
+    assert rows_of(upsert(none, some, "id")) == [("a", 1)]
+
+
+def test_customer_versions_open_close_and_stay(spark):
+    dim = refresh_customers(empty_dimension(spark, "dim_customer"), customers(spark, ("a", "X"), ("b", "X")), d("2024-01-01"))
+    dim = refresh_customers(dim, customers(spark, ("a", "Y"), ("c", "Z")), d("2024-01-05"))
+    assert versions(dim) == [
+        ("a", "X", d("2024-01-01"), d("2024-01-04"), False),
+        ("a", "Y", d("2024-01-05"), None, True),
+        ("b", "X", d("2024-01-01"), None, True),
+        ("c", "Z", d("2024-01-05"), None, True),
+    ]
+    assert len({r["customer_key"] for r in dim.collect()}) == 4
+
+
+def test_first_versions_can_open_earlier(spark):
+    dim = refresh_customers(
+        empty_dimension(spark, "dim_customer"), customers(spark, ("a", "X")), d("2025-12-31"), first_start=d("2022-01-01")
+    )
+    assert versions(dim) == [("a", "X", d("2022-01-01"), None, True)]
+
+
+def test_null_changes_are_seen_unless_told_otherwise(spark):
+    dim = refresh_customers(empty_dimension(spark, "dim_customer"), customers(spark, ("a", None)), d("2024-01-01"))
+    known = customers(spark, ("a", "X"))
+    assert refresh_customers(dim, known, d("2024-01-02")).count() == 2
+    assert refresh_customers(dim, known, d("2024-01-02"), null_safe=False).count() == 1
+    dim = refresh_customers(dim, known, d("2024-01-02"))
+    lost = customers(spark, ("a", None))
+    assert refresh_customers(dim, lost, d("2024-01-03")).count() == 3
+    assert refresh_customers(dim, lost, d("2024-01-03"), null_safe=False).count() == 2
+
+
+def test_untracked_attribute_opens_no_version(spark):
+    dim = refresh_customers(empty_dimension(spark, "dim_customer"), customers(spark, ("a", "X")), d("2024-01-01"))
+    corrected = customers(spark, ("a", "X")).withColumn("signup_date", F.lit(d("2019-01-01")))
+    assert refresh_customers(dim, corrected, d("2024-01-02")).count() == 1
+    assert refresh_customers(dim, corrected, d("2024-01-02"), tracked=["signup_date"]).count() == 2
+
+
+def test_second_change_of_a_day_replaces_the_version(spark):
+    dim = refresh_customers(empty_dimension(spark, "dim_customer"), customers(spark, ("a", "X")), d("2024-01-01"))
+    dim = refresh_customers(dim, customers(spark, ("a", "Y")), d("2024-01-02"))
+    key = dim.where("is_current").first()["customer_key"]
+    dim = refresh_customers(dim, customers(spark, ("a", "Z")), d("2024-01-02"))
+    assert versions(dim) == [
+        ("a", "X", d("2024-01-01"), d("2024-01-01"), False),
+        ("a", "Z", d("2024-01-02"), None, True),
+    ]
+    assert dim.where("is_current").first()["customer_key"] == key
+
+
+def test_replay_of_an_older_day_splits_the_version_valid_then(spark):
+    dim = refresh_customers(empty_dimension(spark, "dim_customer"), customers(spark, ("a", "X")), d("2024-01-01"))
+    dim = refresh_customers(dim, customers(spark, ("a", "Z")), d("2024-01-10"))
+    dim = refresh_customers(dim, customers(spark, ("a", "Y"), ("b", "B")), d("2024-01-05"))
+    dim = refresh_customers(dim, customers(spark, ("b", "A")), d("2024-01-03"))
+    assert versions(dim) == [
+        ("a", "X", d("2024-01-01"), d("2024-01-04"), False),
+        ("a", "Y", d("2024-01-05"), d("2024-01-09"), False),
+        ("a", "Z", d("2024-01-10"), None, True),
+        ("b", "A", d("2024-01-03"), d("2024-01-04"), False),
+        ("b", "B", d("2024-01-05"), None, True),
+    ]
+
+
+EXTRACT = st.dictionaries(st.sampled_from("abc"), st.sampled_from([None, "X", "Y"]), min_size=1)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 5), EXTRACT), min_size=1, max_size=4))
+def test_versions_are_disjoint_gap_free_and_repeatable(spark, loads):
+    """For extracts of any days in any order, and each load repeated."""
+    dim = empty_dimension(spark, "dim_customer")
+    for offset, extract in loads:
+        as_of = d("2024-01-01") + timedelta(days=offset)
+        source = customers(spark, *extract.items())
+        dim = spark.createDataFrame(refresh_customers(dim, source, as_of).collect(), schemas.DIM_CUSTOMER)
+        assert rows_of(refresh_customers(dim, source, as_of)) == rows_of(dim)
+        # What was just loaded is what holds on that day.
+        held = {
+            r["customer_id"]: r["city"]
+            for r in dim.collect()
+            if r["effective_start_date"] <= as_of and (r["effective_end_date"] or as_of) >= as_of
+        }
+        assert all(held[c] == city for c, city in extract.items())
+    by_customer = defaultdict(list)
+    for row in dim.collect():
+        by_customer[row["customer_id"]].append(row)
+    assert len({r["customer_key"] for r in dim.collect()}) == dim.count()
+    for history in by_customer.values():
+        history.sort(key=lambda r: r["effective_start_date"])
+        for earlier, later in zip(history, history[1:]):
+            assert earlier["effective_end_date"] + timedelta(days=1) == later["effective_start_date"]
+            assert not earlier["is_current"]
+        assert history[-1]["is_current"] and history[-1]["effective_end_date"] is None
+
+
+def test_history_does_not_take_part_in_the_join(spark, tmp_path):
+    dim = refresh_customers(empty_dimension(spark, "dim_customer"), customers(spark, ("a", "X")), d("2024-01-01"))
+    dim.write.parquet(str(tmp_path / "dim"))
+    stored = spark.read.schema(schemas.DIM_CUSTOMER).parquet(str(tmp_path / "dim"))
+    plan = plan_of(refresh_customers(stored, customers(spark, ("a", "Y")), d("2024-01-05")))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    # The branch of past versions is a scan and a filter below the union, without an exchange.
+    first_branch = plan[plan.index("Union") :].split("FileScan")[0]
+    assert "Exchange" not in first_branch

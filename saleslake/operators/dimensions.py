@@ -29,7 +29,7 @@ def refresh_products(dim: DataFrame, products: DataFrame, loaded_at: datetime) -
     source = products.withColumns(
         {"product_key": surrogate_key(F.col("product_id")), "updated_at": _instant(loaded_at)}
     )
-    return upsert(dim, source, "product_id", insert_only=["product_key"])
+    return upsert(dim, source, "product_id", insert_only=["product_key"], version="updated_at")
 
 
 def refresh_campaigns(dim: DataFrame, campaigns: DataFrame, loaded_at: datetime) -> DataFrame:
@@ -41,7 +41,8 @@ def refresh_campaigns(dim: DataFrame, campaigns: DataFrame, loaded_at: datetime)
             "updated_at": _instant(loaded_at),
         }
     )
-    return with_unknown_campaign(upsert(dim, source, "campaign_id", insert_only=["campaign_key"]), loaded_at)
+    merged = upsert(dim, source, "campaign_id", insert_only=["campaign_key"], version="updated_at")
+    return with_unknown_campaign(merged, loaded_at)
 
 
 def with_unknown_campaign(dim: DataFrame, loaded_at: datetime) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql.types import BinaryType, StringType
 # A side is broadcast only if its measured bytes stay below this.
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
-# A key counts as hot from one percent of the rows on, so there are fewer than a hundred of them.
-HOT_SHARE = 0.01
-_TRACKED = 100
+# A key counts as hot from this share of the rows on, so there are at most a thousand of them. Keys below
+# it make partitions that adaptive execution can still split.
+HOT_SHARE = 0.001
+_SKETCH_ITEMS = 20_000
 
 
 def measured_bytes(rows: DataFrame) -> int:
@@ -32,14 +34,35 @@ def measured_bytes(rows: DataFrame) -> int:
     return rows.agg(F.coalesce(F.sum(width), F.lit(0).cast("long")).alias("bytes")).first()["bytes"]
 
 
-def hot_values(rows: DataFrame, key: str) -> list[str]:
-    """Values of `key` that hold at least `HOT_SHARE` of the rows: one sketch pass, a bounded result."""
+def hot_values(rows: DataFrame, key: str) -> dict[str, float]:
+    """Values of `key` with at least `HOT_SHARE` of the rows, and their share.
+
+    One pass with a sketch of fixed size. Its counts are approximate, which is enough: they only decide
+    how a join is spread, never what it returns.
+    """
+    most = round(1 / HOT_SHARE)
     found = (
         rows.where(F.col(key).isNotNull())
-        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(`{key}`, {_TRACKED}, 10000)").alias("top"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.expr(f"approx_top_k(`{key}`, {most}, {_SKETCH_ITEMS})").alias("top"),
+        )
         .first()
     )
-    return [entry["item"] for entry in found["top"] or [] if entry["count"] >= HOT_SHARE * found["n"]]
+    shares = {entry["item"]: entry["count"] / found["n"] for entry in found["top"] or []}
+    return {value: share for value, share in shares.items() if share >= HOT_SHARE}
+
+
+def _salts(key: Column, hot: Mapping[str, float], partitions: int) -> Column:
+    """Number of salts for a key: about twice the partitions its share would fill, else one."""
+    tiers: dict[int, list[str]] = {}
+    for value, share in hot.items():
+        wanted = min(partitions, 2 ** math.ceil(math.log2(max(2.0, 2 * share * partitions))))
+        tiers.setdefault(wanted, []).append(value)
+    salts = F.lit(1)
+    for count, values in tiers.items():
+        salts = F.when(key.isin(values), F.lit(count)).otherwise(salts)
+    return salts
 
 
 def salted_join(
@@ -48,7 +71,7 @@ def salted_join(
     key: str,
     how: str,
     spread_on: Sequence[str],
-    hot: Sequence[str],
+    hot: Mapping[str, float],
     residual: Column | None = None,
 ) -> DataFrame:
     """Equi-join on `key` (plus `residual`) in which hot and null keys of `left` use many partitions.
@@ -60,19 +83,15 @@ def salted_join(
     """
     right = right.withColumnRenamed(key, "_lookup")
     match = F.col(key) == F.col("_lookup")
-    spread_nulls = how in ("left", "left_anti")
-    salted = bool(hot) or spread_nulls
-    if salted:
-        salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        is_hot = F.col(key).isin(list(hot)) if hot else F.lit(False)
-        needs_salt = (is_hot | F.col(key).isNull()) if spread_nulls else F.coalesce(is_hot, F.lit(False))
-        salt = F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int")
-        left = left.withColumn("_salt", F.when(needs_salt, salt).otherwise(F.lit(0)))
-        if hot:
-            copies = F.when(F.col("_lookup").isin(list(hot)), F.sequence(F.lit(0), F.lit(salts - 1)))
-            right = right.withColumn("_copy", F.explode(copies.otherwise(F.array(F.lit(0)))))
-        else:
-            right = right.withColumn("_copy", F.lit(0))
+    keeps_nulls = how in ("left", "left_anti")
+    if hot or keeps_nulls:
+        partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = _salts(F.col(key), hot, partitions)
+        if keeps_nulls:
+            salts = F.when(F.col(key).isNull(), F.lit(partitions)).otherwise(salts)
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), salts).cast("int"))
+        copies = F.sequence(F.lit(0), _salts(F.col("_lookup"), hot, partitions) - 1)
+        right = right.withColumn("_copy", F.explode(copies) if hot else F.lit(0))
         match = match & (F.col("_salt") == F.col("_copy"))
     if residual is not None:
         match = match & residual

@@ -21,24 +21,29 @@ def require_unique(rows: DataFrame, keys: Sequence[str], what: str) -> None:
         raise DuplicateKeys(f"{what} has several rows for one {', '.join(keys)}")
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str, insert_only: Sequence[str] = ()) -> DataFrame:
+def upsert(
+    target: DataFrame, source: DataFrame, key: str, insert_only: Sequence[str] = (), version: str | None = None
+) -> DataFrame:
     """`target` after merging `source`, which must be unique on `key`.
 
     A matched row takes the source's values except in `insert_only` columns, which a row gets once when
-    it first appears. Unmatched target rows stay; unmatched source rows are added. Both sides are unique
-    on `key`, so the one shuffle this costs is balanced.
+    it first appears. With `version` it does so only if the source's value of that column is not older,
+    so the replay of an old load cannot undo a newer one. Unmatched target rows stay; unmatched source
+    rows are added. Both sides are unique on `key`, so the one shuffle this costs is balanced.
     """
     columns = target.columns
     t = target.select(F.col(key), F.struct(*columns).alias("_t"))
     s = source.select(F.col(key), F.struct(*columns).alias("_s"))
-    in_source = F.col("_s").isNotNull()
     in_target = F.col("_t").isNotNull()
+    takes_source = F.col("_s").isNotNull()
+    if version is not None:
+        takes_source = takes_source & (~in_target | (F.col(f"_s.{version}") >= F.col(f"_t.{version}")))
 
     def merged(column: str):
         old, new = F.col(f"_t.{column}"), F.col(f"_s.{column}")
         if column in insert_only:
             return F.when(in_target, old).otherwise(new)
-        return F.when(in_source, new).otherwise(old)
+        return F.when(takes_source, new).otherwise(old)
 
     joined = t.join(s, key, "full_outer")
     return joined.select(*(F.col(key) if c == key else merged(c).alias(c) for c in columns))

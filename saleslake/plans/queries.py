@@ -24,7 +24,8 @@ from saleslake.operators.dimensions import (
 from saleslake.operators.joins import lookup_join
 from saleslake.operators.upsert import upsert
 from saleslake.plans import reports
-from saleslake.plans.fact import build_sales, dropped_of, load_fact, resolve_lines
+from saleslake.plans.fact import build_sales, dropped_of, load_fact, resolve_headers, resolve_lines
+from saleslake.plans.pipeline import bootstrap
 from saleslake.session import together
 from saleslake.sinks.tables import (
     STAGING_RETENTION_DAYS,
@@ -33,7 +34,7 @@ from saleslake.sinks.tables import (
     retained,
     write_dimension,
 )
-from saleslake.sources.events import accepted, decode
+from saleslake.sources.events import accepted, decode, rejected
 from saleslake.sources.extracts import read_extract
 from saleslake.sources.sample_tables import MOVING_DAY, SampleTables
 from saleslake.sources.tables import read_dimension, read_fact, read_staging, read_window_counts
@@ -218,6 +219,37 @@ def fact_loaded_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_fact(spark, layout, first, last)
 
 
+def point_in_time_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the customer version of its day and its campaign's key or the unknown member."""
+    t = samples(spark, sf_dir)
+    resolved = resolve_headers(
+        t.newest_transactions(),
+        dimension(spark, sf_dir, "dim_customer"),
+        dimension(spark, sf_dir, "dim_campaign"),
+        *t.sales_range,
+    )
+    return resolved.select("transaction_id", "transaction_date", "customer_id", "customer_key", "campaign_key")
+
+
+def bootstrap_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact after the one-time load of the whole history from one CSV per table, checks included."""
+    t = samples(spark, sf_dir)
+    layout = scratch(spark, "history")
+    extracts = {
+        "customers": t.customers(),
+        "products": t.products(),
+        "transactions": t.transactions(),
+        "transaction_items": t.transaction_items(),
+        "marketing_campaigns": t.campaigns(),
+    }
+    for table, rows in extracts.items():
+        columns = schemas.STAGING[table].fieldNames()
+        rows.select(*columns).write.option("header", True).csv(Layout.history_extract(layout.landing, table))
+    start, end = t.sales_range
+    bootstrap(spark, layout, layout.landing, start, end)
+    return read_fact(spark, layout, start, end)
+
+
 # Loads and checks
 
 
@@ -357,18 +389,25 @@ def window_counts_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minute_partials(samples(spark, sf_dir).events())
 
 
-def event_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event rendered as a message, once whole and once cut short; only the whole ones decode."""
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event rendered as a message, once whole and once cut short, so that it is no JSON any more."""
     fields = F.struct(
         "transaction_id",
         "customer_id",
         "amount",
         F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("event_time"),
     )
-    message = F.to_json(fields)
-    cut = F.substring(message, F.lit(1), F.length(message) - 1)
-    messages = samples(spark, sf_dir).events().select(F.explode(F.array(message, cut)).alias("value"))
-    return accepted(decode(messages))
+    whole = samples(spark, sf_dir).events().select(F.to_json(fields).alias("value"))
+    cut = F.substring("value", F.lit(1), F.length("value") - 1)
+    return whole.select(F.explode(F.array("value", cut)).alias("value"))
+
+
+def event_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accepted(decode(messages(spark, sf_dir)))
+
+
+def event_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejected(decode(messages(spark, sf_dir)))
 
 
 def late_inclusive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,6 +432,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fact_sales,
         fact_upsert_range,
         fact_loaded_in_steps,
+        point_in_time_lookup,
+        bootstrap_history,
         extract_roundtrip,
         check_landed,
         check_reconcile,
@@ -413,6 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         window_counts,
         window_counts_batch,
         event_decode,
+        event_rejects,
         late_inclusive_counts,
     )
 }

@@ -6,7 +6,7 @@ import pytest
 from conftest import final_plan_of, plan_of
 from pyspark.sql import functions as F
 
-from saleslake.operators.joins import hot_values, lookup_join, measured_bytes, salted_join
+from saleslake.operators.joins import _salts, hot_values, lookup_join, measured_bytes, salted_join
 
 LEFT = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 50}", i % 10) for i in range(3000)]
 # Two intervals per key, and keys that no left row has; `k7` is missing on this side.
@@ -76,7 +76,7 @@ def test_hot_and_null_keys_are_spread(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = salted_join(left, right, "key", "left", ["row_id"], hot=["hot"])
+        joined = salted_join(left, right, "key", "left", ["row_id"], hot={"hot": 0.5})
         sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
@@ -87,9 +87,15 @@ def test_hot_and_null_keys_are_spread(spark):
 
 def test_hot_values_are_the_frequent_ones(spark):
     rows = spark.range(10000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) AS key")
-    assert hot_values(rows, "key") == ["hot"]
-    assert hot_values(rows.where("key <> 'hot'"), "key") == []
-    assert hot_values(rows.limit(0), "key") == []
+    assert hot_values(rows, "key") == {"hot": pytest.approx(1 / 3, rel=0.01)}
+    assert hot_values(rows.where("key <> 'hot'"), "key") == {}
+    assert hot_values(rows.limit(0), "key") == {}
+
+
+def test_salts_follow_the_share_of_a_key(spark):
+    keys = spark.createDataFrame([("huge",), ("big",), ("cold",)], "key string")
+    counted = keys.select("key", _salts(F.col("key"), {"huge": 0.4, "big": 0.002}, 2000).alias("salts"))
+    assert dict(tuple(r) for r in counted.collect()) == {"huge": 2000, "big": 8, "cold": 1}
 
 
 def test_measured_bytes_counts_string_lengths(spark):
@@ -100,5 +106,5 @@ def test_measured_bytes_counts_string_lengths(spark):
 
 def test_plain_equi_join_without_hot_keys(sides):
     left, right = sides
-    joined = salted_join(left, right, "key", "inner", ["row_id"], hot=[])
+    joined = salted_join(left, right, "key", "inner", ["row_id"], hot={})
     assert "_salt" not in final_plan_of(joined)

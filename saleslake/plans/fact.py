@@ -23,15 +23,18 @@ def resolve_headers(
     campaigns: DataFrame,
     start: date,
     end: date,
+    hot_from: DataFrame | None = None,
     broadcast_limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Transactions of the range with the customer version of their day and their campaign's key.
 
     Done before the lines are joined because there are several lines per transaction. Versions that
     ended before the range or began after it are left out first; for a one-day load that leaves at most
-    one version per customer.
+    one version per customer. `hot_from` may name the undeduplicated headers, see `resolve_lines`.
     """
-    in_range = headers.where(F.col("transaction_date").between(day(start), day(end)))
+    in_days = F.col("transaction_date").between(day(start), day(end))
+    in_range = headers.where(in_days)
+    sample = in_range if hot_from is None else hot_from.where(in_days)
     versions = customers.where(
         overlaps(F.col("effective_start_date"), F.col("effective_end_date"), start, end)
     ).select("customer_id", "customer_key", "effective_start_date", "effective_end_date")
@@ -43,7 +46,7 @@ def resolve_headers(
         "left",
         spread_on=["transaction_id"],
         residual=valid,
-        hot_from=in_range.select("customer_id"),
+        hot_from=sample.select("customer_id"),
         broadcast_limit=broadcast_limit,
     )
     with_campaign = lookup_join(
@@ -52,7 +55,7 @@ def resolve_headers(
         "campaign_id",
         "left",
         spread_on=["transaction_id"],
-        hot_from=in_range.select("campaign_id"),
+        hot_from=sample.select("campaign_id"),
         broadcast_limit=broadcast_limit,
     )
     return with_campaign.select(
@@ -73,16 +76,17 @@ def resolve_lines(
     campaigns: DataFrame,
     start: date,
     end: date,
-    hot_from: DataFrame | None = None,
+    hot_lines_from: DataFrame | None = None,
+    hot_headers_from: DataFrame | None = None,
     broadcast_limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Lines of the range's transactions with all their keys; a key that was not found is null.
 
-    `lines` and `headers` must be unique on their ids. `hot_from` may name the undeduplicated lines,
-    where hot transaction and product ids can be looked for without running the deduplication twice.
+    `lines` and `headers` must be unique on their ids. `hot_lines_from` and `hot_headers_from` may name
+    the undeduplicated rows, where hot keys can be looked for without running the deduplication twice.
     """
-    sample = lines if hot_from is None else hot_from
-    resolved = resolve_headers(headers, customers, campaigns, start, end, broadcast_limit)
+    sample = lines if hot_lines_from is None else hot_lines_from
+    resolved = resolve_headers(headers, customers, campaigns, start, end, hot_headers_from, broadcast_limit)
     wanted = lines.select("transaction_item_id", "transaction_id", "product_id", "quantity", "price")
     hot_transactions = hot_values(sample.select("transaction_id"), "transaction_id")
     # The renamed key column of `resolved` is dropped by the join; the line's own id remains.

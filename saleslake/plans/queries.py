@@ -120,7 +120,8 @@ def sales(
         read_dimension(t.spark, layout, "dim_campaign"),
         start or first,
         end or last,
-        hot_from=t.transaction_items(),
+        hot_lines_from=t.transaction_items(),
+        hot_headers_from=t.transactions(),
     )
 
 
@@ -302,7 +303,8 @@ def dropped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         partial_catalogue(spark, sf_dir),
         dimension(spark, sf_dir, "dim_campaign"),
         *t.sales_range,
-        hot_from=t.transaction_items(),
+        hot_lines_from=t.transaction_items(),
+        hot_headers_from=t.transactions(),
     )
     return dropped_of(resolved)
 

@@ -75,15 +75,18 @@ def replace_day(rows: DataFrame, layout: Layout, table: str, on: date) -> int:
     return loaded
 
 
-def replace_all(rows: DataFrame, layout: Layout, table: str, on: date) -> None:
-    """Make `rows`, delivered on `on`, the whole content of a staging table."""
-    (
-        rows.withColumn("ingest_date", day(on))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("ingest_date")
-        .parquet(layout.staging(table))
-    )
+def replace_all(rows: DataFrame, layout: Layout, table: str, on: date) -> int:
+    """Make `rows`, delivered on `on`, the whole content of a staging table. Returns the row count.
+
+    The other days go only after the new content is in place.
+    """
+    spark = rows.sparkSession
+    loaded = replace_day(rows, layout, table, on)
+    path = layout.staging(table)
+    for other in storage.partition_days(spark, path, "ingest_date"):
+        if other != on:
+            storage.delete(spark, f"{path}/ingest_date={other.isoformat()}")
+    return loaded
 
 
 def write_dimension(rows: DataFrame, layout: Layout, name: str) -> None:

@@ -19,24 +19,29 @@ def count_windows(
     layout: Layout,
     checkpoint: str,
     extra_sinks: Sequence[sinks.Sink] = (),
+    every: str | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Messages to closed windows, printed and stored."""
     counted = windowed_counts(accepted(decode(messages)))
     outputs = [sinks.console_sink(), sinks.table_sink(layout), *extra_sinks]
-    return sinks.start(counted, outputs, checkpoint, "transaction_windows", available_now)
+    return sinks.start(counted, outputs, checkpoint, "transaction_windows", every, available_now)
 
 
-def keep_rejected(messages: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def keep_rejected(
+    messages: DataFrame, path: str, checkpoint: str, every: str | None = None, available_now: bool = False
+) -> StreamingQuery:
     """Messages that cannot be decoded, kept as they came."""
     bad = rejected(decode(messages))
-    return sinks.start(bad, [sinks.batch_table_sink(path)], checkpoint, "rejected_messages", available_now)
+    return sinks.start(bad, [sinks.batch_table_sink(path)], checkpoint, "rejected_messages", every, available_now)
 
 
-def count_minutes(events: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def count_minutes(
+    events: DataFrame, path: str, checkpoint: str, every: str | None = None, available_now: bool = False
+) -> StreamingQuery:
     """Per-minute partial counts of each batch; `read_minutes` adds them up, late events included."""
     output = sinks.batch_table_sink(path, minute_partials)
-    return sinks.start(events, [output], checkpoint, "minute_partials", available_now)
+    return sinks.start(events, [output], checkpoint, "minute_partials", every, available_now)
 
 
 def read_minutes(spark: SparkSession, path: str) -> DataFrame:

@@ -85,9 +85,18 @@ def composite_sink(sinks: Sequence[Sink]) -> Sink:
 
 
 def start(
-    rows: DataFrame, sinks: Sequence[Sink], checkpoint: str, name: str | None = None, available_now: bool = False
+    rows: DataFrame,
+    sinks: Sequence[Sink],
+    checkpoint: str,
+    name: str | None = None,
+    every: str | None = None,
+    available_now: bool = False,
 ) -> StreamingQuery:
-    """Start a query in append mode that feeds `sinks`; `available_now` stops it at the end of the input."""
+    """Start a query in append mode that feeds `sinks`.
+
+    Batches run back to back, or `every` so often (such as "5 minutes", which makes fewer and larger
+    files); `available_now` stops at the end of the input.
+    """
     writer = (
         rows.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
@@ -97,4 +106,6 @@ def start(
         writer = writer.queryName(name)
     if available_now:
         writer = writer.trigger(availableNow=True)
+    elif every:
+        writer = writer.trigger(processingTime=every)
     return writer.start()

@@ -111,6 +111,13 @@ def test_history_replaces_the_whole_table(spark, products, tmp_path):
     assert rows_of(read_staging(spark, products, "products"), "product_id", "ingest_date") == [("P7", NEXT)]
 
 
+def test_rejected_history_leaves_the_table(spark, products, tmp_path):
+    (tmp_path / "products.csv").write_text(f"{HEADER}\nP7,Sofa,Home,70\n,Nameless,Home,1\n")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        replace_all(read_history(spark, str(tmp_path), "products"), products, "products", NEXT)
+    assert rows_of(read_staging(spark, products, "products"), "product_id") == [("P1",), ("P2",)]
+
+
 def test_one_day_read_prunes_partitions(spark, products):
     deliver(products, "products", NEXT, HEADER, "P3,Lamp,Home,3")
     load(spark, products, NEXT)

@@ -103,6 +103,15 @@ def test_corrected_extract_replaces_the_sales(spark, two_days):
     assert rows_of(read_fact(spark, two_days, TUE, TUE), "transaction_item_id", "quantity") == [("I4", 3), ("I5", 1)]
 
 
+def test_daily_run_drops_expired_staging(spark, two_days):
+    later = MON + timedelta(days=31)
+    deliver(two_days, later, {**FILES, "transactions": [f"T1,C1,{later},220.00,K1", f"T2,C2,{later},20.00,"]})
+    pipeline.run_day(spark, two_days, later)
+    kept = read_staging(spark, two_days, "transactions").select("ingest_date").distinct()
+    assert rows_of(kept) == [(TUE,), (later,)]
+    assert read_fact(spark, two_days, MON, later).count() == 7
+
+
 def test_empty_extract_stops_the_run(spark, layout):
     deliver(layout, MON, {**FILES, "products": []})
     with pytest.raises(CheckFailed, match="products landed"):

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from saleslake.layout import Layout
+from saleslake.session import setting
 
 Sink = Callable[[DataFrame, int], None]
 
+# Events are counted per window before they are shuffled, so what reaches the state is a few rows per
+# window and task, however many events there are. Each partition more only adds files to every commit.
+STATE_PARTITIONS = 8
+
 
 def window_line() -> F.Column:
     """The printed form of a closed window."""
@@ -91,11 +96,13 @@ def start(
     name: str | None = None,
     every: str | None = None,
     available_now: bool = False,
+    state_partitions: int = STATE_PARTITIONS,
 ) -> StreamingQuery:
     """Start a query in append mode that feeds `sinks`.
 
     Batches run back to back, or `every` so often (such as "5 minutes", which makes fewer and larger
-    files); `available_now` stops at the end of the input.
+    files); `available_now` stops at the end of the input. A restarted query keeps the number of
+    `state_partitions` its checkpoint was made with.
     """
     writer = (
         rows.writeStream.outputMode("append")
@@ -108,4 +115,5 @@ def start(
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=every)
-    return writer.start()
+    with setting(rows.sparkSession, "spark.sql.shuffle.partitions", str(state_partitions)):
+        return writer.start()

@@ -228,3 +228,15 @@ def test_window_length_and_lateness_are_parameters(spark, topic, layout, tmp_pat
     rows = windowed_counts(accepted(decode(topic.stream())), "5 minutes", "30 seconds")
     sinks.start(rows, [sinks.table_sink(layout)], str(tmp_path / "c"), available_now=True).awaitTermination()
     assert windows(spark, layout) == [(timedelta(0), 2, money("2"))]
+
+
+def test_number_of_state_partitions_is_kept_small(spark, topic, layout, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    topic.send(message(0, 1))
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        query = run(topic, layout, tmp_path)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert query.lastProgress.stateOperators[0].numShufflePartitions == sinks.STATE_PARTITIONS

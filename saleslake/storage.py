@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from datetime import date
 
@@ -22,7 +23,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def delete(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _file_system(spark, path)
-    fs.delete(hadoop_path, True)
+    if not fs.delete(hadoop_path, True) and fs.exists(hadoop_path):
+        raise OSError(f"could not delete {path}")
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete `path` when the application ends; until then lazy results may read it."""
+    fs, hadoop_path = _file_system(spark, path)
+    fs.deleteOnExit(hadoop_path)
 
 
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
@@ -48,7 +56,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     application = spark.sparkContext.applicationId
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_work_dirs.setdefault(application, tempfile.mkdtemp(prefix="saleslake-"))
+        if application not in _local_work_dirs:
+            _local_work_dirs[application] = tempfile.mkdtemp(prefix="saleslake-")
+        base = _local_work_dirs[application]
     return f"{base.rstrip('/')}/saleslake/{application}/{name}"

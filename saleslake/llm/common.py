@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saleslake import storage
@@ -52,3 +52,23 @@ def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def ranked(rows: DataFrame, key: str, n: str, order: list[str]) -> DataFrame:
+    """`rows` with `rank`: the place of a row among those of its key, gapless from 0, in some fixed order.
+
+    `n` names a column with the number of rows of the key. These are ranked in about the square root of that many
+    groups, whose sizes are then added up, so that a key with most of the rows is ranked by many tasks.
+    """
+    groups = F.greatest(F.lit(1), F.round(F.sqrt(n))).cast("int")
+    parted = stored(rows.withColumn("_part", F.pmod(F.xxhash64(*order), groups).cast("int")), "parted")
+    sizes = parted.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_key", "_of", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(key, "_part").orderBy(*order)
+    return (
+        parted.withColumn("_nth", F.row_number().over(within))
+        .join(starts, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_of")))
+        .withColumn("rank", F.col("_start") + F.col("_nth") - 1)
+        .select(*rows.columns, "rank")
+    )

@@ -16,10 +16,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslake.llm.common import pieces_of, stored, text_bytes
+from saleslake.llm.common import pieces_of, ranked, stored, text_bytes
 
 CAPACITY = 4096
 END = 1
@@ -242,8 +242,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     A null text is empty: one piece with the end token alone. Repeated rows are packed like others, a null doc_id stays
     null, an empty table gives no rows; columns other than doc_id and text are ignored.
 
-    Pieces of one length are ranked in about the square root of their number of groups, so a length that many
-    documents share is ranked by many tasks.
+    The lengths' counts and the runs of the plan are small whatever the input is, and are broadcast.
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, tokenizer_path, capacity, end), "pieces")
@@ -253,29 +252,16 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
         plan(counts, capacity).runs,
         "run_length long, run_rank long, items long, each long, sequence long, run_offset long",
     )
-    groups = spark.createDataFrame([(x, max(1, round(n**0.5))) for x, n in counts.items()], "of_length long, groups int")
-    grouped = stored(
-        cut.join(F.broadcast(groups), F.col("length") == F.col("of_length")).select(
-            *cut.columns, F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups")).cast("int").alias("part")
-        ),
-        "grouped",
-    )
-    before = Window.partitionBy("of_length").orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = grouped.groupBy(F.col("length").alias("of_length"), F.col("part").alias("of_part")).agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("of_length", "of_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = (
-        grouped.withColumn("nth", F.row_number().over(within))
-        .join(starts, (F.col("length") == F.col("of_length")) & (F.col("part") == F.col("of_part")))
-        .withColumn("rank", F.col("before") + F.col("nth") - 1)
-    )
+    sizes = spark.createDataFrame(list(counts.items()), "of_length long, n long")
+    counted = cut.join(F.broadcast(sizes), F.col("length") == F.col("of_length")).select(*cut.columns, "n")
+    placed = ranked(counted, "length", "n", ["doc_id", "piece", "ids_crc32"])
     in_run = (
         (F.col("length") == F.col("run_length"))
         & (F.col("rank") >= F.col("run_rank"))
         & (F.col("rank") < F.col("run_rank") + F.col("items"))
     )
     nth = F.col("rank") - F.col("run_rank")
-    return ranked.join(F.broadcast(runs), in_run).select(
+    return placed.join(F.broadcast(runs), in_run).select(
         *cut.columns,
         (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("run_offset") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"),

@@ -68,7 +68,7 @@ def masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for n in range(flips + 1) for c in combinations(range(bits), n)], np.uint64)
 
 
-def _lowest_linked(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+def lowest_linked(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """For links among 0..n-1 the smallest number each can reach."""
     label = np.arange(n)
     while len(left):
@@ -134,7 +134,7 @@ def bucket_links(fps: np.ndarray, ids: np.ndarray, bucket: int, radius: int, buc
         right.append(others[near])
     if not left:
         return ids[:0], ids[:0]
-    label = _lowest_linked(np.concatenate(left), np.concatenate(right), len(fps))
+    label = lowest_linked(np.concatenate(left), np.concatenate(right), len(fps))
     moved = label != np.arange(len(fps))
     return ids[moved], ids[label[moved]]
 

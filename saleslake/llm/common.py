@@ -21,14 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
+def stored(rows: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Rows written to the shared work folder and read again, which cuts the lineage.
 
     The folder goes when the application ends; results that are still lazy may read it until then.
     """
     spark = rows.sparkSession
     path = storage.work_dir(spark, f"{name}-{uuid4().hex}")
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=compression)
     storage.delete_at_exit(spark, path)
     return spark.read.schema(rows.schema).parquet(path)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslake.llm import embeddings, exact_dedup, html, packing, sentencepieces, sharding, simhash
+from saleslake.llm import embeddings, exact_dedup, html, packing, ppm, sentencepieces, sharding, simhash
 from saleslake.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
+    "op6_ppm": op6_ppm,
     "op8_embeddings": op8_embeddings,
     "op9_sharding": op9_sharding,
 }

@@ -34,22 +34,22 @@ _END_WORD = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _packed(values: np.ndarray) -> bytes:
+def packed(values: np.ndarray) -> bytes:
     """An array as compressed bytes, the first bytes of all numbers before the second ones."""
     return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
 
 
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
+def unpacked(data: bytes, kind: str) -> np.ndarray:
     flat = np.frombuffer(zstandard.decompress(data), np.uint8)
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _packed_keys(keys: np.ndarray) -> bytes:
-    return _packed(np.diff(keys, prepend=np.uint64(0)))
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +223,7 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
                 yield _rows([name] * n, ["doc"] * n, [0] * n, ids[some], texts[some], [b""] * n)
             for kind, (keys, counts) in (("gram", gram_counts(texts, learnt, order)), ("word", word_counts(texts, learnt))):
                 for bucket, k, c in _dealt(keys, counts, _buckets(keys, buckets)):
-                    yield _rows([name], [kind], [bucket], [None], [_packed_keys(k)], [_packed(c)])
+                    yield _rows([name], [kind], [bucket], [None], [packed_keys(k)], [packed(c)])
 
         for batch in batches:
             for doc_id, text, flag in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -244,20 +244,20 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
     def gather(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
         """Words: the counts, back to the blocks. Grams: each once with its count, to the part of the trie it is in."""
         kind, bucket = key[0].as_py(), key[1].as_py()
-        parts = [_unpacked_keys(x.as_py()) for x in found.column("keys")]
-        keys, counts = _summed(np.concatenate(parts), np.concatenate([_unpacked(x.as_py(), "<i8") for x in found.column("counts")]))
+        parts = [unpacked_keys(x.as_py()) for x in found.column("keys")]
+        keys, counts = _summed(np.concatenate(parts), np.concatenate([unpacked(x.as_py(), "<i8") for x in found.column("counts")]))
         rows: list[tuple] = []
         if kind == "word":
             rows.append(("words", bucket, b"", b"", int(counts.sum()), int((counts > 0).sum())))
             for block, part in zip(found.column("block").to_pylist(), parts, strict=True):
                 at, _ = _found(keys, part)
-                rows.append(("word", block, _packed_keys(part), _packed(counts[at]), 0, 0))
+                rows.append(("word", block, packed_keys(part), packed(counts[at]), 0, 0))
         else:
             low, n = _summed(keys[counts > 0] & _mask(SHORT), counts[counts > 0])
-            rows.append(("short", bucket, _packed_keys(low), _packed(n), 0, 0))
+            rows.append(("short", bucket, packed_keys(low), packed(n), 0, 0))
             stem = (keys >> np.uint64(8)) & np.uint64(0xFFFFFF)
             for place, k, c in _dealt(keys, counts, _buckets(stem, buckets)):
-                rows.append(("trie", place, _packed_keys(k), _packed(c), 0, 0))
+                rows.append(("trie", place, packed_keys(k), packed(c), 0, 0))
         return _table(rows)
 
     gathered_shape = "kind string, place long, keys binary, counts binary, tokens long, known long"
@@ -271,11 +271,11 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
     # Bounded: at most 256 ** (SHORT + 1) keys.
     def merge(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
         keys, counts = _merged(found)
-        return pa.table({"keys": pa.array([_packed_keys(keys)], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary())})
+        return pa.table({"keys": pa.array([packed_keys(keys)], pa.binary()), "counts": pa.array([packed(counts)], pa.binary())})
 
     some = gathered.where("kind = 'short'").select((F.col("place") % 16).alias("part"), "keys", "counts")
     merged = some.groupBy("part").applyInArrow(merge, "keys binary, counts binary").collect()
-    parts = [(_unpacked_keys(row["keys"]), _unpacked(row["counts"], "<i8")) for row in merged] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    parts = [(unpacked_keys(row["keys"]), unpacked(row["counts"], "<i8")) for row in merged] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     short = spark.sparkContext.broadcast(_summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
 
     def predict(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
@@ -283,19 +283,19 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
         keys, counts = _merged(found)
         seen = counts > 0
         found_logs = log_probabilities(keys, keys[seen], counts[seen], short_levels(*short.value), order)
-        rows = [(bucket, _packed_keys(k), _packed(v)) for bucket, k, v in _dealt(keys, found_logs.astype("<f4"), _buckets(keys, buckets))]
+        rows = [(bucket, packed_keys(k), packed(v)) for bucket, k, v in _dealt(keys, found_logs.astype("<f4"), _buckets(keys, buckets))]
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("bucket", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())))})
 
     trie = gathered.where("kind = 'trie'").select("place", "keys", "counts")
     model = stored(trie.groupBy("place").applyInArrow(predict, "bucket long, keys binary, logs binary"), "model")
 
     def answer(key: tuple[pa.Scalar, ...], requests: pa.Table, known: pa.Table) -> pa.Table:
-        keys = [_unpacked_keys(x.as_py()) for x in known.column("keys")]
-        logs = [_unpacked(x.as_py(), "<f4") for x in known.column("logs")]
+        keys = [unpacked_keys(x.as_py()) for x in known.column("keys")]
+        logs = [unpacked(x.as_py(), "<f4") for x in known.column("logs")]
         keys, logs = np.concatenate(keys), np.concatenate(logs)
         order_ = np.argsort(keys)
         keys, logs = keys[order_], logs[order_]
-        answers = [_packed(logs[_found(keys, _unpacked_keys(x.as_py()))[0]]) for x in requests.column("keys")]
+        answers = [packed(logs[_found(keys, unpacked_keys(x.as_py()))[0]]) for x in requests.column("keys")]
         return pa.table({"block": requests.column("block"), "keys": requests.column("keys"), "counts": pa.array(answers, pa.binary())})
 
     requests = asked.where("kind = 'gram'").select("bucket", "block", "keys")
@@ -311,8 +311,8 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
         found = {}
         for kind, number in (("gram", "<f4"), ("word", "<i8")):
             rows = told.filter(pc.equal(told.column("kind"), kind))
-            keys = np.concatenate([_unpacked_keys(x.as_py()) for x in rows.column("keys")])
-            values = np.concatenate([_unpacked(x.as_py(), number) for x in rows.column("counts")])
+            keys = np.concatenate([unpacked_keys(x.as_py()) for x in rows.column("keys")])
+            values = np.concatenate([unpacked(x.as_py(), number) for x in rows.column("counts")])
             by_key = np.argsort(keys)
             found[kind] = (keys[by_key], values[by_key])
         raw = [x.as_py() for x in texts.column("keys")]
@@ -344,8 +344,8 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
 
 
 def _merged(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [_unpacked_keys(x.as_py()) for x in found.column("keys")]
-    counts = [_unpacked(x.as_py(), "<i8") for x in found.column("counts")]
+    keys = [unpacked_keys(x.as_py()) for x in found.column("keys")]
+    counts = [unpacked(x.as_py(), "<i8") for x in found.column("counts")]
     return _summed(np.concatenate(keys), np.concatenate(counts))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslake.llm import embeddings, exact_dedup, html, packing, ppm, sentencepieces, sharding, simhash
+from saleslake.llm import embeddings, exact_dedup, html, packing, ppm, sentencepieces, sharding, simhash, toxicity
 from saleslake.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scored(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_ppm": op6_ppm,
+    "op7_toxicity": op7_toxicity,
     "op8_embeddings": op8_embeddings,
     "op9_sharding": op9_sharding,
 }

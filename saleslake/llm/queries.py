@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslake.llm import embeddings, exact_dedup, html, packing, ppm, sentencepieces, sharding, simhash, toxicity
+from saleslake.llm import embeddings, exact_dedup, html, language, packing, ppm, sentencepieces, sharding, simhash, toxicity
 from saleslake.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_simhash": op2_simhash,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_embeddings": op8_embeddings,
     "op9_sharding": op9_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE: dict[str, str] = {

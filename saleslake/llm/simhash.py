@@ -3,6 +3,9 @@
 Two fingerprints with at most r differing bits share a variant that differs from each in at most r/2 bits. Every
 fingerprint emits all its variants within r/2 and fingerprints meet on equal variants. Any two that meet are within r
 of each other, so linking each to the smallest one that it meets loses no link, whatever the size of a group.
+
+`near_duplicates` links by fingerprint alone. `near_copies` takes such links as candidates, from several fingerprints
+of word pairs, and keeps those whose sets of five-word shingles are similar.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleslake.llm.common import pieces_of, stored, text_bytes, words
 from saleslake.llm.components import connected
+from saleslake.operators.joins import lookup_join
 
 BITS = 64
 SEED = 42
@@ -38,28 +42,43 @@ def shingles(found: list[bytes], width: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(found[i:] for i in range(width)), strict=False))
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Bit j is 1 if it is set in over half of the shingles' hashes."""
+def _mixed(hashes: np.ndarray, view: int) -> np.ndarray:
+    """The hashes of another view: a fixed mixing of the first one's."""
+    if not view:
+        return hashes
+    x = hashes + np.uint64(view * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes, width: int, views: int = 1) -> list[int]:
+    """For each view a fingerprint: bit j is 1 if it is set in over half of the shingles' hashes."""
     found = words(text)
     total = max(len(found) - width + 1, 1) if found else 0
     runs = shingles(found, width)
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((views, BITS), np.int64)
     for start in range(0, total, _SHINGLES_AT_ONCE):
         n = min(_SHINGLES_AT_ONCE, total - start)
         hashes = np.fromiter((xxhash.xxh64_intdigest(next(runs), SEED) for _ in range(n)), np.uint64, n)
-        ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little", signed=True)
+        for view in range(views):
+            mixed = _mixed(hashes, view).astype("<u8").view(np.uint8).reshape(n, 8)
+            ones[view] += np.unpackbits(mixed, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every whole text; fp as a signed long, zero for a text without words."""
+def fingerprints(docs: DataFrame, width: int, views: int = 1) -> DataFrame:
+    """(doc_id, view, fp) of every whole text; fp as a signed long, zero for a text without words."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            found = [fingerprint(text.as_py(), width) for text in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = np.array([fingerprint(text.as_py(), width, views) for text in batch.column(1)], np.int64)
+            ids = pa.array([x for x in batch.column(0).to_pylist() for _ in range(views)], pa.int64())
+            view = np.tile(np.arange(views, dtype=np.int32), batch.num_rows)
+            yield pa.record_batch([ids, pa.array(view), pa.array(found.ravel())], names=["doc_id", "view", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(read, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    return source.mapInArrow(read, "doc_id long, view int, fp long")
 
 
 @cache
@@ -119,8 +138,10 @@ def meet(fps: np.ndarray, flips: np.ndarray, bits: int, at_once: int = VARIANTS_
         yield heads, owners
 
 
-def bucket_links(fps: np.ndarray, ids: np.ndarray, bucket: int, radius: int, bucket_bits: int, at_once: int = VARIANTS_AT_ONCE):
-    """Links found among the fingerprints sent to one bucket, as (id, smallest id it reaches here)."""
+def bucket_links(
+    fps: np.ndarray, ids: np.ndarray, bucket: int, radius: int, bucket_bits: int, direct: bool = False, at_once: int = VARIANTS_AT_ONCE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links found among the fingerprints sent to one bucket: (id, smallest id it reaches here), or all of them if `direct`."""
     order = np.argsort(ids, kind="stable")
     fps, ids = fps[order], ids[order]
     low_bits = BITS - bucket_bits
@@ -134,24 +155,37 @@ def bucket_links(fps: np.ndarray, ids: np.ndarray, bucket: int, radius: int, buc
         right.append(others[near])
     if not left:
         return ids[:0], ids[:0]
-    label = lowest_linked(np.concatenate(left), np.concatenate(right), len(fps))
+    heads, others = np.concatenate(left), np.concatenate(right)
+    if direct:
+        pairs = np.unique(heads * len(fps) + others)
+        return ids[pairs % len(fps)], ids[pairs // len(fps)]
+    label = lowest_linked(heads, others, len(fps))
     moved = label != np.arange(len(fps))
     return ids[moved], ids[label[moved]]
 
 
-def links(classes: DataFrame, radius: int, bucket_bits: int = BUCKET_BITS) -> DataFrame:
-    """Links (u, v) that connect all of `classes` (fp, first) whose fingerprints differ in at most `radius` bits."""
+def links(classes: DataFrame, radius: int, direct: bool = False, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+    """Links (u, v) that connect all of `classes` (view, fp, first) whose fingerprints differ in at most `radius` bits."""
 
     def find(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         fps = rows.column("fp").to_numpy().view(np.uint64)
-        u, v = bucket_links(fps, rows.column("first").to_numpy(), key[0].as_py(), radius, bucket_bits)
+        u, v = bucket_links(fps, rows.column("first").to_numpy(), key[1].as_py(), radius, bucket_bits, direct)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     near = F.array(*(F.lit(int(m)) for m in masks(bucket_bits, radius // 2)))
-    dealt = classes.select("fp", "first", F.explode(near).alias("mask")).select(
-        "fp", "first", F.shiftrightunsigned("fp", BITS - bucket_bits).bitwiseXOR(F.col("mask")).cast("int").alias("bucket")
+    dealt = classes.select("view", "fp", "first", F.explode(near).alias("mask")).select(
+        "view", "fp", "first", F.shiftrightunsigned("fp", BITS - bucket_bits).bitwiseXOR(F.col("mask")).cast("int").alias("bucket")
     )
-    return dealt.groupBy("bucket").applyInArrow(find, "u long, v long")
+    return dealt.groupBy("view", "bucket").applyInArrow(find, "u long, v long")
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    return stored(prints.groupBy("view", "fp").agg(F.min("doc_id").alias("first")), "classes")
+
+
+def _check(radius: int) -> None:
+    if radius % 2:
+        raise ValueError("the radius must be even: each side takes half of it")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -161,10 +195,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     doc_id is not an identifier: its row takes part if another row has the same fingerprint, and else links to nothing
     and gets a null component. An empty table gives no rows; further columns are ignored.
     """
-    if radius % 2:
-        raise ValueError("the radius must be even: each side takes half of it")
+    _check(radius)
     prints = stored(fingerprints(docs, width), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = _classes(prints)
     found = connected(links(classes.where("first is not null"), radius))
     named = stored(
         classes.join(found, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component_id")),
@@ -176,11 +209,50 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     )
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """One document of each group, that with the smallest id, with all its columns; rows without id stay."""
-    stay = near_duplicates(docs, width, radius).where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
-    first = Window.partitionBy("id").orderBy(F.col("doc.text").isNull())
-    joined = keyed.join(stored(stay, "stay"), F.col("id") == F.col("stay_id"))
-    named = joined.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc.*")
-    return named.unionByName(docs.where("doc_id is null"))
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles): the different shingles' hashes of every whole text."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, 128):
+            sets = [{xxhash.xxh64_intdigest(x, SEED) for x in shingles(words(text.as_py()), width)} for text in batch.column(1)]
+            column = pa.array([np.array(sorted(x), np.uint64).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), column], names=["doc_id", "shingles"])
+
+    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(read, "doc_id long, shingles array<long>")
+
+
+def near_copies(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 2, views: int = 8, radius: int = 4
+) -> DataFrame:
+    """(doc_id, component_id) of the documents that are similar to another one; the component is the smallest id reached.
+
+    Candidates are documents whose fingerprints of `width`-word shingles meet in one of the views; a link needs
+    sets of `shingle`-word shingles with at least the Jaccard similarity. (Fingerprints of longer shingles differ in more than
+    four bits for most documents that are just similar enough; word pairs in eight views leave out few.) Texts without words
+    are alike. Rows with a null doc_id take no part; rows that share an id count as one document; an empty table gives
+    no rows; further columns are ignored.
+    """
+    _check(radius)
+    known = docs.where("doc_id is not null")
+    prints = stored(fingerprints(known, width, views), "prints")
+    classes = _classes(prints)
+    # Documents with the same fingerprint as a smaller one, and fingerprints that meet.
+    same = prints.join(classes.hint("merge"), ["view", "fp"]).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    pairs = stored(links(classes, radius, direct=True).unionByName(same).where("u <> v").distinct(), "candidates")
+    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "nodes")
+    texts = lookup_join(known.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), nodes, "doc_id", "inner", ["doc_id"])
+    sets = stored(shingle_sets(texts, shingle).dropDuplicates(["doc_id"]), "shingles")
+    of = lambda node, name: sets.select(F.col("doc_id").alias(node), F.col("shingles").alias(name))
+    both = pairs.join(of("u", "a").hint("merge"), "u").join(of("v", "b").hint("merge"), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    alike = shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)
+    found = connected(both.where(alike).select("u", "v"))
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id, with all its columns."""
+    gone = stored(near_copies(docs, shingle, similarity).where("doc_id <> component_id").select("doc_id"), "gone")
+    # The document's own columns travel in a struct, so that no name can clash.
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
+    return lookup_join(keyed, gone, "doc_id", "left_anti", ["doc_id"]).select("doc.*")

@@ -1,0 +1,58 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+from llm_cases import HERE, SF, empty_documents, odd_documents
+
+from saleslake.llm import exact_dedup
+
+DELETED = str.maketrans("", "", " \t\n\x0b\x0c\r")
+
+
+def plain(rows):
+    """(doc_id, keep_id, group_size, kept, sha) by a dictionary of texts; repeated rows in any order."""
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[(text or "").translate(DELETED)].append((-len(text or ""), doc_id is None, doc_id or 0, doc_id))
+    out = []
+    for bare, members in groups.items():
+        members.sort(key=lambda m: m[:3])
+        sha = hashlib.sha256(bare.encode()).hexdigest()
+        out += [(m[3], members[0][3], len(members), i == 0, sha) for i, m in enumerate(members)]
+    return sorted(out, key=repr)
+
+
+def test_odd_documents(spark):
+    docs = odd_documents(spark).repartition(5)
+    found = exact_dedup.exact_duplicates(docs)
+    assert found.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(map(tuple, found.collect()), key=repr) == plain([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_many_runs_and_levels(spark):
+    rows = [(i, "copy" if i % 3 == 0 else f"t{i % 50}" + " " * (i % 4)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    found = exact_dedup.keepers(docs, fan_in=3).collect()
+    want = {doc_id: keep for doc_id, keep, *_ in plain(rows)}
+    assert {r["doc_id"]: r["keep_id"] for r in found} == want
+    assert sum(r["row"] == r["keep_row"] for r in found) == len(set(want.values()))
+
+
+def test_empty(spark):
+    assert exact_dedup.exact_duplicates(empty_documents(spark)).collect() == []
+    assert exact_dedup.drop_exact_duplicates(empty_documents(spark)).collect() == []
+
+
+def test_what_stays(spark):
+    docs = odd_documents(spark).repartition(5)
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    bare = [(r["text"] or "").translate(DELETED) for r in kept.collect()]
+    assert len(bare) == len(set(bare)) == len({(r["text"] or "").translate(DELETED) for r in docs.collect()})
+
+
+@pytest.mark.skipif(not HERE, reason="sample tables are not there")
+def test_sample(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = exact_dedup.exact_duplicates(docs).collect()
+    assert sorted(map(tuple, found), key=repr) == plain([(r["doc_id"], r["text"]) for r in docs.collect()])

@@ -1,0 +1,52 @@
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from llm_cases import HERE, SF, empty_documents, odd_documents
+
+from saleslake.llm import sentencepieces
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def want(library, text):
+    ids = library.encode(text or "")
+    return len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))
+
+
+def test_odd_documents(spark, library):
+    docs = odd_documents(spark)
+    found = sorted(map(tuple, sentencepieces.coded_digests(docs, PATH).collect()), key=repr)
+    assert found == sorted(((r["doc_id"], *want(library, r["text"])) for r in docs.collect()), key=repr)
+    assert sentencepieces.coded_digests(empty_documents(spark), PATH).collect() == []
+    for row, doc in zip(sentencepieces.encode(docs, PATH).collect(), docs.collect(), strict=True):
+        ids = library.encode(doc["text"] or "")
+        assert row["ids"] == ids
+        assert row["decoded"] == library.decode(ids)
+
+
+def test_random_texts(library):
+    rng = random.Random(2)
+    parts = ["a", "b", " ", "  ", "\n", "é", "▁", "<s>", "<0x41>", "ß", "日本", "́", "😀", "\t", "\x00", "THE", ".", "123", "﻿", "th", "in"]
+    table = sentencepieces.piece_table(PATH)
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert sentencepieces.digests(table, text) == want(library, text), repr(text)
+
+
+@pytest.mark.skipif(not HERE, reason="sample tables are not there")
+def test_sample(spark, library):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = {r["doc_id"]: tuple(r)[1:] for r in sentencepieces.coded_digests(docs, PATH).collect()}
+    assert found == {r["doc_id"]: want(library, r["text"]) for r in docs.collect()}

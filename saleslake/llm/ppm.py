@@ -1,5 +1,8 @@
 """LM scoring by prediction by partial matching: a byte-context trie with escapes and symbol exclusion.
 
+How likely an escape is from a context of so many occurrences and different symbols is itself counted: each training
+occurrence is left out in turn, and is an escape if its symbol is then new in its context.
+
 A gram is a context of `order` bytes and the byte after it; the counts of shorter contexts follow from them. The trie
 is never in one place. Documents stand in blocks; a block asks for each gram it has once. Counts are gathered by the
 grams' hash, probabilities are worked out by the last bytes of the context, below which the trie's deeper contexts lie
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from saleslake.llm.common import fold, stored, text_bytes, words
 
-ORDER = 5
+ORDER = 6
 # Contexts up to this length are counted in one table for all tasks: at most 256 ** 3 numbers, whatever the input is.
 SHORT = 2
 BLOCK_BYTES = 24_000_000
@@ -31,6 +34,8 @@ _POSITIONS = 2_000_000
 _START, _END = 0xFE, 0xFF  # bytes that UTF-8 never has
 _SYMBOLS = 256
 _END_WORD = np.uint64(0xFFFFFFFFFFFFFFFF)
+# Classes of contexts by occurrences and by symbols.
+_MOST_N, _MOST_D = 40, 16
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,22 +163,51 @@ def short_levels(keys: np.ndarray, counts: np.ndarray) -> dict[int, Level]:
     return found
 
 
-def log_probabilities(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, short: dict[int, Level], order: int) -> np.ndarray:
+def long_levels(keys: np.ndarray, counts: np.ndarray, order: int) -> dict[int, Level]:
+    found = {order: Level(keys, counts)}
+    for length in range(order - 1, SHORT, -1):
+        found[length] = found[length + 1].shorter(length)
+    return found
+
+
+def _state(occurrences: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The class of a context by its occurrences (exact to 7, then by half octaves) and symbols (to 7, then octaves)."""
+    n = np.where(occurrences < 8, occurrences, 4 + (2 * np.log2(np.maximum(occurrences, 1))).astype(np.int64))
+    d = np.where(symbols < 8, symbols, 5 + np.log2(np.maximum(symbols, 1)).astype(np.int64))
+    return np.minimum(n, _MOST_N - 1) * _MOST_D + np.minimum(d, _MOST_D - 1)
+
+
+def escape_tally(level: Level) -> np.ndarray:
+    """How often an occurrence that is left out is an escape (row 0) or not (row 1), by the class of what is left."""
+    tally = np.zeros((2, _MOST_N * _MOST_D))
+    if len(level.keys):
+        once = np.add.reduceat((level.counts == 1).astype(np.int64), level.first)
+        several = level.totals > 1
+        total, symbols, once = level.totals[several], level.symbols[several], once[several]
+        np.add.at(tally[0], _state(total - 1, symbols - 1), once)
+        np.add.at(tally[1], _state(total - 1, symbols), total - once)
+    return tally
+
+
+def escape_rates(tally: np.ndarray) -> np.ndarray:
+    return (tally[0] + 0.5) / (tally[0] + tally[1] + 1)
+
+
+def log_probabilities(asked: np.ndarray, levels: dict[int, Level], rates: dict[int, np.ndarray]) -> np.ndarray:
     """log10 of the probability of each asked gram's last byte after its context.
 
-    From the longest context down: a symbol seen there gets its count less a half, the halves together are the escape
-    to the next shorter context, in which the symbols of the longer one are left out. After the empty context all
-    symbols left are equally likely.
+    From the longest context down: a symbol seen there gets its share of what the escape leaves; otherwise the escape is
+    taken to the next shorter context, in which the symbols of the longer one are left out. After the empty context
+    all symbols left are equally likely.
     """
-    levels = dict(short)
-    for length in range(order, SHORT, -1):
-        levels[length] = Level(keys, counts) if length == order else levels[length + 1].shorter(length)
+    order = max(levels)
     result, done = np.zeros(len(asked)), np.zeros(len(asked), bool)
     for length in range(order, -1, -1):
         level = levels[length]
-        at, there = _found(level.contexts, (asked & _mask(length)) >> np.uint64(8))
-        total = np.where(there, level.totals[at], 0) if len(level.keys) else np.zeros(len(asked))
-        symbols = np.where(there, level.symbols[at], 0) if len(level.keys) else np.zeros(len(asked))
+        total, symbols = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        if len(level.keys):
+            at, there = _found(level.contexts, (asked & _mask(length)) >> np.uint64(8))
+            total, symbols = np.where(there, level.totals[at], 0), np.where(there, level.symbols[at], 0)
         longer = levels.get(length + 1)
         if longer is not None and len(longer.keys):
             here, _ = _found(level.keys, longer.keys & _mask(length))
@@ -181,12 +215,13 @@ def log_probabilities(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, s
             at, there = _found(longer.contexts, (asked & _mask(length + 1)) >> np.uint64(8))
             total = total - np.where(there, excluded[at], 0)
             symbols = symbols - np.where(there, longer.symbols[at], 0)
+        rate = rates[length][_state(total, symbols)]
         at, seen = _found(level.keys, asked & _mask(length))
         hit = seen & ~done
         if hit.any():
-            result[hit] += np.log10((level.counts[at[hit]] - 0.5) / total[hit])
+            result[hit] += np.log10((1 - rate[hit]) * level.counts[at[hit]] / total[hit])
         escape = ~seen & ~done & (total > 0)
-        result[escape] += np.log10(0.5 * symbols[escape] / total[escape])
+        result[escape] += np.log10(rate[escape])
         done |= seen
     result[~done] -= np.log10(max(1, _SYMBOLS - len(levels[0].keys)))
     return result
@@ -276,17 +311,36 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
     some = gathered.where("kind = 'short'").select((F.col("place") % 16).alias("part"), "keys", "counts")
     merged = some.groupBy("part").applyInArrow(merge, "keys binary, counts binary").collect()
     parts = [(unpacked_keys(row["keys"]), unpacked(row["counts"], "<i8")) for row in merged] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    short = spark.sparkContext.broadcast(_summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+    lowest = short_levels(*_summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+    trie = gathered.where("kind = 'trie'").select("place", "keys", "counts")
+
+    def tally(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        keys, counts = _merged(found)
+        levels = long_levels(keys[counts > 0], counts[counts > 0], order)
+        tallies = [escape_tally(levels[length]).ravel().tolist() for length in range(SHORT + 1, order + 1)]
+        return pa.table({"length": list(range(SHORT + 1, order + 1)), "tally": pa.array(tallies, pa.list_(pa.float64()))})
+
+    # One small table for each context length.
+    width = 2 * _MOST_N * _MOST_D
+    added = (
+        trie.groupBy("place").applyInArrow(tally, "length long, tally array<double>")
+        .select("length", F.posexplode("tally")).groupBy("length", "pos").agg(F.sum("col").alias("n"))
+    )
+    tallies = {length: np.zeros(width) for length in range(SHORT + 1, order + 1)}
+    for row in added.where("n > 0").collect():
+        tallies[row["length"]][row["pos"]] = row["n"]
+    rates = {length: escape_rates(x.reshape(2, -1)) for length, x in tallies.items()}
+    rates |= {length: escape_rates(escape_tally(level)) for length, level in lowest.items()}
+    short = spark.sparkContext.broadcast((lowest, rates))
 
     def predict(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
         """Probabilities of all grams in one part of the trie, back to the grams' buckets."""
         keys, counts = _merged(found)
-        seen = counts > 0
-        found_logs = log_probabilities(keys, keys[seen], counts[seen], short_levels(*short.value), order)
+        lowest, rates = short.value
+        found_logs = log_probabilities(keys, lowest | long_levels(keys[counts > 0], counts[counts > 0], order), rates)
         rows = [(bucket, packed_keys(k), packed(v)) for bucket, k, v in _dealt(keys, found_logs.astype("<f4"), _buckets(keys, buckets))]
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("bucket", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())))})
 
-    trie = gathered.where("kind = 'trie'").select("place", "keys", "counts")
     model = stored(trie.groupBy("place").applyInArrow(predict, "bucket long, keys binary, logs binary"), "model")
 
     def answer(key: tuple[pa.Scalar, ...], requests: pa.Table, known: pa.Table) -> pa.Table:

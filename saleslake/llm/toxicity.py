@@ -40,11 +40,13 @@ _STANDS_FOR = {
 }
 _MASKS = "*_"
 # Costs in natural logarithms.
-_SIGN, _MASKED, _DROPPED, _DIGIT_DROPPED, _REPEATED = 1.5, 3.0, 2.0, 4.0, 0.7
+_SIGN, _MASKED, _DROPPED, _REPEATED = 1.5, 3.0, 4.0, 0.7
 
 _EDGE = ".,;:!?\"'()[]{}|%#&*-_~^`…«»“”‘’/\\<>="
+_PLAIN_EDGE = "".join(x for x in _EDGE if x not in _STANDS_FOR)
+_ENDS = _EDGE + "".join(x for x in _STANDS_FOR if not x.isalnum())
 _ODD = re.compile(r"[^\W\d_]*(?:[\d@$!|+€£(¡¢#*_.\-]|([^\W\d_])\1\1)")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}[^\s.\-_*]){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}[^\s.\-_*]){2,}(?![^\s.,;:!?\"')\]])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -112,7 +114,7 @@ class Restorer:
                 choices = [(x, _MASKED) for x in _LETTERS[:26]]
             drop = _REPEATED if sign == before and sign in self.code else None
             if sign not in self.code:
-                drop = _DIGIT_DROPPED if sign.isdigit() else _DROPPED if choices else 0.0
+                drop = _DROPPED if choices else 0.0
             before = sign
             step: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, word) in paths.items():
@@ -133,11 +135,10 @@ class Restorer:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             found = _WORD.findall(token)
-            core = token.strip(_EDGE)
-            if _ODD.match(core) and sum(x.isalpha() for x in core) >= 2:
-                found.append(self.decode(core))
-            elif core != token and token[0] in _STANDS_FOR and _ODD.match(inner := token.rstrip(_EDGE)):
-                found.append(self.decode(inner))
+            # Signs at the end are letters in one reading and no part of the word in another; both count.
+            for core in dict.fromkeys((token.strip(_EDGE), token.lstrip(_PLAIN_EDGE).rstrip(_EDGE), token.rstrip(_ENDS))):
+                if sum(x.isalpha() for x in core) >= 2 and _ODD.match(core):
+                    found.append(self.decode(core))
             known = self.known[token] = tuple(x for x in dict.fromkeys(found) if x)
         return known
 

@@ -1,0 +1,89 @@
+import re
+from html import unescape
+
+import pytest
+from llm_cases import HERE, SF
+
+from saleslake.llm import html
+
+SCHEMA = "page_id long, url string, html string, host string, path string, score double, text string"
+
+
+def page(rows, spark):
+    return spark.createDataFrame([(i, url, text, "x", "y", 0.5, "z") for i, url, text in rows], SCHEMA)
+
+
+def frame(body, site="a"):
+    return (
+        f"<html lang=en><head><title>t</title><style>p{{}}</style></head><body class='{site}'><nav><ul><li><a href=/>Home page</a></ul></nav>"
+        f"<div class='ad banner-12'>Buy this now.</div>{body}<aside><p>Not a part of it, though it is quite long.</p></aside>"
+        "<div id=comments><p>First comment of a reader.</p></div><footer>&copy; 2020</footer></body></html>"
+    )
+
+
+ARTICLE = "<p>One <b>bo</b>ld &amp; plain &lt;b&gt; line.<p>Second,\n  with   <a href=x>a link</a>&nbsp;in it.<br>After."
+PLAIN = "One bold & plain <b> line. Second, with a link in it. After."
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<article><h1>Title</h1>{ARTICLE}</article>", f"Title {PLAIN}"),
+        (f"<main><header><h1>Title</h1></header>{ARTICLE}</main>", f"Title {PLAIN}"),
+        (f"<header>Site name and slogan</header><div class='post-77 content'>{ARTICLE}</div>", PLAIN),
+        (f"<div class=wrapper><div class=content>{ARTICLE}<div class='share-buttons'>Share it</div><form>Mail <input></form></div></div>", PLAIN),
+        (f"<article>{ARTICLE}<script>if (a < b) x('</p>')</script><!-- <p>no</p> --><div class=notice>Cookies!</div></article>", PLAIN),
+        (f"<article>{ARTICLE}<table><tr><td>c1<td>c2<tr><td>c3</table><ul><li>i1<li>i2</ul></article>", f"{PLAIN} c1 c2 c3 i1 i2"),
+    ],
+)
+def test_pages(body, text):
+    found = html.Page(frame(body))
+    assert found.text(None) == text
+
+
+def test_malformed():
+    assert html.Page("plain text").text(None) == "plain text"
+    assert html.Page("5 < 6 & 7 <b").text(None) == "5 < 6 & 7"
+    assert html.Page("<div><p>no end <a title='x>y'>link</a").text(None) == "no end link"
+    assert html.Page("").text(None) == ""
+    assert html.Page("<div>" * 3000 + "deep" + "</div>" * 10).text(None) == "deep"
+
+
+def test_consensus(spark):
+    """A page follows its host: the box that is largest on most of its pages, not the one that is on this page."""
+    long, short = "<p>" + "Some words of prose. " * 20, "<p>" + "A few words. " * 12
+    rows = [(i, f"https://h.example.com/{i}", f"<body><div class=b{i}>{long}</div><div class=teaser>{short}</div></body>") for i in range(5)]
+    rows += [(5, "https://H.example.com:80/5", f"<body><div class=b5>{short}</div><div class=teaser>{long}</div></body>")]
+    rows += [(6, "https://h.example.com/6", f"<body><section>{long}</section></body>")]
+    paths = dict(map(tuple, html.consensus_paths(page(rows, spark)).collect()))
+    assert paths == {"h.example.com": ">body"} or paths == {"h.example.com": ">body>div.b#"}
+    found = {r["page_id"]: r["text"] for r in html.main_text(page(rows, spark)).collect()}
+    assert found[6] == ("Some words of prose. " * 20).strip()
+
+
+def test_odd_pages(spark):
+    rows = [
+        (1, None, frame(f"<article>{ARTICLE}</article>")),
+        (1, None, frame(f"<article>{ARTICLE}</article>")),
+        (2, "not an address", ""),
+        (3, "http://u:p@x.example.org/", None),
+        (None, "http://x.example.org/", "<p>alone"),
+        (4, "http://x.example.org/", "<article><p>" + "long text " * 100_000 + "</article>"),
+    ]
+    found = html.main_text(page(rows, spark))
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    texts = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in found.collect()), key=repr)
+    long = ("long text " * 100_000).strip()
+    want = [(1, PLAIN, len(PLAIN))] * 2 + [(2, "", 0), (3, "", 0), (4, long, len(long)), (None, "alone", 5)]
+    assert texts == sorted(want, key=repr)
+    assert html.main_text(page([], spark)).collect() == []
+
+
+@pytest.mark.skipif(not HERE, reason="sample tables are not there")
+def test_sample(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        want[r["page_id"]] = " ".join(unescape(re.sub(r"<[^>]*>", " ", article)).split())
+    assert {r["page_id"]: r["text"] for r in html.main_text(pages).collect()} == want

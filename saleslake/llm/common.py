@@ -54,14 +54,18 @@ def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa
             yield batch.slice(start, rows)
 
 
-def ranked(rows: DataFrame, key: str, n: str, order: list[str]) -> DataFrame:
+def ranked(rows: DataFrame, key: str, n: str, order: list[str], late: Column | None = None) -> DataFrame:
     """`rows` with `rank`: the place of a row among those of its key, gapless from 0, in some fixed order.
 
     `n` names a column with the number of rows of the key. These are ranked in about the square root of that many
-    groups, whose sizes are then added up, so that a key with most of the rows is ranked by many tasks.
+    groups, whose sizes are then added up, so that a key with most of the rows is ranked by many tasks. Rows for which
+    `late` is true come after all others of their key.
     """
     groups = F.greatest(F.lit(1), F.round(F.sqrt(n))).cast("int")
-    parted = stored(rows.withColumn("_part", F.pmod(F.xxhash64(*order), groups).cast("int")), "parted")
+    part = F.pmod(F.xxhash64(*order), groups)
+    if late is not None:
+        part = part + F.when(late, groups).otherwise(0)
+    parted = stored(rows.withColumn("_part", part.cast("int")), "parted")
     sizes = parted.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_key", "_of", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from saleslake.llm.common import ranked, stored
 
 SHARDS = 24
-ROUNDS = 12
+ROUNDS = 30
 # A batch that would take more than this part of a shard's free places is moved in part, a smaller one whole or not.
 _LARGE = 0.02
+# Small batches are drawn for places, so only this part of the quota is given away at a time.
+_DRAWN = 0.8
+# A shard with less than this part of its places free takes no more.
+_FULL = 0.01
 
 
 def _by_shard(values: list, shard: Column) -> Column:
@@ -35,11 +39,13 @@ def _totals(batches: DataFrame, shard: str, shards: int) -> list[int]:
 def propagate(batches: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
     """`batches` (grp, shard, docs) after moves towards the shard with most of the group that has free places.
 
-    Free places count against linked documents only, since documents without links go wherever there is room.
+    Free places count against linked documents only, since documents without links go wherever there is room. It ends when
+    no document wants to move; a group larger than a shard fills one after the other.
     """
     shards = len(capacity)
     for turn in range(rounds):
-        free = [max(0, most - n) for most, n in zip(capacity, _totals(batches, "shard", shards), strict=True)]
+        free = [most - n for most, n in zip(capacity, _totals(batches, "shard", shards), strict=True)]
+        free = [n if n > _FULL * most else 0 for most, n in zip(capacity, free, strict=True)]
         if not any(free):
             break
         open_ = batches.where(_by_shard([x > 0 for x in free], F.col("shard")))
@@ -62,8 +68,8 @@ def propagate(batches: DataFrame, capacity: list[int], rounds: int = ROUNDS) ->
         moved = (
             F.when(F.col("to").isNull(), 0)
             .when(quota >= 1, F.col("docs"))
-            .when(F.col("docs") > _LARGE * _by_shard(free, F.col("to")), F.floor(F.col("docs") * quota))
-            .otherwise(F.when(_chance(F.col("grp"), F.lit(turn)) < quota, F.col("docs")).otherwise(0))
+            .when(F.col("docs") > _LARGE * _by_shard(free, F.col("to")), F.floor(F.col("docs") * quota + _chance(F.col("grp"), F.col("shard"), F.lit(turn))))
+            .otherwise(F.when(_chance(F.col("grp"), F.lit(turn)) < _DRAWN * quota, F.col("docs")).otherwise(0))
         )
         decided = wishes.withColumn("moved", moved.cast("long"))
         ends = F.array(
@@ -114,13 +120,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     )
     in_group = stored(ranked(linked, "grp", "n", ["row"]), "in-group")
     dealt = in_group.join(stored(ends, "ends").hint("merge"), "grp").select(
-        *rows.columns, F.filter("ends", lambda x: F.col("rank") < x["end"])[0]["shard"].alias("shard")
+        *rows.columns,
+        (F.col("n") > max(capacity)).alias("large"),
+        F.filter("ends", lambda x: F.col("rank") < x["end"])[0]["shard"].alias("shard"),
     )
 
-    # What a shard has too many of joins the documents without links, which fill the shards up.
+    # What a shard has too many of, of large groups if it can be, joins the documents without links, which fill the shards up.
     held = _totals(batches, "shard", shards)
     in_shard = stored(
-        ranked(dealt.withColumn("n", _by_shard(held, F.col("shard"))), "shard", "n", ["row"])
+        ranked(dealt.withColumn("n", _by_shard(held, F.col("shard"))), "shard", "n", ["row"], late=F.col("large"))
         .withColumn("stays", F.col("rank") < _by_shard(capacity, F.col("shard"))),
         "in-shard",
     )

@@ -1,0 +1,89 @@
+import random
+
+import numpy as np
+import pytest
+from llm_cases import SF, HERE
+
+from saleslake.llm import embeddings
+
+SCHEMA = "vec_id long, embedding array<float>, label int, id long, component long, codes string, first long, list int"
+
+
+def frame(spark, rows):
+    data = [(i, None if e is None else [None if x is None else float(x) for x in e], label, 1, 2, "c", 3, 4) for i, e, label in rows]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+def plain(rows, cosine=0.98):
+    """By comparing all pairs in double precision."""
+    n = len(rows)
+
+    def usable(e):
+        return e is not None and len(e) and all(x is not None and np.isfinite(x) for x in e) and any(x != 0 for x in e)
+
+    vectors = [np.array(np.array(e, np.float32), float) if usable(e) and label is not None else None for _, e, label in rows]
+    near = [[] for _ in rows]
+    for i in range(n):
+        for j in range(i):
+            a, b = vectors[i], vectors[j]
+            if a is not None and b is not None and rows[i][2] == rows[j][2] and len(a) == len(b):
+                if a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= cosine:
+                    near[i].append(j)
+                    near[j].append(i)
+    out = []
+    for i in range(n):
+        todo, seen = [i], {i}
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        component = min(ids) if ids else None
+        out.append((rows[i][0], len(near[i]), component, rows[i][0] is not None and rows[i][0] == component))
+    return sorted(out, key=repr)
+
+
+def check(spark, rows, **options):
+    found = embeddings.near_duplicates(frame(spark, rows), **options)
+    assert found.columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert sorted(map(tuple, found.collect()), key=repr) == plain(rows)
+
+
+def test_odd_vectors(spark):
+    e = [1.0, 2.0, 3.0]
+    nan, inf = float("nan"), float("inf")
+    check(
+        spark,
+        [
+            (1, e, 1), (1, e, 1), (2, e, 1), (3, [2.0, 4.0, 6.0], 1), (4, e, 2), (5, e, None), (6, e, None), (7, None, 1), (8, [], 1),
+            (9, [0.0, 0.0, 0.0], 1), (10, [0.0, 0.0, 0.0], 1), (11, [1.0, nan, 3.0], 1), (12, [1.0, None, 3.0], 1), (13, [inf, 2.0, 3.0], 1),
+            (14, [1.0, 2.0], 1), (15, [1.0, 2.0], 1), (16, [-1.0, -2.0, -3.0], 1), (17, [1.0, 2.0, 3.05], 1), (None, None, None), (-5, e, 3),
+            (18, [1e-30, 2e-30, 3e-30], 1), (None, [1.0, 2.0, 3.0], 4), (20, [1.0, 2.0, 3.0], 4),
+        ],
+    )
+    assert embeddings.near_duplicates(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk": 16}, {"sample": 40, "chunk": 64}])
+def test_clumps_and_chains(spark, options):
+    """A clump of near copies, chains of neighbours near the limit, copies, and noise; in small chunks and with a small sample too."""
+    rng = np.random.default_rng(3)
+    rows, unit = [], lambda x: x / np.linalg.norm(x)
+    centre = unit(rng.normal(size=24))
+    rows += [(unit(centre + rng.normal(size=24) * 0.02), 1) for _ in range(80)]
+    step = unit(rng.normal(size=24))
+    for _ in range(40):
+        rows.append((step, 2))
+        step = unit(step + unit(rng.normal(size=24)) * rng.uniform(0.17, 0.22))
+    rows += [(unit(rng.normal(size=24)), int(rng.integers(1, 4))) for _ in range(120)]
+    rows += [rows[int(i)] for i in rng.integers(0, len(rows), 30)]
+    ids = random.Random(1).sample(range(1000), len(rows))
+    check(spark, [(i, np.float32(v).tolist(), label) for i, (v, label) in zip(ids, rows, strict=True)], **options)
+
+
+@pytest.mark.skipif(not HERE, reason="sample tables are not there")
+def test_sample(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in vectors.collect()]
+    assert sorted(map(tuple, embeddings.near_duplicates(vectors).collect()), key=repr) == plain(rows)

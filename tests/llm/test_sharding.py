@@ -1,0 +1,61 @@
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from llm_cases import HERE, SF, empty_documents, odd_documents
+
+from saleslake.llm import sharding
+
+
+def check(docs, shards=sharding.SHARDS):
+    found = sharding.assign(docs, shards).collect()
+    texts = [(r["text"] or "").encode() for r in docs.collect()]
+    assert Counter((r["size"], r["text_crc32"]) for r in found) == Counter((len(t) + 8, zlib.crc32(t)) for t in texts)
+    assert Counter(r["doc_id"] for r in found) == Counter(r["doc_id"] for r in docs.collect())
+    slots = defaultdict(list)
+    for r in found:
+        assert 0 <= r["shard"] < shards
+        assert (r["law"], r["grown_shard"]) == ("rows", None)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    sizes = [len(slots.get(s, [])) for s in range(shards)]
+    assert max(sizes) - min(sizes) <= 1
+    return found
+
+
+def test_odd_documents(spark):
+    found = sharding.assign(odd_documents(spark))
+    assert found.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    check(odd_documents(spark))
+    assert sharding.assign(empty_documents(spark)).collect() == []
+
+
+def test_links_within_shards(spark):
+    """Small groups stay whole; a group with a third of all rows fills few shards."""
+    texts = ["hot"] * 800 + [f"group {i // 4}" for i in range(400)] + [f"alone {i}" for i in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = check(docs)
+    shards = defaultdict(Counter)
+    for r in found:
+        shards[texts[r["doc_id"]]][r["shard"]] += 1
+    assert sum(len(n) > 1 for t, n in shards.items() if t.startswith("group")) <= 3
+    # 800 rows need eight shards of 100; label propagation leaves a small rest elsewhere at most.
+    best = sum(n for _, n in shards["hot"].most_common(9))
+    assert best >= 0.85 * 800
+
+
+def test_too_many_links(spark):
+    """Groups alone fill the shards: there is nothing to fill up with, and the counts are still even."""
+    docs = spark.createDataFrame([(i, f"g{i % 7}") for i in range(500)], "doc_id long, text string")
+    check(docs, 5)
+
+
+@pytest.mark.skipif(not HERE, reason="sample tables are not there")
+def test_sample(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = check(docs)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    shards = defaultdict(set)
+    for r in found:
+        shards[text[r["doc_id"]]].add(r["shard"])
+    assert sum(len(s) - 1 for s in shards.values()) <= 3

@@ -38,7 +38,7 @@ def test_odd_rows(spark):
     kept = language.drop_unidentified(docs)
     assert kept.columns == docs.columns
     texts = [r["text"] for r in kept.collect()]
-    assert "A." in texts and "word " * 30_000 + "end" in texts
+    assert "word " * 30_000 + "end" in texts
     assert None not in texts and "" not in texts
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date
+from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,17 @@ END_OF_TIME = date(9999, 12, 31)
 WEEKEND_DAYS = (1, 7)
 
 
+def each_day(start: date, end: date) -> list[date]:
+    return [start + timedelta(days=i) for i in range((end - start).days + 1)]
+
+
+def on_days(column: Column, days: Sequence[date]) -> Column:
+    """The date is one of `days`: a range where they have no gap."""
+    within = column.between(day(min(days)), day(max(days)))
+    gaps = (max(days) - min(days)).days + 1 != len(set(days))
+    return within & column.isin([day(d) for d in sorted(set(days))]) if gaps else within
+
+
 def day(value: date) -> Column:
     return F.lit(value).cast("date")
 

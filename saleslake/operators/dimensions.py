@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from saleslake.operators.upsert import upsert
 # The member that sales without a campaign point to.
 UNKNOWN_CAMPAIGN = {"campaign_id": "UNKNOWN", "campaign_name": "No Campaign (Organic)", "channel": "Organic"}
 
+_BEFORE_ALL = datetime(1900, 1, 1, tzinfo=timezone.utc)
+
 # Customer attributes whose change opens a new version.
 TRACKED = ("name", "email", "city")
 
@@ -41,20 +43,31 @@ def refresh_campaigns(dim: DataFrame, campaigns: DataFrame, loaded_at: datetime)
             "updated_at": _instant(loaded_at),
         }
     )
-    merged = upsert(dim, source, "campaign_id", insert_only=["campaign_key"], version="updated_at")
-    return with_unknown_campaign(merged, loaded_at)
+    return _with_member(dim, source.unionByName(_unknown_campaign(dim.sparkSession).select(*source.columns)), loaded_at)
 
 
 def with_unknown_campaign(dim: DataFrame, loaded_at: datetime) -> DataFrame:
     """`dim` plus the unknown member if it is missing; an existing one is left as it is."""
+    return _with_member(dim, _unknown_campaign(dim.sparkSession), loaded_at)
+
+
+def _with_member(dim: DataFrame, source: DataFrame, loaded_at: datetime) -> DataFrame:
+    """`dim` after merging campaigns, the unknown member among them.
+
+    The member is older than any other row, so one that is stored stays as it is; `dim` is read once.
+    """
+    merged = upsert(dim, source, "campaign_id", insert_only=["campaign_key"], version="updated_at")
+    added = F.col("updated_at") == _instant(_BEFORE_ALL)
+    return merged.withColumn("updated_at", F.when(added, _instant(loaded_at)).otherwise(F.col("updated_at")))
+
+
+def _unknown_campaign(spark: SparkSession) -> DataFrame:
     values = {name: F.lit(value) for name, value in UNKNOWN_CAMPAIGN.items()}
     values["campaign_key"] = F.lit(UNKNOWN_KEY)
-    values["updated_at"] = _instant(loaded_at)
-    member = dim.sparkSession.range(1).select(
+    values["updated_at"] = _instant(_BEFORE_ALL)
+    return spark.range(1).select(
         *(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.DIM_CAMPAIGN.fields)
     )
-    present = dim.where(F.col("campaign_key") == UNKNOWN_KEY).select("campaign_key")
-    return dim.unionByName(member.join(present, "campaign_key", "left_anti").select(*dim.columns))
 
 
 def changed(tracked: Sequence[str], old: str, new: str, null_safe: bool = True) -> Column:

@@ -24,7 +24,7 @@ def require_unique(rows: DataFrame, keys: Sequence[str], what: str) -> None:
 def upsert(
     target: DataFrame, source: DataFrame, key: str, insert_only: Sequence[str] = (), version: str | None = None
 ) -> DataFrame:
-    """`target` after merging `source`, which must be unique on `key`.
+    """`target` after merging `source`, which must be unique on `key`; else the job that reads the result fails.
 
     A matched row takes the source's values except in `insert_only` columns, which a row gets once when
     it first appears. With `version` it does so only if the source's value of that column is not older,
@@ -33,7 +33,10 @@ def upsert(
     """
     columns = target.columns
     t = target.select(F.col(key), F.struct(*columns).alias("_t"))
-    s = source.select(F.col(key), F.struct(*columns).alias("_s"))
+    # Grouped by the key that the join partitions by anyway, so the rule costs no further shuffle.
+    several = F.raise_error(F.concat(F.lit(f"merge source has several rows for {key} "), F.col(key).cast("string")))
+    grouped = source.groupBy(key).agg(F.first(F.struct(*columns)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    s = grouped.select(F.col(key), F.when(F.col("_n") == 1, F.col("_s")).otherwise(several.cast(grouped.schema["_s"].dataType)).alias("_s"))
     in_target = F.col("_t").isNotNull()
     takes_source = F.col("_s").isNotNull()
     if version is not None:

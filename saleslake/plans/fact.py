@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslake import schemas
-from saleslake.functions.dates import day, overlaps, valid_on
+from saleslake.functions.dates import day, each_day, on_days, overlaps, valid_on
 from saleslake.functions.keys import UNKNOWN_KEY, date_key
+from saleslake.functions.money import line_amount
 from saleslake.layout import Layout
 from saleslake.operators.joins import BROADCAST_LIMIT, hot_values, lookup_join, salted_join
 from saleslake.operators.upsert import upsert
 from saleslake.sinks.tables import write_fact
-from saleslake.sources.tables import read_fact
+from saleslake.sources.tables import read_fact, read_fact_days
 
 
 def resolve_headers(
@@ -25,14 +27,15 @@ def resolve_headers(
     end: date,
     hot_from: DataFrame | None = None,
     broadcast_limit: int = BROADCAST_LIMIT,
+    days: Sequence[date] | None = None,
 ) -> DataFrame:
-    """Transactions of the range with the customer version of their day and their campaign's key.
+    """Transactions of the range, or of certain `days` in it, with the customer version of their day and their campaign's key.
 
     Done before the lines are joined because there are several lines per transaction. Versions that
     ended before the range or began after it are left out first; for a one-day load that leaves at most
     one version per customer. `hot_from` may name the undeduplicated headers, see `resolve_lines`.
     """
-    in_days = F.col("transaction_date").between(day(start), day(end))
+    in_days = on_days(F.col("transaction_date"), days or each_day(start, end))
     in_range = headers.where(in_days)
     sample = in_range if hot_from is None else hot_from.where(in_days)
     versions = customers.where(
@@ -79,6 +82,7 @@ def resolve_lines(
     hot_lines_from: DataFrame | None = None,
     hot_headers_from: DataFrame | None = None,
     broadcast_limit: int = BROADCAST_LIMIT,
+    days: Sequence[date] | None = None,
 ) -> DataFrame:
     """Lines of the range's transactions with all their keys; a key that was not found is null.
 
@@ -86,7 +90,7 @@ def resolve_lines(
     the undeduplicated rows, where hot keys can be looked for without running the deduplication twice.
     """
     sample = lines if hot_lines_from is None else hot_lines_from
-    resolved = resolve_headers(headers, customers, campaigns, start, end, hot_headers_from, broadcast_limit)
+    resolved = resolve_headers(headers, customers, campaigns, start, end, hot_headers_from, broadcast_limit, days)
     wanted = lines.select("transaction_item_id", "transaction_id", "product_id", "quantity", "price")
     hot_transactions = hot_values(sample.select("transaction_id"), "transaction_id")
     # The renamed key column of `resolved` is dropped by the join; the line's own id remains.
@@ -106,7 +110,7 @@ def resolve_lines(
 
 def sales_of(resolved: DataFrame) -> DataFrame:
     """Fact rows: the resolved lines that have a customer version and a product."""
-    amount = (F.col("quantity") * F.col("price")).cast(schemas.MONEY)
+    amount = line_amount(F.col("quantity"), F.col("price"))
     return resolved.where(F.col("customer_key").isNotNull() & F.col("product_key").isNotNull()).select(
         "transaction_item_id",
         "transaction_id",
@@ -139,16 +143,51 @@ def build_sales(*args, **kwargs) -> DataFrame:
     return sales_of(resolve_lines(*args, **kwargs))
 
 
-def load_fact(spark: SparkSession, layout: Layout, sales: DataFrame, start: date, end: date) -> None:
-    """Merge `sales` into the stored fact partitions `start`..`end`; repeating it changes nothing.
+def touching(
+    lines: DataFrame, headers: DataFrame, days: Sequence[date], keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows
+) -> tuple[DataFrame, DataFrame]:
+    """All deliveries of the lines and headers that can matter for sales on `days`; the rest needs no ranking.
 
-    A line already stored in the range is rewritten whole, also if its day changed within the range.
-    A range without stored partitions, the normal case of a daily run, needs no merge join at all.
+    These are headers that any delivery dates to one of the days, and lines that any delivery gives to such a header,
+    with all their deliveries. Where every header is on the days there is nothing to leave out. `keep` may store the ids.
     """
-    existing = read_fact(spark, layout, start, end)
+    on = on_days(F.col("transaction_date"), days)
+    if headers.where(~F.coalesce(on, F.lit(False))).isEmpty():
+        return lines, headers
+    ids = keep(headers.where(on).select("transaction_id").distinct(), "headers")
+    of_headers = lookup_join(lines, ids, "transaction_id", "left_semi", ["transaction_item_id"])
+    items = keep(of_headers.select("transaction_item_id").distinct(), "lines")
+    return (
+        lookup_join(lines, items, "transaction_item_id", "left_semi", ["ingest_date"]),
+        lookup_join(headers, ids, "transaction_id", "left_semi", ["ingest_date"]),
+    )
+
+
+def days_of(lines: DataFrame, headers: DataFrame, on: date) -> list[date]:
+    """The sale days that the deliveries of one day touch: of its headers, and of the headers of its lines.
+
+    A header that was delivered before counts with its earlier days too, so that a line that moves leaves its old day.
+    """
+    delivered = F.col("ingest_date") == day(on)
+    touched = headers.where(delivered).select("transaction_id").unionByName(lines.where(delivered).select("transaction_id")).distinct()
+    dated = lookup_join(headers, touched, "transaction_id", "left_semi", ["ingest_date"])
+    found = dated.where("transaction_date is not null").select("transaction_date").distinct().collect()  # days
+    return sorted({on, *(row[0] for row in found)})
+
+
+def load_fact(
+    spark: SparkSession, layout: Layout, sales: DataFrame, start: date, end: date, days: Sequence[date] | None = None
+) -> None:
+    """Merge `sales` into the stored fact partitions `start`..`end`, or certain `days`; repeating it changes nothing.
+
+    A line already stored on these days is rewritten whole, also if its day changed among them.
+    Days without stored partitions, the normal case of a daily run, need no merge join at all.
+    """
+    days = days or each_day(start, end)
+    existing = read_fact_days(spark, layout, days)
     if not existing.isEmpty():
         sales = upsert(existing, sales, "transaction_item_id")
-    write_fact(sales, layout, start, end)
+    write_fact(sales, layout, days)
 
 
 def stray_lines(spark: SparkSession, layout: Layout, start: date, end: date, first: date, last: date) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslake import schemas, storage
-from saleslake.functions.dates import day
+from saleslake.functions.dates import day, each_day
+from saleslake.functions.money import line_amount
 from saleslake.layout import Layout
 from saleslake.operators import checks
 from saleslake.operators.attribution import attribute
@@ -22,10 +23,9 @@ from saleslake.operators.dimensions import (
     refresh_products,
 )
 from saleslake.operators.joins import lookup_join
-from saleslake.operators.upsert import upsert
 from saleslake.plans import reports
-from saleslake.plans.fact import build_sales, dropped_of, load_fact, resolve_headers, resolve_lines
-from saleslake.plans.pipeline import bootstrap
+from saleslake.plans.fact import build_sales, dropped_of, load_fact, resolve_headers, resolve_lines, touching
+from saleslake.plans.pipeline import backfill, bootstrap, run_day
 from saleslake.session import together
 from saleslake.sinks.tables import (
     STAGING_RETENTION_DAYS,
@@ -45,20 +45,29 @@ LOADED_AT = datetime(2001, 1, 1, tzinfo=timezone.utc)
 
 # What the partial catalogue and the first product and campaign extracts lack.
 LATE_CATEGORY, DROPPED_CATEGORY = "PROMO", "SMALL"
-LATE_CHANNEL, DROPPED_CHANNEL = "SMS", "Email"
+LATE_CHANNEL, DROPPED_CHANNEL = "Phone", "Newsletter"
 
 # Deliveries up to this day make up the fact that later deliveries are merged into.
 FIRST_LOAD_UPTO = date(1998, 6, 30)
+UPSERT_RANGE = (date(1998, 1, 1), date(1998, 6, 30))
+
+# The days of the daily runs.
+RUN_DAYS = (date(2001, 1, 1), date(2001, 1, 2), date(2001, 1, 3))
 
 # A load in steps is cut here, and some days around the cut are loaded again.
 STEP_CUT, STEP_OVERLAP = date(1998, 1, 1), timedelta(days=30)
 
-_samples: dict[tuple[str, str], SampleTables] = {}
-_stars: dict[tuple[str, str], Layout] = {}
+_samples: dict[tuple[str, str, int], SampleTables] = {}
+_stars: dict[tuple[str, str, int], Layout] = {}
+
+
+def _input(spark: SparkSession, sf_dir: str) -> tuple[str, str, int]:
+    """The application and the tables as they are now: what is kept for one input is not used for another."""
+    return spark.sparkContext.applicationId, sf_dir, storage.state_of(spark, sf_dir)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> SampleTables:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _input(spark, sf_dir)
     if key not in _samples or _samples[key].spark is not spark:
         _samples[key] = SampleTables(spark, sf_dir)
     return _samples[key]
@@ -67,6 +76,7 @@ def samples(spark: SparkSession, sf_dir: str) -> SampleTables:
 def scratch(spark: SparkSession, purpose: str) -> Layout:
     """An own, new place for tables in the folder the cluster shares."""
     folder = storage.work_dir(spark, f"{purpose}-{uuid4().hex[:12]}")
+    storage.delete_at_exit(spark, folder)
     return Layout(folder, landing=f"{folder}/landing")
 
 
@@ -77,7 +87,7 @@ def star(spark: SparkSession, sf_dir: str) -> Layout:
     run over the whole history here, so the fact is stored without day partitions, which would bring
     them nothing; `fact_loaded_in_steps` stores and reads the partitioned table.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _input(spark, sf_dir)
     if key not in _stars:
         t = samples(spark, sf_dir)
         layout = scratch(spark, "star")
@@ -112,16 +122,19 @@ def sales(
 ) -> DataFrame:
     """Fact rows of the sample tables against the stored dimensions of `layout`."""
     first, last = t.sales_range
+    lines, headers = t.transaction_items() if deliveries is None else deliveries, t.transactions()
+    if start or end:
+        lines, headers = touching(lines, headers, each_day(start or first, end or last))
     return build_sales(
-        t.newest_items(deliveries),
-        t.newest_transactions(),
+        t.newest_items(lines),
+        t.newest_transactions(headers),
         read_dimension(t.spark, layout, "dim_customer"),
         read_dimension(t.spark, layout, "dim_product"),
         read_dimension(t.spark, layout, "dim_campaign"),
         start or first,
         end or last,
-        hot_lines_from=t.transaction_items(),
-        hot_headers_from=t.transactions(),
+        hot_lines_from=lines,
+        hot_headers_from=headers,
     )
 
 
@@ -192,15 +205,51 @@ def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_upsert_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines delivered later merged into the fact of the earlier deliveries."""
+    """Lines delivered later merged into the stored fact of the earlier deliveries, for the sales of some months."""
     t = samples(spark, sf_dir)
-    layout = star(spark, sf_dir)
+    dimensions = star(spark, sf_dir)
     items = t.transaction_items()
-    earlier = items.where(F.col("ingest_date") <= day(FIRST_LOAD_UPTO))
-    later = items.where(F.col("ingest_date") > day(FIRST_LOAD_UPTO))
-    return upsert(
-        sales(t, layout, deliveries=earlier), sales(t, layout, deliveries=later), "transaction_item_id"
+    early = F.col("ingest_date") <= day(FIRST_LOAD_UPTO)
+    layout = scratch(spark, "upsert")
+    create_tables(spark, layout)
+    for deliveries in (items.where(early), items.where(~early)):
+        load_fact(spark, layout, sales(t, dimensions, *UPSERT_RANGE, deliveries), *UPSERT_RANGE)
+    return read_fact(spark, layout, *UPSERT_RANGE)
+
+
+def daily_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact after daily runs with late and corrected lines and moved orders, a backfill and a replay of the first day.
+
+    The orders are dealt to three days. Some of the second are first delivered as of the first day; second lines of the
+    first day come a day late; some first lines come with a wrong quantity and are corrected on the third day.
+    """
+    t = samples(spark, sf_dir)
+    layout = scratch(spark, "daily")
+    key = F.substring("transaction_id", 4, 20).cast("long")
+    number = F.element_at(F.split("transaction_item_id", "-"), -1).cast("int")
+    headers = t.newest_transactions().withColumns(
+        {"nth": key % 3, "campaign_id": F.lit(None).cast("string"), "transaction_date": F.date_add(day(RUN_DAYS[0]), (key % 3).cast("int"))}
     )
+    lines = t.newest_items().drop("ingest_date").withColumns({"nth": key % 3, "late": (key % 3 == 0) & (number == 2), "wrong": (key % 21 == 0) & (number == 1)})
+    moved = headers.where((key % 15 == 1)).withColumns({"nth": F.lit(0), "transaction_date": day(RUN_DAYS[0])})
+    first = F.col("nth") == 0
+    quantity = F.when(F.col("wrong"), F.col("quantity") + 1).otherwise(F.col("quantity"))
+    for n, on in enumerate(RUN_DAYS):
+        extra = [lines.where(first & ~F.col("late")).withColumn("quantity", quantity), lines.where("late"), lines.where("wrong")][n]
+        extracts = {
+            "customers": t.customers(moved=True),
+            "products": t.products(),
+            "transactions": headers.where(F.col("nth") == n).unionByName(moved.where(F.col("nth") == n)),
+            "transaction_items": extra if n == 0 else extra.unionByName(lines.where(F.col("nth") == n)),
+            "marketing_campaigns": t.campaigns(),
+        }
+        for table, rows in extracts.items():
+            columns = schemas.STAGING[table].fieldNames()
+            rows.select(*columns).write.option("header", True).csv(layout.daily_extract(table, on))
+        run_day(spark, layout, on)
+    backfill(spark, layout, *RUN_DAYS[:2])
+    run_day(spark, layout, RUN_DAYS[0])
+    return read_fact(spark, layout, RUN_DAYS[0], RUN_DAYS[-1])
 
 
 def fact_loaded_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,8 +359,16 @@ def dropped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_total_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three headers state the sum of their lines, the others another amount."""
     t = samples(spark, sf_dir)
-    return checks.header_total_mismatches(t.newest_items(), t.newest_transactions())
+    items = t.newest_items()
+    amount = line_amount(F.col("quantity"), F.col("price"))
+    sums = items.groupBy("transaction_id").agg(F.sum(amount).alias("lines_total"))
+    true = F.coalesce("lines_total", F.lit(0)).cast(schemas.MONEY)
+    matches = F.substring("transaction_id", 4, 20).cast("long") % 3 < 2
+    headers = t.newest_transactions().join(sums, "transaction_id", "left")
+    stated = headers.withColumn("total_amount", F.when(matches, true).otherwise(F.col("total_amount")))
+    return checks.header_total_mismatches(items, stated.drop("lines_total"))
 
 
 def referential_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,6 +491,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fact_sales,
         fact_upsert_range,
         fact_loaded_in_steps,
+        daily_runs,
         point_in_time_lookup,
         bootstrap_history,
         extract_roundtrip,

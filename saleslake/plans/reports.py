@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REVENUE = "decimal(28,2)"
+REVENUE = "decimal(38,9)"
 
 
 def _revenue(column: str = "line_amount") -> Column:

@@ -16,8 +16,10 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-# Money has at most two decimals. A fixed decimal keeps sums exact; binary floats would not.
-MONEY = DecimalType(18, 2)
+# Prices and amounts with up to nine decimals; what has more is rejected, never rounded. A fixed decimal keeps sums
+# exact; binary floats would not. A product of a whole 32-bit quantity and a price fits an amount exactly.
+MONEY = DecimalType(27, 9)
+AMOUNT = DecimalType(38, 9)
 
 
 def _table(required: dict[str, DataType], optional: dict[str, DataType] | None = None) -> StructType:
@@ -135,17 +137,17 @@ FACT_SALES = _table(
         "sale_date": DateType(),
         "quantity": LongType(),
         "unit_price": MONEY,
-        "line_amount": MONEY,
+        "line_amount": AMOUNT,
         "transaction_total_amount": MONEY,
     }
 )
 
-# Value of one message on the transaction topic.
+# Value of one message on the transaction topic; the amount as text, since a parser would round it.
 STREAM_EVENT = StructType(
     [
         StructField("transaction_id", StringType()),
         StructField("customer_id", StringType()),
-        StructField("amount", MONEY),
+        StructField("amount", StringType()),
         StructField("event_time", StringType()),
     ]
 )
@@ -154,7 +156,7 @@ WINDOW_COUNTS = StructType(
     [
         StructField("window_start", TimestampType(), False),
         StructField("transaction_count", LongType(), False),
-        StructField("total_amount", DecimalType(28, 2), False),
+        StructField("total_amount", AMOUNT, False),
     ]
 )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.types import StructType
 from saleslake import schemas, storage
 from saleslake.functions.dates import day
 from saleslake.layout import Layout
+from saleslake.operators.upsert import require_unique
 from saleslake.session import setting, together
 from saleslake.sources.tables import committed_snapshots
 
@@ -28,7 +30,6 @@ DIMENSION_CLUSTERING = {
 FACT_CLUSTERING = ("customer_key", "product_key", "campaign_key")
 
 SNAPSHOTS_KEPT = 2
-_BITMAP_DAYS = 32_768
 
 
 def create_tables(spark: SparkSession, layout: Layout) -> None:
@@ -90,7 +91,10 @@ def replace_all(rows: DataFrame, layout: Layout, table: str, on: date) -> int:
 
 
 def write_dimension(rows: DataFrame, layout: Layout, name: str) -> None:
-    """Store a new snapshot. Readers switch to it once it is complete; older ones go away later.
+    """Store a new snapshot. Readers switch to it once it is complete and its keys are unique; older ones go away later.
+
+    Surrogate keys are hashes, so their uniqueness is checked on what was written; the snapshot is published only then, and
+    after a failure readers keep the one before.
 
     Range partitioning on the clustering columns gives files with disjoint key ranges.
     """
@@ -102,7 +106,11 @@ def write_dimension(rows: DataFrame, layout: Layout, name: str) -> None:
     if clustering:
         rows = rows.repartitionByRange(*clustering).sortWithinPartitions(*clustering)
     number = snapshots[-1] + 1 if snapshots else 0
-    rows.write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+    written = f"{path}/snapshot={number}"
+    rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(written)
+    key = schemas.DIMENSIONS[name].fieldNames()[0]
+    require_unique(spark.read.schema(schemas.DIMENSIONS[name]).parquet(written).select(key), [key], name)
+    storage.mark_complete(spark, written)
     for old in snapshots[: -SNAPSHOTS_KEPT + 1 or None]:
         storage.delete(spark, f"{path}/snapshot={old}")
 
@@ -113,27 +121,23 @@ def append_calendar(missing: DataFrame, existing: DataFrame, layout: Layout) ->
         write_dimension(existing.unionByName(missing), layout, "dim_date")
 
 
-def write_fact(rows: DataFrame, layout: Layout, start: date, end: date) -> None:
-    """Replace the sales partitions `start`..`end` by `rows`, which must all lie in that range.
+def write_fact(rows: DataFrame, layout: Layout, days: Sequence[date]) -> None:
+    """Replace the sales partitions of `days` by `rows`, which must all lie on them.
 
     Rebalancing by day lets adaptive execution cut a large day into several tasks; sorting in each task
     clusters its files. Merging small tasks is off for a load of many days, since every day is a file of
     its own and a task with little data may still have hundreds of them to write.
-    Partitions of the range that get no rows any more (all their lines moved to another day) are not
-    touched by a dynamic overwrite, so they are dropped afterwards; which days got rows is recorded by
-    the write itself as a bitmap of day offsets.
+    Partitions that get no rows any more (all their lines moved to another day) are not touched by a dynamic
+    overwrite, so they are dropped afterwards; which days got rows is recorded by the write itself.
     """
-    if (end - start).days >= _BITMAP_DAYS:
-        raise ValueError(f"load at most {_BITMAP_DAYS} days at once")
     spark = rows.sparkSession
     path = layout.fact_sales
-    offset = F.datediff("sale_date", day(start)) + F.lit(1)
     written = Observation()
-    merge_small_tasks = "true" if start == end else "false"
+    merge_small_tasks = "true" if len(days) == 1 else "false"
     with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", merge_small_tasks):
         (
             rows.select(*schemas.FACT_SALES.fieldNames())
-            .observe(written, F.bitmap_construct_agg(F.bitmap_bit_position(offset)).alias("days"))
+            .observe(written, F.collect_set(F.date_format("sale_date", "yyyy-MM-dd")).alias("days"))
             .hint("rebalance", "sale_date")
             .sortWithinPartitions("sale_date", *FACT_CLUSTERING)
             .write.mode("overwrite")
@@ -141,12 +145,10 @@ def write_fact(rows: DataFrame, layout: Layout, start: date, end: date) -> None:
             .partitionBy("sale_date")
             .parquet(path)
         )
-    bitmap = written.get["days"]
-    for existing in storage.partition_days(spark, path, "sale_date"):
-        if start <= existing <= end:
-            position = (existing - start).days
-            if not bitmap[position // 8] >> (position % 8) & 1:
-                storage.delete(spark, f"{path}/sale_date={existing.isoformat()}")
+    emptied = {d.isoformat() for d in days} - set(written.get["days"])
+    for existing in storage.partition_values(spark, path, "sale_date"):
+        if existing in emptied:
+            storage.delete(spark, f"{path}/sale_date={existing}")
 
 
 def retained(rows: DataFrame, column: str, as_of: date, days: int) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslake import schemas
+from saleslake.functions.money import exact_money
 
 # Producers and operators rely on these names.
 TOPIC = "transactions.raw"
-CONSUMER_GROUP = "transaction-window-aggregator"
+CONSUMER_GROUP = "transaction-window-aggregator"  # a prefix: each query has a group of its own
 BROKERS = "localhost:9092"
 
 
@@ -29,7 +30,7 @@ def read_topic(
         .option("kafka.bootstrap.servers", brokers)
         .option("subscribe", topic)
         .option("startingOffsets", starting)
-        .option("kafka.group.id", group)
+        .option("groupIdPrefix", group)
         .load()
     )
 
@@ -37,13 +38,15 @@ def read_topic(
 def decode(messages: DataFrame) -> DataFrame:
     """Messages (column `value`, JSON as text or bytes) with their parsed fields and a `valid` flag.
 
-    A message that is no JSON, or has no readable time or amount, is marked instead of failing the query.
+    A message that is no JSON, or has no readable time or exact amount, is marked instead of failing the query.
     """
     parsed = F.from_json(F.col("value").cast("string"), schemas.STREAM_EVENT)
     # Unpacking through a generator parses each message once; as plain columns the parser would run
     # again in every filter on one of its fields.
     fields = messages.select("*", F.inline(F.array(parsed)))
-    decoded = fields.withColumn("event_time", F.try_to_timestamp(F.col("event_time")))
+    decoded = fields.withColumns(
+        {"event_time": F.try_to_timestamp(F.col("event_time")), "amount": exact_money(F.col("amount"))}
+    )
     return decoded.withColumn("valid", F.col("event_time").isNotNull() & F.col("amount").isNotNull())
 
 

@@ -19,7 +19,7 @@ from saleslake.operators.attribution import attribute
 from saleslake.operators.dedup import latest_per_key
 
 # Fixed values of the derivation.
-CHANNELS = ("Email", "Social Media", "Search Ads", "Affiliate", "Influencer", "SMS")
+CHANNELS = ("Newsletter", "Radio", "Posters", "Web", "Partners", "Phone")
 CAMPAIGN_EVERY_DAYS = 98
 CAMPAIGN_LENGTH_DAYS = 30
 SIGNUP_BASE = date(1995, 1, 1)
@@ -64,7 +64,7 @@ class SampleTables:
         channel = F.element_at(F.array(*map(F.lit, CHANNELS)), (i % len(CHANNELS)) + 1)
         return numbered.select(
             F.concat(F.lit("CAMP"), i.cast("string")).alias("campaign_id"),
-            F.concat(channel, F.lit(" - "), F.date_format(start, "MMM yyyy"), F.lit(" Push")).alias("campaign_name"),
+            F.concat_ws(" ", F.date_format(start, "yyyy-MM"), F.lower(channel)).alias("campaign_name"),
             start.alias("start_date"),
             F.date_add(start, CAMPAIGN_LENGTH_DAYS).alias("end_date"),
             channel.alias("channel"),
@@ -84,8 +84,9 @@ class SampleTables:
         with_campaign = attribute(headers, self.campaigns(), start, end, eligible=F.col("attributed"))
         return with_campaign.select(*schemas.STAGING["transactions"].fieldNames(), "ingest_date")
 
-    def newest_transactions(self) -> DataFrame:
-        return latest_per_key(self.transactions(), ["transaction_id"]).drop("ingest_date")
+    def newest_transactions(self, deliveries: DataFrame | None = None) -> DataFrame:
+        deliveries = self.transactions() if deliveries is None else deliveries
+        return latest_per_key(deliveries, ["transaction_id"]).drop("ingest_date")
 
     def transaction_items(self) -> DataFrame:
         """All deliveries of all lines, with the columns that settle ties."""

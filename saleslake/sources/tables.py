@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +25,15 @@ def read_days(
     column: str,
     start: date | None = None,
     end: date | None = None,
+    days: Collection[date] | None = None,
 ) -> DataFrame:
-    """Rows of a day-partitioned table from `start` to `end` (both included, None = unbounded).
+    """Rows of a day-partitioned table from `start` to `end` (both included, None = unbounded), or of certain `days`.
 
     Only the directories of the range are listed, so the cost of planning a one-day read does not grow
     with the table's history. The filter stays in the plan as well and shows as a partition filter.
     """
     every = storage.partition_days(spark, path, column)
-    wanted = [d for d in every if (start is None or d >= start) and (end is None or d <= end)]
+    wanted = [d for d in every if (start is None or d >= start) and (end is None or d <= end) and (days is None or d in days)]
     if not wanted:
         return schemas.empty(spark, schema)
     paths = [path] if len(wanted) == len(every) else [f"{path}/{column}={d.isoformat()}" for d in wanted]
@@ -61,6 +63,11 @@ def read_fact(spark: SparkSession, layout: Layout, start: date, end: date) -> Da
     return read_days(spark, layout.fact_sales, schemas.FACT_SALES, "sale_date", start, end)
 
 
+def read_fact_days(spark: SparkSession, layout: Layout, days: Collection[date]) -> DataFrame:
+    """Sales lines of certain days, whose folders alone are read."""
+    return read_days(spark, layout.fact_sales, schemas.FACT_SALES, "sale_date", min(days), max(days), set(days))
+
+
 def committed_snapshots(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the completely written snapshots of an unpartitioned table, ascending."""
     numbers = (int(v) for v in storage.partition_values(spark, path, "snapshot"))

@@ -27,6 +27,22 @@ def delete(spark: SparkSession, path: str) -> None:
         raise OSError(f"could not delete {path}")
 
 
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Publish a folder that was written without its success marker."""
+    fs, marker = _file_system(spark, f"{path}/_SUCCESS")
+    fs.create(marker, True).close()
+
+
+def state_of(spark: SparkSession, path: str) -> int:
+    """A number that changes when a file directly or one level below `path` does."""
+    fs, hadoop_path = _file_system(spark, path)
+    found = []
+    for status in fs.listStatus(hadoop_path):
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [(str(x.getPath()), x.getLen(), x.getModificationTime()) for x in inside]
+    return hash(tuple(sorted(found)))
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Delete `path` when the application ends; until then lazy results may read it."""
     fs, hadoop_path = _file_system(spark, path)

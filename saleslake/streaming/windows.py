@@ -11,7 +11,7 @@ from saleslake.functions.dates import minute_start
 WINDOW_LENGTH = "1 minute"
 ALLOWED_LATENESS = "10 seconds"
 
-_TOTAL = "decimal(28,2)"
+_TOTAL = "decimal(38,9)"
 
 
 def windowed_counts(

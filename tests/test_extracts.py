@@ -1,12 +1,15 @@
 from datetime import timedelta
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
 from conftest import d, money, plan_of, rows_of, staged
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from saleslake import schemas, storage
+from saleslake.functions.money import exact_money, line_amount
 from saleslake.operators import checks
 from saleslake.sinks.tables import (
     STAGING_RETENTION_DAYS,
@@ -180,3 +183,25 @@ def test_work_dir_lies_below_the_shared_folder(spark):
 def test_staged_rows_helper(spark):
     rows = staged(spark, "products", [("P1", "n", "c", money("1"), DAY)])
     assert rows.columns[-1] == "ingest_date"
+
+
+@pytest.mark.parametrize(("text", "value"), [("1.999", "1.999"), ("0.123456789", "0.123456789"), ("5", "5"), ("1e2", "100"), ("-3.50", "-3.5"), ("2.1000000000", "2.1")])
+def test_money_keeps_its_digits(spark, text, value):
+    got = spark.createDataFrame([(text,)], "t string").select(exact_money(F.col("t")).alias("m")).first()["m"]
+    assert got == Decimal(value)
+
+
+@pytest.mark.parametrize("text", ["1.1234567891", "0.0000000000000000000001", "1000000000000000000", "x", "", "NaN"])
+def test_money_that_does_not_fit_is_rejected(spark, layout, text):
+    assert spark.createDataFrame([(text,)], "t string").select(exact_money(F.col("t")).alias("m")).first()["m"] is None
+    if text:
+        path = Path(layout.daily_extract("products", DAY))
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"product_id,product_name,category,price\nP1,n,c,{text}\n")
+        with pytest.raises(Exception, match="no exact amount"):
+            read_extract(spark, layout, "products", DAY).collect()
+
+
+def test_amounts_are_exact(spark):
+    row = spark.createDataFrame([(3, Decimal("0.123456789"))], "q long, p decimal(27,9)").select(line_amount(F.col("q"), F.col("p")).alias("a")).first()
+    assert row["a"] == Decimal("0.370370367")

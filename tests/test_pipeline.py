@@ -7,8 +7,11 @@ from conftest import d, money, rows_of
 
 from saleslake import schemas
 from saleslake.layout import Layout
-from saleslake.operators.checks import CheckFailed
+from saleslake.operators.checks import CheckFailed, all_loaded
+from saleslake.operators.upsert import DuplicateKeys
 from saleslake.plans import pipeline, reports
+from saleslake.plans.fact import days_of, touching
+from saleslake.sinks.tables import write_dimension
 from saleslake.sources.tables import read_dimension, read_fact, read_staging
 
 MON, TUE = d("2024-03-04"), d("2024-03-05")
@@ -93,10 +96,57 @@ def test_replay_of_the_first_day_leaves_the_second(spark, two_days):
 
 def test_backfill_of_both_days_equals_the_daily_runs(spark, two_days):
     fact, _ = state(spark, two_days)
-    pipeline.backfill(spark, two_days, MON, TUE, as_of=TUE)
+    pipeline.backfill(spark, two_days, MON, TUE)
     assert state(spark, two_days)[0] == fact
 
 
+def test_corrections_of_an_earlier_day(spark, two_days):
+    """A line that comes late, a corrected one and a moved order change the days they belong to, and a replay keeps that."""
+    deliver(
+        two_days,
+        TUE,
+        {
+            "transactions": [*TUESDAY["transactions"], f"T2,C2,{TUE},20.00,"],
+            "transaction_items": [*TUESDAY["transaction_items"], "I1,T1,P1,7,100.00", "I6,T1,P2,1,20.00"],
+        },
+    )
+    pipeline.run_day(spark, two_days, TUE)
+    want = [("I1", MON, 7), ("I2", MON, 1), ("I3", TUE, 1), ("I4", TUE, 1), ("I6", MON, 1)]
+    sold = lambda: rows_of(read_fact(spark, two_days, MON, TUE), "transaction_item_id", "sale_date", "quantity")
+    assert sold() == want
+    pipeline.run_day(spark, two_days, MON)
+    assert sold() == want
+    pipeline.backfill(spark, two_days, MON, TUE)
+    pipeline.run_day(spark, two_days, TUE)
+    assert sold() == want
+
+
+def test_lines_of_other_days_are_not_ranked(spark, two_days):
+    lines, headers = (read_staging(spark, two_days, t) for t in ("transaction_items", "transactions"))
+    kept_lines, kept_headers = touching(lines, headers, [TUE])
+    assert rows_of(kept_lines, "transaction_item_id") == [("I4",)]
+    assert rows_of(kept_headers, "transaction_id") == [("T3",)]
+    assert days_of(lines, headers, MON) == [MON]
+
+
+def test_colliding_keys_leave_the_old_snapshot(spark, two_days):
+    before = rows_of(read_dimension(spark, two_days, "dim_product"))
+    rows = read_dimension(spark, two_days, "dim_product")
+    with pytest.raises(DuplicateKeys):
+        write_dimension(rows.unionByName(rows), two_days, "dim_product")
+    assert rows_of(read_dimension(spark, two_days, "dim_product")) == before
+    write_dimension(rows, two_days, "dim_product")
+    assert rows_of(read_dimension(spark, two_days, "dim_product")) == before
+
+
+def test_lost_line_fails_reconciliation(spark, two_days):
+    lines, headers = (read_staging(spark, two_days, t) for t in ("transaction_items", "transactions"))
+    fact = read_fact(spark, two_days, MON, TUE)
+    assert all_loaded(lines, headers, fact, [MON, TUE]).first()["passed"]
+    assert not all_loaded(lines, headers, fact.where("transaction_item_id <> 'I2'"), [MON, TUE]).first()["passed"]
+    assert not all_loaded(lines, headers, fact.unionByName(fact.limit(1)), [MON, TUE]).first()["passed"]
+
+
 def test_corrected_extract_replaces_the_sales(spark, two_days):
     deliver(two_days, TUE, {"transaction_items": ["I4,T3,P2,3,25.00", "I5,T3,P1,1,100.00"]})
     pipeline.run_day(spark, two_days, TUE)
@@ -109,7 +159,8 @@ def test_daily_run_drops_expired_staging(spark, two_days):
     pipeline.run_day(spark, two_days, later)
     kept = read_staging(spark, two_days, "transactions").select("ingest_date").distinct()
     assert rows_of(kept) == [(TUE,), (later,)]
-    assert read_fact(spark, two_days, MON, later).count() == 7
+    # Both orders were delivered again with another date: their lines move.
+    assert read_fact(spark, two_days, MON, later).count() == 4
 
 
 def test_empty_extract_stops_the_run(spark, layout):

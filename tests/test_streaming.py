@@ -152,7 +152,7 @@ def test_sinks_all_get_each_batch_and_console_prints_in_order(spark, topic, layo
 
 
 def test_repeated_batch_leaves_no_duplicates_and_queries_do_not_mix(spark, layout):
-    batch = spark.createDataFrame([(NOON, 1, money("5")), (NOON + timedelta(days=1), 2, money("6"))], "window_start timestamp, transaction_count long, total_amount decimal(28,2)")
+    batch = spark.createDataFrame([(NOON, 1, money("5")), (NOON + timedelta(days=1), 2, money("6"))], "window_start timestamp, transaction_count long, total_amount decimal(38,9)")
     sink = sinks.table_sink(layout)
     context = spark.sparkContext
     for query in ("one", "one", "two"):
@@ -209,7 +209,7 @@ def test_message_is_parsed_once(spark):
 
 
 def test_partial_counts_add_up(spark):
-    partials = spark.createDataFrame([(NOON, 1, money("1")), (NOON, 2, money("2"))], "window_start timestamp, transaction_count long, total_amount decimal(28,2)")
+    partials = spark.createDataFrame([(NOON, 1, money("1")), (NOON, 2, money("2"))], "window_start timestamp, transaction_count long, total_amount decimal(38,9)")
     assert rows_of(add_partials(partials), "transaction_count", "total_amount") == [(3, money("3"))]
 
 

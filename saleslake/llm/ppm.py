@@ -12,6 +12,7 @@ grams in the blocks, not with the positions. Word counts for the base score take
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from saleslake.llm.common import fold, stored, text_bytes, words
 
-ORDER = 6
+ORDER = 5
 # Contexts up to this length are counted in one table for all tasks: at most 256 ** 3 numbers, whatever the input is.
 SHORT = 2
 BLOCK_BYTES = 24_000_000
@@ -252,13 +253,12 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             name, learnt = (part << 24) + block, np.array(flags, bool)
-            # Documents in batches of a few MB.
+            # Documents in batches of a few MB, compressed together.
             for some in _batches(texts):
-                n = some.stop - some.start
-                yield _rows([name] * n, ["doc"] * n, [0] * n, ids[some], texts[some], [b""] * n)
+                yield _rows([name], ["doc"], [0], [zstandard.compress(pickle.dumps((ids[some], texts[some])), 3)], [b""])
             for kind, (keys, counts) in (("gram", gram_counts(texts, learnt, order)), ("word", word_counts(texts, learnt))):
                 for bucket, k, c in _dealt(keys, counts, _buckets(keys, buckets)):
-                    yield _rows([name], [kind], [bucket], [None], [packed_keys(k)], [packed(c)])
+                    yield _rows([name], [kind], [bucket], [packed_keys(k)], [packed(c)])
 
         for batch in batches:
             for doc_id, text, flag in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -272,7 +272,7 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
         if ids:
             yield from flush()
 
-    shape = "block long, kind string, bucket long, doc_id long, keys binary, counts binary"
+    shape = "block long, kind string, bucket long, keys binary, counts binary"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), F.col(train).alias("train"))
     asked = stored(source.mapInArrow(ask, shape), "asked", compression="zstd")
 
@@ -285,8 +285,7 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
         if kind == "word":
             rows.append(("words", bucket, b"", b"", int(counts.sum()), int((counts > 0).sum())))
             for block, part in zip(found.column("block").to_pylist(), parts, strict=True):
-                at, _ = _found(keys, part)
-                rows.append(("word", block, packed_keys(part), packed(counts[at]), 0, 0))
+                rows.append(("word", block, b"", packed(counts[_found(keys, part)[0]]), bucket, 0))
         else:
             low, n = _summed(keys[counts > 0] & _mask(SHORT), counts[counts > 0])
             rows.append(("short", bucket, packed_keys(low), packed(n), 0, 0))
@@ -350,48 +349,55 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
         order_ = np.argsort(keys)
         keys, logs = keys[order_], logs[order_]
         answers = [packed(logs[_found(keys, unpacked_keys(x.as_py()))[0]]) for x in requests.column("keys")]
-        return pa.table({"block": requests.column("block"), "keys": requests.column("keys"), "counts": pa.array(answers, pa.binary())})
+        return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "told": pa.array(answers, pa.binary())})
 
     requests = asked.where("kind = 'gram'").select("bucket", "block", "keys")
     answers = (
         requests.groupBy("bucket")
         .cogroup(model.groupBy("bucket"))
-        .applyInArrow(answer, "block long, keys binary, counts binary")
-        .select("block", F.lit("gram").alias("kind"), "keys", "counts")
+        .applyInArrow(answer, "block long, bucket long, told binary")
+        .select("block", F.lit("gram").alias("kind"), "bucket", "told")
     )
-    replies = answers.unionByName(gathered.where("kind = 'word'").select(F.col("place").alias("block"), "kind", "keys", "counts"))
+    told_words = gathered.where("kind = 'word'").select(F.col("place").alias("block"), "kind", F.col("tokens").alias("bucket"), F.col("counts").alias("told"))
 
     def add_up(key: tuple[pa.Scalar, ...], texts: pa.Table, told: pa.Table) -> pa.Table:
-        found = {}
-        for kind, number in (("gram", "<f4"), ("word", "<i8")):
-            rows = told.filter(pc.equal(told.column("kind"), kind))
-            keys = np.concatenate([unpacked_keys(x.as_py()) for x in rows.column("keys")])
-            values = np.concatenate([unpacked(x.as_py(), number) for x in rows.column("counts")])
-            by_key = np.argsort(keys)
-            found[kind] = (keys[by_key], values[by_key])
-        raw = [x.as_py() for x in texts.column("keys")]
+        ids: list = []
+        raw: list[bytes] = []
+        for batch in texts.column("keys"):
+            some_ids, some_texts = pickle.loads(zstandard.decompress(batch.as_py()))
+            ids += some_ids
+            raw += some_texts
+        # The answers have no keys: they are in the order in which the block's keys were asked for.
+        none = np.zeros(len(raw), bool)
+        values = {}
+        for kind, number, asked_keys in (("gram", "<f4", gram_counts(raw, none, order)[0]), ("word", "<i8", word_counts(raw, none)[0])):
+            rows = told.filter(pc.equal(told.column("kind"), kind)).sort_by("bucket")
+            found = np.concatenate([unpacked(x.as_py(), number) for x in rows.column("told")])
+            by_key = np.empty_like(found)
+            by_key[np.argsort(_buckets(asked_keys, buckets), kind="stable")] = found
+            values[kind] = (asked_keys, by_key)
         columns: list[list] = [[], [], [], []]
         for part in _batches(raw):
             position, n = grams(raw[part], order)
             ends = np.append(0, np.cumsum(n)[:-1])
-            keys, logs = found["gram"]
+            keys, logs = values["gram"]
             columns[3].append(np.add.reduceat(logs[np.searchsorted(keys, position)].astype(np.float64), ends))
             of_words = [_word_keys(text) for text in raw[part]]
             n = np.array([len(x) for x in of_words])
             ends = np.append(0, np.cumsum(n)[:-1])
-            keys, counts = found["word"]
+            keys, counts = values["word"]
             seen = counts[np.searchsorted(keys, np.concatenate(of_words))]
             columns[0].append(n)
             columns[1].append(np.add.reduceat((seen > 0).astype(np.int64), ends))
             columns[2].append(np.add.reduceat(np.log10((seen + 0.5) / (tokens + 0.5 * (vocabulary + 1))), ends))
         done = [np.concatenate(x) for x in columns]
-        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": done[0].astype(np.int64), "n_known": done[1], "base_score": done[2], "score": done[3]})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": done[0].astype(np.int64), "n_known": done[1], "base_score": done[2], "score": done[3]})
 
     scored = (
         asked.where("kind = 'doc'")
-        .select("block", "doc_id", "keys")
+        .select("block", "keys")
         .groupBy("block")
-        .cogroup(replies.groupBy("block"))
+        .cogroup(answers.unionByName(told_words).groupBy("block"))
         .applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     )
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
@@ -404,8 +410,8 @@ def _merged(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(*columns: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    names = ["block", "kind", "bucket", "doc_id", "keys", "counts"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+    names = ["block", "kind", "bucket", "keys", "counts"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 

@@ -124,4 +124,4 @@ def test_many_blocks(spark, monkeypatch):
 def test_better_than_the_base(spark):
     found = ppm.scored(spark.read.parquet(f"{SF}/../sf0.1/documents.parquet")).where("held_out")
     row = found.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
-    assert row["score"] > 0.95 * row["base"]
+    assert row["score"] > 0.97 * row["base"]

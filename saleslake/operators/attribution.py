@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from saleslake.functions.dates import day
 from saleslake.operators.dedup import latest_per_key
-
-# Days of a load range that may be broadcast (one narrow row each).
-MAX_BROADCAST_DAYS = 1_000_000
+from saleslake.operators.joins import lookup_join
 
 
 def campaign_by_day(campaigns: DataFrame, start: date, end: date) -> DataFrame:
@@ -38,12 +36,11 @@ def attribute(
     an equality. The lookup has at most one row per day of the range, which bounds what is broadcast.
     """
     by_day = campaign_by_day(campaigns, start, end)
-    if (end - start).days < MAX_BROADCAST_DAYS:
-        by_day = F.broadcast(by_day)
-    joined = transactions.drop("campaign_id").join(
-        by_day, F.col("transaction_date") == F.col("active_day"), "left"
-    )
+    dated = transactions.drop("campaign_id")
+    by_day = by_day.withColumnRenamed("active_day", "transaction_date")
+    # Broadcast if its measured size allows, else joined with the busy days spread.
+    joined = lookup_join(dated, by_day, "transaction_date", "left", ["transaction_id"])
     campaign = F.col("active_campaign_id")
     if eligible is not None:
         campaign = F.when(eligible, campaign)
-    return joined.withColumn("campaign_id", campaign).drop("active_day", "active_campaign_id")
+    return joined.withColumn("campaign_id", campaign).drop("active_campaign_id")

@@ -21,10 +21,11 @@ def count_windows(
     extra_sinks: Sequence[sinks.Sink] = (),
     every: str | None = None,
     available_now: bool = False,
+    console: bool = True,
 ) -> StreamingQuery:
-    """Messages to closed windows, printed and stored."""
+    """Messages to closed windows, stored and, with `console`, printed by the driver."""
     counted = windowed_counts(accepted(decode(messages)))
-    outputs = [sinks.console_sink(), sinks.table_sink(layout), *extra_sinks]
+    outputs = [*([sinks.console_sink()] if console else []), sinks.table_sink(layout), *extra_sinks]
     return sinks.start(counted, outputs, checkpoint, "transaction_windows", every, available_now)
 
 

@@ -104,10 +104,18 @@ def start(
     files); `available_now` stops at the end of the input. A restarted query keeps the number of
     `state_partitions` its checkpoint was made with.
     """
+    # The state's partitions are those of the session when the query starts; what the sinks run gets the cluster's back.
+    usual = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    every_sink = composite_sink(sinks) if len(sinks) > 1 else sinks[0]
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        batch.sparkSession.conf.set("spark.sql.shuffle.partitions", usual)
+        every_sink(batch, batch_id)
+
     writer = (
         rows.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(composite_sink(sinks) if len(sinks) > 1 else sinks[0])
+        .foreachBatch(emit)
     )
     if name:
         writer = writer.queryName(name)

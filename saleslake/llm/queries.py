@@ -65,6 +65,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    # The sample pages have one article each; its tags are blanks here, and its references the few that occur.
+    "op1_html": r"""
+        WITH raw AS (
+            SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS article FROM pages
+        ), bare AS (
+            SELECT page_id, url, replace(regexp_replace(article, '<[^>]*>', ' ', 'g'), '&quot;', '"') AS bare FROM raw
+        ), decoded AS (
+            SELECT page_id, url, regexp_replace(bare, '&amp;?', '&', 'g') AS decoded FROM bare
+        ), texts AS (
+            SELECT page_id, url, trim(regexp_replace(decoded, '\s+', ' ', 'g')) AS text FROM decoded
+        )
+        SELECT page_id, url, text, length(text) AS n_chars FROM texts
+    """,
+    # All pairs of one label, and the vectors that each can reach.
+    "op8_embeddings": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y
+            FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reached(x, y) AS (
+            SELECT vec_id, vec_id FROM vectors
+            UNION
+            SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+        ), components AS (
+            SELECT x, min(y) AS component_id FROM reached GROUP BY x
+        ), counted AS (
+            SELECT x, count(*) AS n FROM links GROUP BY x
+        )
+        SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+        FROM vectors v JOIN components c ON c.x = v.vec_id LEFT JOIN counted k ON k.x = v.vec_id
+    """,
     "op4_exact_dedup": r"""
         WITH bare AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

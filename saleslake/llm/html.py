@@ -45,8 +45,10 @@ _NOISE = frozenset(
     "sharing related recommended recommendations comment comments commentlist disqus reply replies respond discussion login search "
     "searchbox pagination pager copyright legal disclaimer toolbar skip hidden".split()
 )
-# ... and that mark an article, whatever else stands beside them.
-_ARTICLE = frozenset("article content main post entry story body text wrapper container page layout".split())
+# ... what marks an article ...
+_ARTICLE = frozenset("article content main post entry story".split())
+# ... and what says that an element only has such a part.
+_HAS = frozenset("with has no without".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -73,11 +75,20 @@ def _is_noise(tag: str, attributes: dict[str, str], inside_article: bool) -> boo
         return True
     if re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    names = " ".join(attributes.get(x, "") for x in ("class", "id", "role"))
-    found = set(_WORD.findall(_CAMEL.sub(" ", names).lower()))
-    if inside_article:
-        found.discard("header")
-    return tag not in ("html", "body", "article", "main") and bool(found & _NOISE) and not found & _ARTICLE
+    if tag in ("html", "body", "article", "main"):
+        return False
+    names = [_WORD.findall(_CAMEL.sub(" ", name).lower()) for x in ("class", "id", "role") for name in attributes.get(x, "").split()]
+    if any(len(words) == 1 and words[0] in _ARTICLE for words in names):
+        return False
+    return any(_is_noise_name([w for w in words if not w.isdigit()], inside_article) for words in names)
+
+
+def _is_noise_name(words: list[str], inside_article: bool) -> bool:
+    """A name such as `post-comments` or `ad-box` by its words: one at either end counts, one within unless an article's name is meant."""
+    marked = [w in _NOISE and not (inside_article and w == "header") for w in words]
+    if not any(marked) or _HAS & set(words):
+        return False
+    return marked[0] or marked[-1] or not _ARTICLE & set(words)
 
 
 class Page:

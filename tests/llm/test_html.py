@@ -32,6 +32,8 @@ PLAIN = "One bold & plain <b> line. Second, with a link in it. After."
         (f"<main><header><h1>Title</h1></header>{ARTICLE}</main>", f"Title {PLAIN}"),
         (f"<header>Site name and slogan</header><div class='post-77 content'>{ARTICLE}</div>", PLAIN),
         (f"<div class=wrapper><div class=content>{ARTICLE}<div class='share-buttons'>Share it</div><form>Mail <input></form></div></div>", PLAIN),
+        (f"<div class='content-with-sidebar'><div id=postBody>{ARTICLE}</div><div class='post-comments'><p>Nice one, reader says.</p></div></div>", PLAIN),
+        (f"<article>{ARTICLE}<div class='page-sidebar-left'>Other news.</div><p class=advert>Buy now.</p></article>", PLAIN),
         (f"<article>{ARTICLE}<script>if (a < b) x('</p>')</script><!-- <p>no</p> --><div class=notice>Cookies!</div></article>", PLAIN),
         (f"<article>{ARTICLE}<table><tr><td>c1<td>c2<tr><td>c3</table><ul><li>i1<li>i2</ul></article>", f"{PLAIN} c1 c2 c3 i1 i2"),
     ],

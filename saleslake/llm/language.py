@@ -248,6 +248,6 @@ def languages(docs: DataFrame, pages: DataFrame) -> DataFrame:
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """The documents whose language is identified, with all their columns."""
     model = train(docs)
-    votes = with_likelihoods(document_evidence(docs, F.lit(0)), model)
-    rows = with_likelihoods(document_evidence(docs, F.struct("*")), model)
-    return identified(rows, Evidence(votes, model), model, ["doc"]).where("accepted").select("doc.*")
+    # Stored with the documents, so that each text is scored once.
+    rows = stored(with_likelihoods(document_evidence(docs, F.struct("*")), model), "likelihoods")
+    return identified(rows, Evidence(rows, model), model, ["doc"]).where("accepted").select("doc.*")

@@ -35,7 +35,8 @@ _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 class WordIds:
     """Ids of texts by a tokenizer that cuts at white space and drops it, so each word is encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +52,7 @@ class WordIds:
         return [np.array(one.ids, "<u4").tobytes() for one in found]
 
     def learn(self, new: set[bytes]) -> None:
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > self.remembered:
             self.parts.clear()
         cut: dict[bytes, list[str]] = {}
         whole: list[bytes] = []
@@ -73,7 +74,7 @@ class WordIds:
         known = self.words
         new = {word for found in cut for word in found if word not in known}
         if new:
-            if len(known) + len(new) > REMEMBERED:
+            if len(known) + len(new) > self.remembered:
                 known.clear()
                 new = {word for found in cut for word in found}
             self.learn(new)
@@ -81,16 +82,16 @@ class WordIds:
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
+    return WordIds(path, remembered)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Only documents over `capacity` ids are cut."""
     last = end.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(tokenizer_path)
+        encoder = word_ids(tokenizer_path, remembered)
         for batch in pieces_of(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):
@@ -236,16 +237,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return made
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty: one piece with the end token alone. Repeated rows are packed like others, a null doc_id stays
     null, an empty table gives no rows; columns other than doc_id and text are ignored.
 
-    The lengths' counts and the runs of the plan are small whatever the input is, and are broadcast.
+    `remembered` bounds the words a task keeps in memory, not what it reads. The lengths' counts and the runs of the plan are small whatever the input is, and are broadcast.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer_path, capacity, end), "pieces")
+    cut = stored(pieces(docs, tokenizer_path, capacity, end, remembered), "pieces")
     # At most `capacity` rows.
     counts = {row["length"]: row["n"] for row in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = spark.createDataFrame(

@@ -26,8 +26,9 @@ from saleslake.operators.joins import lookup_join
 
 BITS = 64
 SEED = 42
-# Variants are dealt out by their first bits, so a fingerprint goes to 56 buckets rather than as 2,081 rows.
-BUCKET_BITS = 10
+# Variants are dealt out by their first bits, so a fingerprint goes to 29 buckets (seven bits) rather than as 2,081 rows.
+# There are more bits, and buckets, the more fingerprints there are.
+LEAST_BITS, BUCKET_ROWS = 7, 8000
 # Variants one step holds at a time; a larger set is split by its next bit.
 VARIANTS_AT_ONCE = 2_000_000
 _SHINGLES_AT_ONCE = 1 << 16
@@ -63,7 +64,7 @@ def fingerprint(text: bytes, width: int, views: int = 1) -> list[int]:
         hashes = np.fromiter((xxhash.xxh64_intdigest(next(runs), SEED) for _ in range(n)), np.uint64, n)
         for view in range(views):
             mixed = _mixed(hashes, view).astype("<u8").view(np.uint8).reshape(n, 8)
-            ones[view] += np.unpackbits(mixed, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            ones[view] += np.add.reduce(np.unpackbits(mixed, axis=1, bitorder="little"), axis=0, dtype=np.uint32)
     return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
@@ -164,8 +165,10 @@ def bucket_links(
     return ids[moved], ids[label[moved]]
 
 
-def links(classes: DataFrame, radius: int, direct: bool = False, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def links(classes: DataFrame, radius: int, direct: bool = False) -> DataFrame:
     """Links (u, v) that connect all of `classes` (view, fp, first) whose fingerprints differ in at most `radius` bits."""
+    most = classes.groupBy("view").count().agg(F.max("count")).first()[0] or 1
+    bucket_bits = min(BITS // 2, max(LEAST_BITS, (most // BUCKET_ROWS).bit_length()))
 
     def find(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         fps = rows.column("fp").to_numpy().view(np.uint64)

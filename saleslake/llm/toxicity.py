@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cached_property
+from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,9 @@ SAMPLE = 20_000
 FEATURES = 2048
 _LEAST_GAIN = 14.0
 BUCKETS = 1 << 20
+_BUCKET = BUCKETS - 1
 _SLICES = 64
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 # Letters of the character model: a-z and the letters of Latin-1; anything else ends a word.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿ"
@@ -46,6 +48,8 @@ _EDGE = ".,;:!?\"'()[]{}|%#&*-_~^`…«»“”‘’/\\<>="
 _PLAIN_EDGE = "".join(x for x in _EDGE if x not in _STANDS_FOR)
 _ENDS = _EDGE + "".join(x for x in _STANDS_FOR if not x.isalnum())
 _ODD = re.compile(r"[^\W\d_]*(?:[\d@$!|+€£(¡¢#*_.\-]|([^\W\d_])\1\1)")
+_THRICE = re.compile(r"(.)\1\1").search
+_STOPS = ".,;:?"
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}[^\s.\-_*]){2,}(?![^\s.,;:!?\"')\]])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -73,13 +77,9 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = letter_codes(), np.zeros(_N**3, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                found = trigrams(text.as_py(), codes)
-                for start in range(0, len(found), 1 << 22):
-                    part = found[start : start + (1 << 22)]
-                    keys, n = np.unique(part, return_counts=True) if len(part) < 20_000 else (slice(None), np.bincount(part, minlength=_N**3))
-                    counts[keys] += n
+        for batch in pieces_of(batches):
+            # Two line ends between texts are two word borders, as at the ends of each text.
+            counts += np.bincount(trigrams(b"\n\n".join(batch.column(0).to_pylist()), codes), minlength=_N**3)
         first = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(first % _SLICES), pa.array(first), pa.array(counts[first])], names=["slice", "gram", "n"])
 
@@ -130,6 +130,10 @@ class Restorer:
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words of a lower-cased token, the restored one included."""
+        if token.isalpha() and not _THRICE(token):
+            return (token,)
+        if token[:-1].isalpha() and token[-1] in _STOPS and not _THRICE(token):
+            return (token[:-1],)
         known = self.known.get(token)
         if known is None:
             if len(self.known) > REMEMBERED:
@@ -148,8 +152,16 @@ class Restorer:
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a word: itself and its beginnings."""
-    return [xxhash.xxh64_intdigest(x) % BUCKETS for x in (f"={word}", *(word[:n] for n in range(3, min(len(word), 8) + 1)))]
+    """Hashed features of a word: itself and its beginnings of three to nine bytes."""
+    raw = word.encode()
+    found = [crc32(b"=" + raw) & _BUCKET]
+    if len(raw) >= 3:
+        crc = crc32(raw[:3])
+        found.append(crc & _BUCKET)
+        for n in range(3, min(len(raw), 9)):
+            crc = crc32(raw[n : n + 1], crc)
+            found.append(crc & _BUCKET)
+    return found
 
 
 def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, width: int, turns: int = 2000, ridge: float = 0.02) -> tuple[np.ndarray, float]:
@@ -210,7 +222,9 @@ class Scorer:
         return found
 
     def _places(self, words: tuple[str, ...]) -> tuple[int, ...]:
-        return tuple({self.at[x] for word in words for x in word_features(word) if x in self.at})
+        at = self.at
+        found = {at[x] for word in words for x in word_features(word) if x in at}
+        return tuple(found) if found else ()
 
     def score(self, text: str) -> float:
         total = self.shift + float(sum(self.weights[i] for i in sorted(self.active(text))))
@@ -276,6 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
                     rows.append((-1, label, 1, packed(found)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        restorer.known.clear()  # the worker lives on
         for label in (0, 1):
             if n[label]:
                 slices = [(i, label, n[label] if not i else 0, packed(np.ascontiguousarray(part))) for i, part in enumerate(np.split(have[label], _SLICES))]
@@ -285,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
 
     def add(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
         total = sum(unpacked(x.as_py(), "<i4").astype(np.int64) for x in found.column("found"))
-        n = pc_sum(found.column("n"))
+        n = sum(found.column("n").to_pylist())
         return pa.table({"slice": [key[0].as_py()], "toxic": [key[1].as_py()], "n": [n], "found": pa.array([packed(total)], pa.binary())})
 
     summed = looked.where("slice >= 0").groupBy("slice", "toxic").applyInArrow(add, "slice long, toxic long, n long, found binary")
@@ -310,18 +325,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     return Scorer(counts, chosen, weights, shift)
 
 
-def pc_sum(column: pa.ChunkedArray) -> int:
-    return sum(column.to_pylist())
-
-
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with all their columns in a struct `doc`, and score and predicted for each."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")
-    def scored(texts):
-        """Scores of a batch of texts."""
-        return texts.map(lambda text: shared.value.score(bytes(text).decode())).astype(float)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = shared.value
+        for texts in batches:
+            yield texts.map(lambda text: scorer.score(bytes(text).decode())).astype(float)
+        scorer.known.clear()  # the worker lives on
+        scorer.restorer.known.clear()
 
     found = docs.select(F.struct("*").alias("doc"), scored(text_bytes()).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

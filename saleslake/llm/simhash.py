@@ -26,9 +26,9 @@ from saleslake.operators.joins import lookup_join
 
 BITS = 64
 SEED = 42
-# Variants are dealt out by their first bits, so a fingerprint goes to 29 buckets (seven bits) rather than as 2,081 rows.
+# Variants are dealt out by their first bits, so a fingerprint goes to 16 buckets (five bits) rather than as 2,081 rows.
 # There are more bits, and buckets, the more fingerprints there are.
-LEAST_BITS, BUCKET_ROWS = 7, 8000
+LEAST_BITS, BUCKET_ROWS = 5, 8000
 # Variants one step holds at a time; a larger set is split by its next bit.
 VARIANTS_AT_ONCE = 2_000_000
 _SHINGLES_AT_ONCE = 1 << 16
@@ -225,13 +225,13 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 2, views: int = 8, radius: int = 4
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 2, views: int = 12, radius: int = 4
 ) -> DataFrame:
     """(doc_id, component_id) of the documents that are similar to another one; the component is the smallest id reached.
 
     Candidates are documents whose fingerprints of `width`-word shingles meet in one of the views; a link needs
     sets of `shingle`-word shingles with at least the Jaccard similarity. (Fingerprints of longer shingles differ in more than
-    four bits for most documents that are just similar enough; word pairs in eight views leave out few.) Texts without words
+    four bits for most documents that are just similar enough; word pairs in twelve views leave out few.) Texts without words
     are alike. Rows with a null doc_id take no part; rows that share an id count as one document; an empty table gives
     no rows; further columns are ignored.
     """

@@ -132,6 +132,34 @@ def test_near_copies(spark):
     assert kept == {i for i in range(len(texts)) if found.get(i, i) == i}
 
 
+def similarity(a, b, width=5):
+    a, b = set(plain_shingles(" ".join(a), width)), set(plain_shingles(" ".join(b), width))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_with_one_passage_more_or_less(spark):
+    """Copies whose changes are all in one place, just similar enough."""
+    rng = random.Random(17)
+    lexicon = ["".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    texts, copies = [], []
+    for i in range(120):
+        words = [rng.choice(lexicon) for _ in range(rng.randint(100, 600))]
+        part, at = round(0.22 * len(words)), rng.choice([0, len(words) // 2, len(words)])
+        if i % 2:
+            change = lambda n: words[:at] + added[:n] + words[at:]  # noqa: B023, E731
+            added = [rng.choice(lexicon) for _ in range(part + 20)]
+        else:
+            at = min(at, len(words) - part)
+            change = lambda n: words[:at] + words[at + n :]  # noqa: B023, E731
+        copy = next(x for x in (change(n) for n in range(part, 0, -1)) if similarity(words, x) >= 0.8)
+        assert similarity(words, copy) < 0.82
+        copies.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), " ".join(copy)]
+    found = dict(map(tuple, simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    for kind in (0, 1):
+        assert sum(found.get(b) == a for a, b in copies[kind::2]) >= 59
+
+
 def test_drop_keeps_columns_and_rows_without_id(spark):
     docs = odd_documents(spark)
     kept = simhash.drop_near_duplicates(docs)

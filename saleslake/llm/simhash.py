@@ -268,12 +268,34 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_components(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) by the similar ones among documents that share a bucket, of `members` (bucket, doc_id, size)."""
-    heads = members.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "size"), "doc_id").alias("head"))
-    near = F.least("size", "head.size") >= F.lit(similarity) * F.greatest("size", "head.size")
-    meeting = members.join(stored(heads, "heads").hint("merge"), "bucket").where((F.col("doc_id") != F.col("head.doc_id")) & near)
-    pairs = stored(meeting.select(F.col("doc_id").alias("u"), F.col("head.doc_id").alias("v")).distinct(), "candidates")
-    return connected(_similar(pairs, sets, similarity))
+    """(node, component) by the similar ones among documents that share a bucket, of `members` (bucket, doc_id, size).
+
+    In each round some members of each bucket, twice as many parts of it each time giving one, are compared with all others
+    that they are not connected with yet, and leave the bucket, which is done once its members are connected. So any two that
+    share a bucket are compared or connected. Those that share buckets with most come first: they are what others were copied from.
+    """
+    sizes = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    meets = stored(members.join(sizes.hint("merge"), "bucket").groupBy("doc_id").agg(F.sum("n").alias("meets")), "meets")
+    members = stored(members.join(meets.hint("merge"), "doc_id").withColumn("component", F.col("doc_id")), "members")
+    edges = members.sparkSession.createDataFrame([], "u long, v long")
+    turn = 0
+    while not members.isEmpty():
+        part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << min(turn, 30)))
+        first = F.max_by(F.struct("doc_id", "size", "component"), F.struct("meets", "doc_id"))
+        heads = stored(members.groupBy("bucket", part.alias("part")).agg(first.alias("head")).select("bucket", "head"), "heads")
+        near = F.least("size", "head.size") >= F.lit(similarity) * F.greatest("size", "head.size")
+        meeting = members.join(heads.hint("merge"), "bucket").where((F.col("component") != F.col("head.component")) & near)
+        pairs = meeting.select(F.least("doc_id", "head.doc_id").alias("u"), F.greatest("doc_id", "head.doc_id").alias("v")).distinct()
+        known = connected(edges.unionByName(_similar(stored(pairs, "candidates"), sets, similarity)))
+        components = stored(known.select(F.col("node").alias("doc_id"), F.col("component").alias("joined")), "components")
+        edges = components.select(F.col("doc_id").alias("u"), F.col("joined").alias("v"))
+        left = members.join(heads.select("bucket", F.col("head.doc_id").alias("doc_id")).hint("merge"), ["bucket", "doc_id"], "left_anti")
+        left = left.join(components.hint("merge"), "doc_id", "left")
+        left = stored(left.select("bucket", "doc_id", "size", "meets", F.coalesce("joined", "component").alias("component")), "left")
+        apart = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        members = stored(left.join(stored(apart.select("bucket"), "apart").hint("merge"), "bucket"), "members")
+        turn += 1
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 24, sample: int = 5) -> DataFrame:

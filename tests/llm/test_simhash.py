@@ -160,6 +160,34 @@ def test_near_copies_with_one_passage_more_or_less(spark):
         assert sum(found.get(b) == a for a, b in copies[kind::2]) >= 59
 
 
+def check_components(spark, buckets, sets):
+    size = {i: len(x) for i, x in sets.items()}
+    members = spark.createDataFrame([(b, i, size[i]) for b, ids in enumerate(buckets) for i in ids], "bucket long, doc_id long, size long")
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "doc_id long, shingles array<long>")
+    alike = lambda a, b: any({a, b} <= set(x) for x in buckets) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = reachable(list(sets), alike)
+    linked = {i for i in sets if any(i != j and want[i] == want[j] for j in sets)}
+    found = dict(map(tuple, simhash.similar_components(members, frame, 0.8).collect()))
+    assert found == {i: want[i] for i in linked}
+    return found
+
+
+def test_clumps_whose_smallest_or_largest_is_unlike_the_others(spark):
+    """Documents that meet are compared even if none of them is similar to the bucket's first."""
+    core = set(range(100))
+    apart = {i: core | {1000 * i + x for x in range(30)} for i in (1, 2, 4, 6, 7, 8)}
+    sets = apart | {3: apart[2] | {1}, 5: apart[4] - {2}, 9: apart[8] | {3}}
+    assert check_components(spark, [range(1, 10)], sets) == {2: 2, 3: 2, 4: 4, 5: 4, 8: 8, 9: 8}
+    rng = random.Random(23)
+    sets = {0: set(range(90))}
+    for i in range(1, 40):
+        sets[i] = set(rng.choice(list(sets.values())))
+        sets[i] -= set(rng.sample(sorted(sets[i]), 8))
+        sets[i] |= {100 * i + x for x in range(10)}
+    check_components(spark, [range(40), range(0, 40, 3), range(20)], sets)
+    check_components(spark, [range(b, b + 6) for b in range(0, 34, 4)], sets)
+
+
 def test_drop_keeps_columns_and_rows_without_id(spark):
     docs = odd_documents(spark)
     kept = simhash.drop_near_duplicates(docs)

@@ -1,7 +1,8 @@
 """Main text of web pages by consensus paths of hosts.
 
 Each page's containers are scored by the prose in them. Spark adds the scores up per host and generalised tag-class
-path, and the best path of each host is its consensus. Every page is then extracted anew by its host's path.
+path, and the best path of each host is its consensus. Every page is then extracted anew by its host's path, widened
+to the article that it is in.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ _ENDS = {
     "td": frozenset(["td", "th", "tr", "tbody", "thead", "tfoot"]),
     "th": frozenset(["td", "th", "tr", "tbody", "thead", "tfoot"]),
 }
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ENTRIES = frozenset("p pre blockquote br li dt dd td th caption figcaption".split())
 _SCOPES = frozenset(["ul", "ol", "dl", "table", "body"])
 
 # Words of class, id and role attributes that mark what is no part of an article ...
@@ -98,8 +101,8 @@ class Page:
         self.parent = [-1]
         self.path = [""]
         self.score = [0.0]
-        # (container, text)
-        self.blocks: list[tuple[int, str]] = []
+        # (container, text, whether it is a heading, entry or prose)
+        self.blocks: list[tuple[int, str, bool]] = []
         self._stack: list[tuple[str, int, bool]] = [("", 0, False)]
         self._runs: list[str] = []
         self._linked = 0
@@ -172,11 +175,13 @@ class Page:
         if not text:
             return
         container = self._stack[-1][1]
-        self.blocks.append((container, text))
+        heading = self._kind in _HEADINGS
+        links = 2 * linked > len(text)
+        self.blocks.append((container, text, heading or not links and (self._kind in _ENTRIES or len(text) >= 40)))
         weight = float(len(text))
-        if 2 * linked > len(text):
+        if links:
             weight = -weight
-        elif self._kind in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        elif heading:
             weight = 0.0
         elif self._kind not in ("p", "pre", "blockquote", "br") and len(text) < 40:
             weight = -weight / 2
@@ -221,17 +226,45 @@ class Page:
     def text(self, consensus: str | None) -> str:
         """The blocks in the containers of the consensus path, or in the page's own best ones where it has no such.
 
-        A page that holds less than half as much prose in the path as in its own best one has another template.
+        A page that holds less than half as much prose in the path as in its own best one has another template. Headings,
+        lists, tables and prose beside the containers are text too: of the article around them, or up to where links are.
         """
         votes = self.votes()
         if votes:
             own = max(votes, key=lambda path: (votes[path], path))
             chosen = consensus if consensus in votes and 2 * votes[consensus] >= votes[own] else own
-            inside = [False] * len(self.path)
-            for i in range(1, len(self.path)):
-                inside[i] = self.path[i] == chosen or inside[self.parent[i]]
-            return " ".join(text for container, text in self.blocks if inside[container])
-        return " ".join(text for _, text in self.blocks)
+            inside = [path == chosen for path in self.path]
+            self._spread(inside)
+            self._widen(inside)
+            return " ".join(text for container, text, _ in self.blocks if inside[container])
+        return " ".join(text for _, text, _ in self.blocks)
+
+    def _spread(self, inside: list[bool]) -> None:
+        """To what is in containers that are inside."""
+        for i in range(1, len(inside)):
+            inside[i] = inside[i] or inside[self.parent[i]]
+
+    def _widen(self, inside: list[bool]) -> None:
+        """To the nearest article around, or else as far out as all other blocks are headings, entries or prose."""
+        article = [0] * len(inside)
+        other = [False] * len(inside)
+        for container, _, belongs in self.blocks:
+            if not inside[container] and not belongs:
+                other[container] = True
+        for i in range(1, len(inside)):
+            tag = self.path[i].rpartition(">")[2].partition(".")[0]
+            article[i] = i if tag in ("article", "main") else article[self.parent[i]]
+        for i in range(len(inside) - 1, 0, -1):
+            other[self.parent[i]] = other[self.parent[i]] or other[i]
+        tops = [i for i in range(1, len(inside)) if inside[i] and not inside[self.parent[i]]]
+        for i in tops:
+            if article[i]:
+                inside[article[i]] = True
+                continue
+            while i and not other[self.parent[i]]:
+                i = self.parent[i]
+                inside[i] = True
+        self._spread(inside)
 
 
 def host(url: Column) -> Column:

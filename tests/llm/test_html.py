@@ -43,6 +43,27 @@ def test_pages(body, text):
     assert found.text(None) == text
 
 
+LONG = "<p>" + "Some words of prose in a long paragraph. " * 60 + "</p>"
+LONG_TEXT = ("Some words of prose in a long paragraph. " * 60).strip()
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<article><h1>Title</h1><div class=body>{LONG}</div></article>", f"Title {LONG_TEXT}"),
+        (f"<article><h1>Title</h1><p>A short lead.</p><div class=body>{LONG}</div><ul><li>i1<li>i2</ul></article>", f"Title A short lead. {LONG_TEXT} i1 i2"),
+        (f"<main><h1>Title</h1><div class=body>{LONG}</div><table><tr><td>c1<td>c2</table></main>", f"Title {LONG_TEXT} c1 c2"),
+        (f"<div class=page><h1>Title</h1><div class=body>{LONG}</div><p>The end.</p></div>", f"Title {LONG_TEXT} The end."),
+        (f"<article><h1>Title</h1><section><div class=body>{LONG}</div></section><div class=share>Share it</div></article>", f"Title {LONG_TEXT}"),
+        (f"<div class=page><div class=inner><h1>Title</h1><div class=body>{LONG}</div></div><ul><li><a href=/>Other page</a></ul></div>", f"Title {LONG_TEXT}"),
+    ],
+)
+def test_text_outside_the_largest_box(spark, body, text):
+    assert html.Page(frame(body)).text(None) == text
+    rows = [(i, f"http://n.example.org/{i}", frame(body)) for i in range(3)]
+    assert {r["text"] for r in html.main_text(page(rows, spark)).collect()} == {text}
+
+
 def test_malformed():
     assert html.Page("plain text").text(None) == "plain text"
     assert html.Page("5 < 6 & 7 <b").text(None) == "5 < 6 & 7"

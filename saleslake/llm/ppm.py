@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from saleslake.llm.common import fold, stored, text_bytes, words
 
-ORDER = 5
+ORDER = 6
 # Contexts up to this length are counted in one table for all tasks: at most 256 ** 3 numbers, whatever the input is.
 SHORT = 2
 BLOCK_BYTES = 24_000_000

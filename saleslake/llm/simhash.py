@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleslake.llm.common import pieces_of, stored, text_bytes, words
@@ -298,27 +298,42 @@ def similar_components(members: DataFrame, sets: DataFrame, similarity: float) -
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _row_key() -> Column:
+    """A document's id and text as one number, null without an id: texts that share an id are different documents."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), text_bytes()))
+
+
+def _near_rows(docs: DataFrame, shingle: int, similarity: float, views: int, sample: int) -> DataFrame:
+    """(key, doc_id, first) of the documents that are similar to another one, first (doc_id, key) the smallest that is reached."""
+    keyed = docs.where("doc_id is not null").select(_row_key().alias("key"), F.col("doc_id").cast("long").alias("id"), "text")
+    # The steps between know a document by its key.
+    known = keyed.select(F.col("key").alias("doc_id"), "text")
+    prints = stored(buckets_of(known, shingle, views, sample).distinct(), "prints")
+    shared = stored(prints.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high"), "shared")
+    members = stored(prints.join(shared.select("bucket").hint("merge"), "bucket"), "members")
+    nodes = stored(members.select("doc_id").distinct(), "nodes")
+    sets = stored(shingle_sets(lookup_join(known, nodes, "doc_id", "inner", ["doc_id"]), shingle).dropDuplicates(["doc_id"]), "shingles")
+    found = stored(similar_components(members, sets, similarity).withColumnRenamed("node", "key"), "similar")
+    named = stored(lookup_join(keyed.select("key", "id"), found, "key", "inner", ["id"]).select("key", F.col("id").alias("doc_id"), "component").distinct(), "named")
+    first = stored(named.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")), "first")
+    return named.join(first.hint("merge"), "component").select("key", "doc_id", "first")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 24, sample: int = 5) -> DataFrame:
     """(doc_id, component_id) of the documents that are similar to another one; the component is the smallest id reached.
 
     Candidates are documents that share the fingerprint of a sample of `sample` of their `shingle`-word shingles in one of the
     views; a link needs sets of these shingles with at least the Jaccard similarity. (Two documents with a similarity of 0.8
     share none of 24 such fingerprints in 1 of 14,000 cases, whatever the edit.) Texts without words are alike. Rows with a null
-    doc_id take no part; rows that share an id count as one document; an empty table gives no rows; further columns are ignored.
+    doc_id take no part; different texts that share an id are documents of their own; an empty table gives no rows; further
+    columns are ignored.
     """
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = stored(buckets_of(known, shingle, views, sample).distinct(), "prints")
-    shared = stored(prints.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high"), "shared")
-    members = stored(prints.join(shared.select("bucket").hint("merge"), "bucket"), "members")
-    nodes = stored(members.select("doc_id").distinct(), "nodes")
-    sets = stored(shingle_sets(lookup_join(known, nodes, "doc_id", "inner", ["doc_id"]), shingle).dropDuplicates(["doc_id"]), "shingles")
-    found = similar_components(members, sets, similarity)
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return _near_rows(docs, shingle, similarity, views, sample).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id, with all its columns."""
-    gone = stored(near_copies(docs, shingle, similarity).where("doc_id <> component_id").select("doc_id"), "gone")
+    gone = stored(_near_rows(docs, shingle, similarity, 24, 5).where("key <> first.key").select("key"), "gone")
     # The document's own columns travel in a struct, so that no name can clash.
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
-    return lookup_join(keyed, gone, "doc_id", "left_anti", ["doc_id"]).select("doc.*")
+    keyed = docs.select(F.struct("*").alias("doc"), _row_key().alias("key"))
+    return lookup_join(keyed, gone, "key", "left_anti", ["key"]).select("doc.*")

@@ -197,3 +197,12 @@ def test_drop_keeps_columns_and_rows_without_id(spark):
     assert sorted(i for i in ids if i is not None) == [1, 4, 4, 6, 7, 8, 9, 10, 11, 12]
     assert ids.count(None) == 2
     assert simhash.drop_near_duplicates(empty_documents(spark)).collect() == []
+
+
+def test_texts_that_share_an_id(spark):
+    """A near copy goes, but not another text with its id."""
+    text = " ".join(f"w{i}" for i in range(200))
+    other = " ".join(f"v{i}" for i in range(200))
+    rows = [(1, text), (2, text + " end"), (2, other), (2, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(docs).collect())) == [(1, text), (2, other), (2, other)]

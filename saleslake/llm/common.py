@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saleslake import storage
+from saleslake.operators.joins import lookup_join
 
 # The white space of the contracts: [\x20\x09-\x0D], which is also what bytes.split() splits at.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -30,7 +31,40 @@ def stored(rows: DataFrame, name: str, compression: str = "snappy") -> DataFrame
     path = storage.work_dir(spark, f"{name}-{uuid4().hex}")
     rows.write.parquet(path, compression=compression)
     storage.delete_at_exit(spark, path)
-    return spark.read.schema(rows.schema).parquet(path)
+    table = spark.read.schema(rows.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, before the application ends."""
+    for table in tables:
+        storage.delete(table.sparkSession, table.stored_at)
+
+
+def row_key() -> Column:
+    """A document's id and text as one number: texts that share an id are different documents, repeated rows are one."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_bytes())
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """`docs` without the documents in `gone` (doc_id, key), and with one row of each of those in `repeated` (doc_id, key).
+
+    Only keys are shuffled or broadcast; of the texts only those of repeated rows are. Both are stored tables without repeats.
+    """
+    # The document's own columns travel in a struct, so that no name can clash.
+    keyed = docs.select(F.struct("*").alias("doc"), row_key().alias("key"), F.col("doc_id").cast("long").alias("id"))
+    same = F.col("id").eqNullSafe(F.col("doc_id"))
+
+    def rows_of(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        return lookup_join(rows, found, "key", how, ["key"], residual=same)
+
+    kept = rows_of(keyed, gone, "left_anti")
+    if not repeated.isEmpty():
+        of_key = Window.partitionBy("key", "id").orderBy(F.to_json("doc"))
+        once = rows_of(kept, repeated, "left_semi").withColumn("nth", F.row_number().over(of_key)).where("nth = 1").drop("nth")
+        kept = rows_of(kept, repeated, "left_anti").unionByName(once)
+    return kept.select("doc.*")
 
 
 def text_bytes(column: str = "text") -> Column:

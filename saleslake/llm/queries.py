@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslake.llm import embeddings, exact_dedup, html, language, packing, ppm, sentencepieces, sharding, simhash, toxicity
+from saleslake.llm import (
+    embeddings,
+    exact_dedup,
+    html,
+    language,
+    line_dedup,
+    packing,
+    period_runs,
+    ppm,
+    sentencepieces,
+    sharding,
+    simhash,
+    toxicity,
+    whitening,
+)
 from saleslake.llm.common import table
 
 
@@ -51,6 +65,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_simhash": op2_simhash,
@@ -62,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_period_runs": op12_period_runs,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
@@ -112,4 +141,24 @@ ORACLE: dict[str, str] = {
         FROM bare
         WINDOW preferred AS (PARTITION BY bare ORDER BY n DESC, doc_id)
     """,
+    # The first document of each key keeps its lines; keys that only one document holds are their first document's.
+    "op11_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+        ), lines AS (
+            SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS position FROM split
+        ), keyed AS (
+            SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines
+        ), firsts AS (
+            SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key
+        ), judged AS (
+            SELECT k.doc_id, line, position, coalesce(k.doc_id <> f.first, false) AS dropped
+            FROM keyed k LEFT JOIN firsts f ON f.key = k.key
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
 }

@@ -1,0 +1,104 @@
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+from llm_cases import HERE, SF, empty_documents, odd_documents
+
+from saleslake.llm import line_dedup
+
+WHITE = " \t\n\x0b\x0c\r"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain(rows, least=10):
+    """(doc_id, n_lines, n_dropped, sha) by a dictionary of keys; documents without an id are one, after all others."""
+    first = {}
+    key = lambda line: line.strip(WHITE).translate(LOWER)
+    for doc_id, text in rows:
+        for line in (text or "").split("\n"):
+            mine = (doc_id is None, doc_id or 0)
+            first[key(line)] = min(first.get(key(line), mine), mine)
+    out = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < least or first[key(x)] == (doc_id is None, doc_id or 0)]
+        out.append((doc_id, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def found(docs, least=10):
+    return sorted(map(tuple, line_dedup.line_digests(docs, least).collect()), key=repr)
+
+
+ODD = [
+    (5, "A Common Line here\nshort\nown line number five"),
+    (3, "  a common line here\t\nshort\n\nA COMMON LINE HERE\r\n"),
+    (None, "a common line here\nnobody has this but no id\n"),
+    (None, "nobody has this but no id"),
+    (9, "a common line here"),
+    (9, "another text of nine\na common line here\nanother text of nine"),
+    (9, "another text of nine\na common line here\nanother text of nine"),
+    (10, "\n\n"),
+    (11, "ÄÖÜ is ten.\näöü is ten.\nten signs:"),
+    (12, "äöü is ten.\n日本日本日本日本日\n日本日本日本日本日本 "),
+    (13, "日本日本日本日本日\n日本日本日本日本日本 \nTEN SIGNS:\x0c"),
+    (14, "many lines to skip\n" * 20_000 + "a common line here"),
+    (15, "x" * 100_000 + "\nmany lines to skip"),
+    (16, "x" * 100_000),
+]
+
+
+def test_odd_documents(spark):
+    docs = odd_documents(spark)
+    assert found(docs) == plain([(r["doc_id"], r["text"]) for r in docs.collect()])
+    odd = spark.createDataFrame([(i, t, 1, 2, "x", True) for i, t in ODD], "doc_id long, text string, hi long, position int, keep string, edge boolean")
+    assert found(odd) == plain(ODD)
+    assert found(empty_documents(spark)) == []
+    assert found(odd, 3) == plain(ODD, 3)
+
+
+@pytest.mark.parametrize("partitions", ["1", "7", "60"])
+def test_a_line_of_all_documents(spark, partitions):
+    """Lines that fill many partitions, others that begin or end at their borders."""
+    rng = random.Random(int(partitions))
+    rows = []
+    for i in rng.sample(range(10_000), 1500):
+        lines = ["the line that all have"] * rng.randint(1, 3) + [f"line number {rng.randint(0, 400)} of many" for _ in range(3)]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert found(docs) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_bitmaps(spark):
+    rows = [(1, "first line of all\nb"), (2, "b\nfirst line of all\nc\nfirst line of all\nd"), (3, "own line of three")]
+    bitmaps = line_dedup.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], line_dedup.unpacked(bytes(r["keep"]), 5).tolist()) for r in bitmaps] == [(2, [True, False, True, False, True])]
+    rng = random.Random(2)
+    for _ in range(50):
+        n = rng.randint(1, 3000)
+        gone = sorted(rng.sample(range(n), rng.randint(1, n)))
+        keep = line_dedup.unpacked(line_dedup.packed(rng.sample(gone, len(gone))), n)
+        assert [i for i in range(n) if not keep[i]] == gone
+    assert len(line_dedup.packed(list(range(100_000)))) < 200
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert texts == {1: "first line of all\nb", 2: "b\nc\nd", 3: "own line of three"}
+
+
+@pytest.mark.skipif(not HERE, reason="sample tables are not there")
+def test_sample(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert found(docs) == plain(rows)
+    groups = defaultdict(int)
+    for row in plain(rows):
+        groups[row[2] > 0] += 1
+    assert groups[True] and groups[False]

@@ -1,0 +1,122 @@
+import hashlib
+import random
+import zlib
+from fractions import Fraction
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_cases import HERE, SF, empty_documents, odd_documents
+
+from saleslake.llm import period_runs
+
+
+def smallest_period(words):
+    return next(q for q in range(1, len(words) + 1) if words[q:] == words[: len(words) - q])
+
+
+def plain_runs(words, length=6, exponent=4):
+    """By trying every period and every stretch that keeps it."""
+    n, found = len(words), set()
+    for q in range(1, n // exponent + 1):
+        start = 0
+        while start + q < n:
+            end = start
+            while end + q < n and words[end] == words[end + q]:
+                end += 1
+            size = end - start + q
+            if size >= max(length, exponent * q) and smallest_period(words[start : start + size]) == q:
+                found.add((start, size, q))
+            start = end + 1
+    return sorted(found, key=lambda run: (run[0], run[2]))
+
+
+def plain_row(doc_id, text):
+    words = (text or "").encode().split()
+    n = len(words)
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    g = h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    runs = plain_runs(words)
+    gone = {i for start, size, q in runs for i in range(start + q, start + size)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None, None, None)
+    listed = "".join(f"{s},{size},{q}\n" for s, size, q in runs)
+    kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+    milli = 1000 * best[1] // best[2] if runs else None
+    return (doc_id, len(runs), *best, milli, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept).hexdigest())
+
+
+COLUMNS = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+
+
+def check(docs):
+    found = period_runs.run_digests(docs)
+    assert found.columns == COLUMNS
+    want = [plain_row(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
+    return rows
+
+
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=60), max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_runs_of_few_words(documents):
+    assert period_runs.runs_of(documents) == [plain_runs(x) for x in documents]
+    assert period_runs.runs_of(documents, 2, 2) == [plain_runs(x, 2, 2) for x in documents]
+
+
+@given(st.lists(st.tuples(st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), min_size=1, max_size=8), st.integers(1, 9)), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_runs_of_repeated_passages(parts):
+    words = [w for part, times in parts for w in part * times]
+    for length, exponent in ((6, 4), (2, 2), (9, 3)):
+        assert period_runs.runs_of([words, words[::-1]], length, exponent) == [plain_runs(x, length, exponent) for x in (words, words[::-1])]
+
+
+def test_long_texts():
+    words = [b"w%d" % i for i in range(5000)]
+    assert period_runs.runs_of([words * 5, [b"x"] * 50_000, words]) == [[(0, 25_000, 5000)], [(0, 50_000, 1)], []]
+    fibonacci, before = [b"a"], [b"b"]
+    while len(fibonacci) < 30_000:
+        fibonacci, before = fibonacci + before, fibonacci
+    # Such words have cubes but nothing that occurs four times in a row.
+    assert period_runs.runs_of([fibonacci]) == [[]]
+    assert len(period_runs.runs_of([fibonacci[:2000]], 2, 2)[0]) == len(plain_runs(fibonacci[:2000], 2, 2))
+
+
+def test_strongest_and_what_stays():
+    runs = [(0, 8, 2), (3, 9, 2), (20, 18, 4), (40, 9, 2)]
+    assert period_runs.strongest(runs) == (3, 9, 2)
+    assert period_runs.strongest([(5, 12, 3), (5, 8, 2)]) == (5, 8, 2)
+    assert period_runs.strongest([]) is None
+    words = "x a b a b a b a b y".encode().split()
+    assert period_runs.collapsed(words, period_runs.runs_of([words])[0]) == b"x a b y"
+
+
+def test_odd_documents(spark):
+    check(odd_documents(spark).where("doc_id is null or doc_id not in (9, 10)"))
+    long = [r for r in period_runs.run_digests(odd_documents(spark)).collect() if r["doc_id"] == 9]
+    assert [(r["n_runs"], r["start"], r["length"], r["period"]) for r in long] == [(1, 0, 30_000, 1)]
+    assert period_runs.run_digests(empty_documents(spark)).collect() == []
+
+
+def test_many_ids(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    found = check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sum(r[1] > 0 for r in found) > 10
+
+
+def test_general_form(spark):
+    docs = spark.createDataFrame([(1, "a a b b b"), (1, "c"), (None, None)], "doc_id long, text string")
+    found = sorted(map(tuple, period_runs.periodic_runs(docs, 2, 2).collect()), key=repr)
+    assert found == [(1, 1, [], None, "c"), (1, 5, [(0, 2, 1), (2, 3, 1)], (2, 3, 1), "a b"), (None, 0, [], None, "")]
+
+
+@pytest.mark.skipif(not HERE, reason="sample tables are not there")
+def test_sample(spark):
+    check(spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 6000"))

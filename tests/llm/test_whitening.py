@@ -1,0 +1,171 @@
+import math
+import random
+from collections import defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from llm_cases import HERE, SF
+
+from saleslake.llm import whitening
+
+SHAPE = "vec_id long, embedding array<double>, x long, n string"
+
+
+def integer_rows(vectors, offset=1_000_000):
+    return [[math.floor(64 * c) + offset for c in v] for v in vectors]
+
+
+def exact_scatter(x):
+    n, d = len(x), len(x[0])
+    sums = [sum(row[j] for row in x) for j in range(d)]
+    centred = [[n * row[j] - sums[j] for j in range(d)] for row in x]
+    return sums, [[sum(a * b for a, b in zip(p, q, strict=True)) for q in zip(*centred, strict=True)] for p in zip(*centred, strict=True)], centred
+
+
+def random_matrix(rng, d, n, most):
+    x = [[rng.randint(-most, most) for _ in range(d)] for _ in range(n)]
+    _, m, _ = exact_scatter(x)
+    return [[v // n for v in row] for row in m]
+
+
+def determinant(m):
+    m, value = [[Fraction(v) for v in row] for row in m], Fraction(1)
+    for k in range(len(m)):
+        pivot = next((i for i in range(k, len(m)) if m[i][k]), None)
+        if pivot is None:
+            return 0
+        if pivot != k:
+            m[k], m[pivot], value = m[pivot], m[k], -value
+        value *= m[k][k]
+        for i in range(k + 1, len(m)):
+            m[i] = [a - m[i][k] / m[k][k] * b for a, b in zip(m[i], m[k], strict=True)]
+    return value
+
+
+def test_primes():
+    assert [n for n in range(3, 3000, 2) if whitening._is_prime(n)] == [n for n in range(3, 3000, 2) if all(n % q for q in range(3, n, 2))]
+    found = whitening.primes_beyond(1 << 200)
+    assert found[0] == (1 << 31) - 1 and len(set(found)) == len(found) == 7
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 9])
+def test_characteristic_polynomial(spark, d):
+    rng = random.Random(d)
+    cases = [random_matrix(rng, d, 30, 10**6), [[0] * d for _ in range(d)], [[7 * (i == j) for j in range(d)] for i in range(d)]]
+    for m in cases:
+        e = whitening.characteristic_polynomial(spark, m)
+        assert len(e) == d + 1 and e[0] == 1
+        for z in (-3, 0, 11, 10**13):
+            want = determinant([[z * (i == j) - m[i][j] for j in range(d)] for i in range(d)])
+            assert sum((-1) ** k * c * z ** (d - k) for k, c in enumerate(e)) == want
+
+
+def test_roots():
+    def polynomial(values):
+        e = [1]
+        for v in values:
+            e = [a + v * b for a, b in zip([*e, 0], [0, *e], strict=True)]
+        return e
+
+    assert whitening.roots(polynomial([5, 5, 5, 2, 0, 0, 10**20, 10**20 + 1]), 9) == [(10**20 + 1, 1), (10**20, 1), (5, 3), (2, 1)]
+    assert whitening.roots(polynomial([5, 5, 5, 2, 9]), 2) == [(9, 1), (5, 3)]
+    assert whitening.roots(polynomial([0, 0]), 3) == []
+    # z^2 - 4 z + 2: 2 + sqrt(2) and 2 - sqrt(2).
+    for (root, n), sign in zip(whitening.roots([1, 4, 2], 2), (1, -1), strict=True):
+        assert n == 1 and abs((root - 2) * (root - 2) - 2) < Fraction(1, 1 << 120) and (root > 2) == (sign > 0)
+
+
+def test_components(spark):
+    """Against a solver in doubles, and as exact as doubles can hold; equal and zero roots too."""
+    rng = random.Random(6)
+    m = random_matrix(rng, 12, 40, 1000)
+    found = whitening.components(spark, m, 5)
+    values, vectors = np.linalg.eigh(np.array(m, float))
+    assert len(found) == 5
+    for (root, v), value, want in zip(found, values[::-1], vectors.T[::-1], strict=False):
+        assert float(root) == pytest.approx(value, rel=1e-10)
+        assert abs(np.dot(v, want)) == pytest.approx(1, abs=1e-9)
+        exact = [Fraction(c) for c in v]
+        left = [sum(a * b for a, b in zip(row, exact, strict=True)) - root * c for row, c in zip(m, exact, strict=True)]
+        assert max(map(abs, left)) < Fraction(1, 10**15) * m[0][0] * 12
+        assert abs(sum(c * c for c in exact) - 1) < Fraction(1, 10**15)
+    same = [[0] * 4 for _ in range(4)]
+    for i, v in enumerate((9, 9, 9, 0)):
+        same[i][i] = v
+    found = whitening.components(spark, same, 32)
+    assert [float(r) for r, _ in found] == [9, 9, 9]
+    assert np.allclose(np.array([v for _, v in found]) @ np.array([v for _, v in found]).T, np.eye(3), atol=1e-15)
+    assert len(whitening.components(spark, same, 2)) == 2
+    close = [[10**15 + 1, 0], [0, 10**15]]
+    assert [v for _, v in whitening.components(spark, close)] == [[1.0, 0.0], [0.0, 1.0]]
+
+
+def check(found, vectors, most=32):
+    """Rows by an independent way: exact sums, a solver in doubles."""
+    x = integer_rows(vectors.values())
+    sums, m, centred = exact_scatter(x)
+    n, d = len(x), len(x[0])
+    values, directions = np.linalg.eigh(np.array(m, float))
+    values, directions = values[::-1], directions[:, ::-1]
+    k = min(most, int((values > 1e-9 * values[0]).sum()))
+    rows = defaultdict(dict)
+    for r in found:
+        rows[r["vec_id"]][r["component"]] = r
+    assert set(rows) == set(vectors) and all(sorted(r) == list(range(1, k + 1)) for r in rows.values())
+    w = np.array([[rows[i][c]["whitened"] for c in range(1, k + 1)] for i in vectors])
+    want = np.array(centred, float) @ directions[:, :k] / np.sqrt(values[:k] / n)
+    signs = np.sign((w * want).sum(0))
+    assert np.abs(w - want * signs).max() < 1e-6
+    error = np.abs((w - w.mean(0)).T @ (w - w.mean(0)) / n - np.eye(k)).max()
+    for i, row in zip(vectors, centred, strict=True):
+        for c in range(1, k + 1):
+            r = rows[i][c]
+            assert (r["n"], r["deviation"]) == (n, sum(v * v for v in row))
+            assert r["explained"] == pytest.approx(values[c - 1] / sum(m[j][j] for j in range(d)), rel=1e-9)
+            assert abs(r["identity_error"] - error) < 1e-12 and error < 1e-9
+
+
+def test_vectors(spark):
+    rng = random.Random(9)
+    vectors = {i: [rng.gauss(0, 1) * (1 + j) for j in range(6)] for i in range(200)}
+    odd = [(1000, None), (1001, []), (1002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1003, [float("nan")] * 6), (1004, [float("inf")] + [0.0] * 5), (1005, [1.0, 2.0])]
+    rows = [(i, v, 1, "x") for i, v in [*vectors.items(), *odd]]
+    found = whitening.whitened_rows(spark.createDataFrame(rows, SHAPE).repartition(4))
+    assert found.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert dict(found.dtypes)["deviation"] == "bigint"
+    check(found.collect(), vectors)
+    check(whitening.whitened(spark.createDataFrame(rows, SHAPE), most=3, offset=1_000_000).collect(), vectors, 3)
+
+
+def test_few_directions_repeats_and_no_id(spark):
+    """Fewer directions than dimensions, a dimension without variance, repeated rows and a row without an id."""
+    rng = random.Random(1)
+    vectors = {i: [float(i), 2.0 * i, 5.0, rng.random()] for i in range(20)}
+    found = whitening.whitened_rows(spark.createDataFrame([(i, v, 1, "x") for i, v in vectors.items()], SHAPE)).collect()
+    check(found, vectors)
+    assert {r["component"] for r in found} == {1, 2}
+    rows = [(None, [1.0, 0.0], 1, "x"), (4, [0.0, 0.0], 1, "x"), (4, [0.0, 0.0], 1, "x"), (4, [0.0, 0.0], 1, "x")]
+    found = whitening.whitened_rows(spark.createDataFrame(rows, SHAPE)).collect()
+    assert sorted((str(r["vec_id"]), r["component"], r["n"], r["deviation"]) for r in found) == [("4", 1, 4, 64**2)] * 3 + [("None", 1, 4, (3 * 64) ** 2)]
+    assert sorted(round(abs(r["whitened"]), 9) for r in found) == [round(3**-0.5, 9)] * 3 + [round(3**0.5, 9)]
+
+
+def test_nothing_to_whiten(spark):
+    for rows in ([], [(1, None, 1, "x")], [(1, [3.0, 4.0], 1, "x")], [(i, [1.0], 1, "x") for i in range(5)]):
+        assert whitening.whitened_rows(spark.createDataFrame(rows, SHAPE)).collect() == []
+
+
+def test_large_entries(spark):
+    """Products that doubles and longs cannot hold are still exact; a deviation beyond a long is null in the query."""
+    vectors = {i: [float(i * 10**7), float(i * 7 % 5 * 10**6)] for i in range(30)}
+    frame = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors.items()], SHAPE)
+    check(whitening.whitened(frame, offset=1_000_000).collect(), vectors)
+    assert {r["deviation"] for r in whitening.whitened_rows(frame).where("vec_id = 0").collect()} == {None}
+
+
+@pytest.mark.skipif(not HERE, reason="sample tables are not there")
+def test_sample(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    vectors = {r["vec_id"]: r["embedding"] for r in table.collect()}
+    check(whitening.whitened_rows(table).collect(), vectors)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslake.llm.common import WHITE_SPACE, stored
+from saleslake.llm.common import WHITE_SPACE, row_key, stored, without
 
 # Runs that one node of the tree merges, and digest ranges each node is cut into.
 FAN_IN = 16
@@ -22,6 +22,7 @@ def _runs(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.spark_partition_id().alias("node"),
         F.monotonically_increasing_id().alias("row"),
+        row_key().alias("key"),
         F.char_length(text).alias("n_chars"),
         F.unhex(F.sha2(bare, 256)).alias("digest"),
         F.xxhash64(bare).alias("check"),
@@ -38,7 +39,7 @@ def _merged(runs: DataFrame) -> DataFrame:
 
 
 def keepers(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """One row per document: doc_id, row, keep_id, keep_row, group_size, text_sha256.
+    """One row per document: doc_id, row, key, keep_id, keep_row, keep_key, group_size, text_sha256.
 
     Texts are equal when identical without white space; a null text is empty. Of equal texts the row with the most
     code points stays, then the smallest doc_id (a null id last), then the first row, so exactly one row of a
@@ -51,7 +52,7 @@ def keepers(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """
     rows = stored(_runs(docs), "digests")
     # Order of preference, smallest first.
-    rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "key")
     level0 = stored(
         rows.groupBy(*_KEY).agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("size")),
         "runs",
@@ -62,11 +63,16 @@ def keepers(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         merged = _merged(merged.withColumn("node", F.floor(F.col("node") / fan_in).cast("int")))
         nodes = -(-nodes // fan_in)
     winners = merged.select(
-        "digest", "check", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("size").alias("group_size")
+        "digest",
+        "check",
+        F.col("best.doc_id").alias("keep_id"),
+        F.col("best.row").alias("keep_row"),
+        F.col("best.key").alias("keep_key"),
+        F.col("size").alias("group_size"),
     )
     by_run = level0.select("node", "digest", "check").join(winners, ["digest", "check"])
     return rows.join(by_run, ["node", "digest", "check"]).select(
-        "doc_id", "row", "keep_id", "keep_row", "group_size", F.lower(F.hex("digest")).alias("text_sha256")
+        "doc_id", "row", "key", "keep_id", "keep_row", "keep_key", "group_size", F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
@@ -77,12 +83,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Rows that repeat id and text count as one document."""
-    found = keepers(docs).where(F.col("row") == F.col("keep_row"))
-    stay = stored(found.select(F.col("keep_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")), "stay")
-    bare = F.translate(F.coalesce(F.col("text"), F.lit("")), WHITE_SPACE, "")
-    # The document's own columns travel in a struct, so that no name can clash.
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.sha2(bare, 256).alias("sha"))
-    joined = keyed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha")))
-    first = Window.partitionBy("id", "sha").orderBy(F.char_length("doc.text").desc())
-    return joined.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc.*")
+    """The documents that stay, with all their columns: of equal texts the one that `keepers` names.
+
+    A null text is empty; a null doc_id comes after all others. Rows that repeat id and text count as one document, and one
+    of them stays. An empty table stays empty. Texts are not shuffled: the keys of what goes are.
+    """
+    found = keepers(docs).where(F.col("row") != F.col("keep_row"))
+    same = (F.col("key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    copies = stored(found.select("doc_id", "key", same.alias("repeats")), "copies")
+    gone = stored(copies.where("not repeats").select("doc_id", "key").distinct(), "gone")
+    repeated = stored(copies.where("repeats").select("doc_id", "key").distinct(), "repeated")
+    return without(docs, gone, repeated)

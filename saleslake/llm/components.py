@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslake.llm.common import stored
+from saleslake.llm.common import free, stored
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
@@ -15,16 +15,21 @@ def _lowest(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+    low = _lowest(both)
     # Both sides are stored tables, so a join partition with the edges of a hub can be split at run time.
-    joined = both.join(_lowest(both).hint("merge"), "u").where("v > u")
-    return stored(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+    joined = both.join(low.hint("merge"), "u").where("v > u")
+    large = stored(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+    free(both, low)
+    return large
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _lowest(down)
     linked = down.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return stored(linked.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
+    small = stored(linked.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
+    free(low)
+    return small
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,7 +45,10 @@ def connected(links: DataFrame) -> DataFrame:
     edges = stored(links.select("u", "v").where("u <> v").distinct(), "links")
     before = _state(edges)
     while before[0]:
-        edges = _small_star(_large_star(edges))
+        large = _large_star(edges)
+        small = _small_star(large)
+        free(edges, large)
+        edges = small
         after = _state(edges)
         if after == before:
             break

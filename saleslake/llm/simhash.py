@@ -4,8 +4,7 @@ Two fingerprints with at most r differing bits share a variant that differs from
 fingerprint emits all its variants within r/2 and fingerprints meet on equal variants. Any two that meet are within r
 of each other, so linking each to the smallest one that it meets loses no link, whatever the size of a group.
 
-`near_duplicates` links by fingerprint alone. `near_copies` takes as candidates documents that share one of many
-fingerprints over samples of their shingles, and links those whose sets of shingles are similar.
+`near_duplicates` names each document's group, `drop_near_duplicates` keeps one document of each.
 """
 
 from __future__ import annotations
@@ -17,12 +16,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslake.llm.common import pieces_of, stored, text_bytes, words
+from saleslake.llm.common import pieces_of, row_key, stored, text_bytes, without, words
 from saleslake.llm.components import connected
-from saleslake.operators.joins import lookup_join
 
 BITS = 64
 SEED = 42
@@ -32,7 +30,6 @@ LEAST_BITS, BUCKET_ROWS = 5, 8000
 # Variants one step holds at a time; a larger set is split by its next bit.
 VARIANTS_AT_ONCE = 2_000_000
 _SHINGLES_AT_ONCE = 1 << 16
-_SAMPLED_AT_ONCE = 1 << 13
 
 
 def shingles(found: list[bytes], width: int) -> Iterator[bytes]:
@@ -44,43 +41,30 @@ def shingles(found: list[bytes], width: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(found[i:] for i in range(width)), strict=False))
 
 
-def _mixed(hashes: np.ndarray, view: int) -> np.ndarray:
-    """The hashes of another view: a fixed mixing of the first one's."""
-    if not view:
-        return hashes
-    x = hashes + np.uint64(view * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprint(text: bytes, width: int, views: int = 1) -> list[int]:
-    """For each view a fingerprint: bit j is 1 if it is set in over half of the shingles' hashes."""
+def fingerprint(text: bytes, width: int) -> int:
+    """As a signed number: bit j is 1 if it is set in over half of the shingles' hashes."""
     found = words(text)
     total = max(len(found) - width + 1, 1) if found else 0
     runs = shingles(found, width)
-    ones = np.zeros((views, BITS), np.int64)
+    ones = np.zeros(BITS, np.int64)
     for start in range(0, total, _SHINGLES_AT_ONCE):
         n = min(_SHINGLES_AT_ONCE, total - start)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(next(runs), SEED) for _ in range(n)), np.uint64, n)
-        for view in range(views):
-            mixed = _mixed(hashes, view).astype("<u8").view(np.uint8).reshape(n, 8)
-            ones[view] += np.add.reduce(np.unpackbits(mixed, axis=1, bitorder="little"), axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<i8").ravel().tolist()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(next(runs), SEED) for _ in range(n)), "<u8", n)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int, views: int = 1) -> DataFrame:
-    """(doc_id, view, fp) of every whole text; fp as a signed long, zero for a text without words."""
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, fp) of every whole text; fp zero for a text without words, key the row's `row_key`."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            found = np.array([fingerprint(text.as_py(), width, views) for text in batch.column(1)], np.int64)
-            ids = pa.array([x for x in batch.column(0).to_pylist() for _ in range(views)], pa.int64())
-            view = np.tile(np.arange(views, dtype=np.int32), batch.num_rows)
-            yield pa.record_batch([ids, pa.array(view), pa.array(found.ravel())], names=["doc_id", "view", "fp"])
+            found = pa.array([fingerprint(text.as_py(), width) for text in batch.column(2)], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), found], names=["doc_id", "key", "fp"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return source.mapInArrow(read, "doc_id long, view int, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), text_bytes().alias("text"))
+    return source.mapInArrow(read, "doc_id long, key long, fp long")
 
 
 @cache
@@ -164,24 +148,19 @@ def bucket_links(
 
 
 def links(classes: DataFrame, radius: int) -> DataFrame:
-    """Links (u, v) that connect all of `classes` (view, fp, first) whose fingerprints differ in at most `radius` bits."""
-    most = classes.groupBy("view").count().agg(F.max("count")).first()[0] or 1
-    bucket_bits = min(BITS // 2, max(LEAST_BITS, (most // BUCKET_ROWS).bit_length()))
+    """Links (u, v) that connect all of `classes` (fp, first) whose fingerprints differ in at most `radius` bits."""
+    bucket_bits = min(BITS // 2, max(LEAST_BITS, (classes.count() // BUCKET_ROWS).bit_length()))
 
     def find(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         fps = rows.column("fp").to_numpy().view(np.uint64)
-        u, v = bucket_links(fps, rows.column("first").to_numpy(), key[1].as_py(), radius, bucket_bits)
+        u, v = bucket_links(fps, rows.column("first").to_numpy(), key[0].as_py(), radius, bucket_bits)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     near = F.array(*(F.lit(int(m)) for m in masks(bucket_bits, radius // 2)))
-    dealt = classes.select("view", "fp", "first", F.explode(near).alias("mask")).select(
-        "view", "fp", "first", F.shiftrightunsigned("fp", BITS - bucket_bits).bitwiseXOR(F.col("mask")).cast("int").alias("bucket")
+    dealt = classes.select("fp", "first", F.explode(near).alias("mask")).select(
+        "fp", "first", F.shiftrightunsigned("fp", BITS - bucket_bits).bitwiseXOR(F.col("mask")).cast("int").alias("bucket")
     )
-    return dealt.groupBy("view", "bucket").applyInArrow(find, "u long, v long")
-
-
-def _classes(prints: DataFrame) -> DataFrame:
-    return stored(prints.groupBy("view", "fp").agg(F.min("doc_id").alias("first")), "classes")
+    return dealt.groupBy("bucket").applyInArrow(find, "u long, v long")
 
 
 def _check(radius: int) -> None:
@@ -198,7 +177,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     """
     _check(radius)
     prints = stored(fingerprints(docs, width), "prints")
-    classes = _classes(prints)
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = connected(links(classes.where("first is not null"), radius))
     named = stored(
         classes.join(found, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component_id")),
@@ -210,130 +189,27 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     )
 
 
-def _shingle_set(text: bytes, width: int) -> np.ndarray:
-    """The different shingles' hashes, in order."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(words(text), width)], np.uint64))
-
-
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the different shingles' hashes of every whole text."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, 128):
-            sets = [_shingle_set(text.as_py(), width).view(np.int64) for text in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(read, "doc_id long, shingles array<long>")
-
-
-@cache
-def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """What to mix hashes with for `n` orders of them: masks and odd factors."""
-    found = np.random.default_rng(SEED).integers(0, 1 << 64, (2, n, 1), np.uint64)
-    return found[0], found[1] | np.uint64(1)
-
-
-def sample_fingerprints(hashes: np.ndarray, views: int, sample: int) -> list[int]:
-    """For each view a fingerprint of `sample` shingles, the first ones in as many orders of all hashes.
+def drop_near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """One document of each group stays, that with the smallest id, with all its columns.
 
-    Two sets share one of these shingles with the probability of their Jaccard similarity, wherever in the texts they differ.
+    Groups are those of `near_duplicates`: fingerprints linked at `radius` or fewer differing bits, and what they reach.
+    Null and empty texts have fingerprint zero and are linked like any other. Texts that share an id are documents of their
+    own, rows that repeat id and text are one, of which one row stays. A null id comes after all others, so such a document
+    goes if it is linked to one with an id; of equal ids the smallest hash of id and text stays. An empty table stays
+    empty. Texts are not shuffled: the keys of what goes are.
     """
-    mask, factor = _orders(views * sample)
-    least = np.full(views * sample, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), _SAMPLED_AT_ONCE):
-        least = np.minimum(least, ((hashes[start : start + _SAMPLED_AT_ONCE] ^ mask) * factor).min(1))
-    return [xxhash.xxh64_intdigest(x.tobytes(), view) for view, x in enumerate(least.reshape(views, sample))]
-
-
-def buckets_of(docs: DataFrame, width: int, views: int, sample: int) -> DataFrame:
-    """(doc_id, bucket, size): the fingerprints of every whole text's samples, and how many different shingles it has."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
-            sets = [_shingle_set(text.as_py(), width) for text in batch.column(1)]
-            found = np.array([sample_fingerprints(x, views, sample) for x in sets], np.uint64).reshape(-1).view(np.int64)
-            ids = pa.array([x for x in batch.column(0).to_pylist() for _ in range(views)], pa.int64())
-            sizes = np.repeat(np.array([len(x) for x in sets], np.int64), views)
-            yield pa.record_batch([ids, pa.array(found), pa.array(sizes)], names=["doc_id", "bucket", "size"])
-
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(read, "doc_id long, bucket long, size long")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles are similar."""
-    of = lambda node, name: sets.select(F.col("doc_id").alias(node), F.col("shingles").alias(name))
-    both = pairs.join(of("u", "a").hint("merge"), "u").join(of("v", "b").hint("merge"), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
-
-
-def similar_components(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) by the similar ones among documents that share a bucket, of `members` (bucket, doc_id, size).
-
-    In each round some members of each bucket, twice as many parts of it each time giving one, are compared with all others
-    that they are not connected with yet, and leave the bucket, which is done once its members are connected. So any two that
-    share a bucket are compared or connected. Those that share buckets with most come first: they are what others were copied from.
-    """
-    sizes = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    meets = stored(members.join(sizes.hint("merge"), "bucket").groupBy("doc_id").agg(F.sum("n").alias("meets")), "meets")
-    members = stored(members.join(meets.hint("merge"), "doc_id").withColumn("component", F.col("doc_id")), "members")
-    edges = members.sparkSession.createDataFrame([], "u long, v long")
-    turn = 0
-    while not members.isEmpty():
-        part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << min(turn, 30)))
-        first = F.max_by(F.struct("doc_id", "size", "component"), F.struct("meets", "doc_id"))
-        heads = stored(members.groupBy("bucket", part.alias("part")).agg(first.alias("head")).select("bucket", "head"), "heads")
-        near = F.least("size", "head.size") >= F.lit(similarity) * F.greatest("size", "head.size")
-        meeting = members.join(heads.hint("merge"), "bucket").where((F.col("component") != F.col("head.component")) & near)
-        pairs = meeting.select(F.least("doc_id", "head.doc_id").alias("u"), F.greatest("doc_id", "head.doc_id").alias("v")).distinct()
-        known = connected(edges.unionByName(_similar(stored(pairs, "candidates"), sets, similarity)))
-        components = stored(known.select(F.col("node").alias("doc_id"), F.col("component").alias("joined")), "components")
-        edges = components.select(F.col("doc_id").alias("u"), F.col("joined").alias("v"))
-        left = members.join(heads.select("bucket", F.col("head.doc_id").alias("doc_id")).hint("merge"), ["bucket", "doc_id"], "left_anti")
-        left = left.join(components.hint("merge"), "doc_id", "left")
-        left = stored(left.select("bucket", "doc_id", "size", "meets", F.coalesce("joined", "component").alias("component")), "left")
-        apart = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        members = stored(left.join(stored(apart.select("bucket"), "apart").hint("merge"), "bucket"), "members")
-        turn += 1
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-
-def _row_key() -> Column:
-    """A document's id and text as one number, null without an id: texts that share an id are different documents."""
-    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), text_bytes()))
-
-
-def _near_rows(docs: DataFrame, shingle: int, similarity: float, views: int, sample: int) -> DataFrame:
-    """(key, doc_id, first) of the documents that are similar to another one, first (doc_id, key) the smallest that is reached."""
-    keyed = docs.where("doc_id is not null").select(_row_key().alias("key"), F.col("doc_id").cast("long").alias("id"), "text")
-    # The steps between know a document by its key.
-    known = keyed.select(F.col("key").alias("doc_id"), "text")
-    prints = stored(buckets_of(known, shingle, views, sample).distinct(), "prints")
-    shared = stored(prints.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high"), "shared")
-    members = stored(prints.join(shared.select("bucket").hint("merge"), "bucket"), "members")
-    nodes = stored(members.select("doc_id").distinct(), "nodes")
-    sets = stored(shingle_sets(lookup_join(known, nodes, "doc_id", "inner", ["doc_id"]), shingle).dropDuplicates(["doc_id"]), "shingles")
-    found = stored(similar_components(members, sets, similarity).withColumnRenamed("node", "key"), "similar")
-    named = stored(lookup_join(keyed.select("key", "id"), found, "key", "inner", ["id"]).select("key", F.col("id").alias("doc_id"), "component").distinct(), "named")
-    first = stored(named.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")), "first")
-    return named.join(first.hint("merge"), "component").select("key", "doc_id", "first")
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 24, sample: int = 5) -> DataFrame:
-    """(doc_id, component_id) of the documents that are similar to another one; the component is the smallest id reached.
-
-    Candidates are documents that share the fingerprint of a sample of `sample` of their `shingle`-word shingles in one of the
-    views; a link needs sets of these shingles with at least the Jaccard similarity. (Two documents with a similarity of 0.8
-    share none of 24 such fingerprints in 1 of 14,000 cases, whatever the edit.) Texts without words are alike. Rows with a null
-    doc_id take no part; different texts that share an id are documents of their own; an empty table gives no rows; further
-    columns are ignored.
-    """
-    return _near_rows(docs, shingle, similarity, views, sample).select("doc_id", F.col("first.doc_id").alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id, with all its columns."""
-    gone = stored(_near_rows(docs, shingle, similarity, 24, 5).where("key <> first.key").select("key"), "gone")
-    # The document's own columns travel in a struct, so that no name can clash.
-    keyed = docs.select(F.struct("*").alias("doc"), _row_key().alias("key"))
-    return lookup_join(keyed, gone, "key", "left_anti", ["key"]).select("doc.*")
+    _check(radius)
+    prints = stored(fingerprints(docs, width), "prints")
+    # A group is known by its smallest fingerprint, so that documents with one id but different texts are not taken for one.
+    classes = stored(prints.select("fp", F.col("fp").alias("first")).distinct(), "classes")
+    found = connected(links(classes, radius))
+    groups = stored(classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("group")), "groups")
+    # Equal rows are counted before they meet, and the partition of a fingerprint that many share can be split at run time.
+    rows = stored(prints.groupBy("doc_id", "key", "fp").agg(F.count(F.lit(1)).alias("copies")), "print-rows")
+    grouped = stored(rows.join(groups.hint("merge"), "fp").select("group", "doc_id", "key", "copies"), "grouped")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    first = stored(grouped.groupBy("group").agg(least.alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key")), "first")
+    stays = (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    repeated = stored(grouped.where("copies > 1").join(first, stays, "left_semi").select("doc_id", "key"), "repeated")
+    gone = stored(grouped.join(first, stays, "left_anti").select("doc_id", "key"), "gone")
+    return without(docs, gone, repeated)

@@ -3,6 +3,7 @@ import sys
 
 import pytest
 from llm_cases import HERE, SF, empty_documents, odd_documents
+from test_simhash import plain_fingerprint, reachable
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -13,15 +14,6 @@ from saleslake.llm import language  # noqa: E402
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
-def similar(a, b):
-    def shingles(text):
-        found = text.lower().encode().split()
-        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
-
-    a, b = shingles(a), shingles(b)
-    return len(a & b) >= 0.8 * len(a | b)
-
-
 @pytest.mark.skipif(not HERE, reason="sample tables are not there")
 def test_each_stage_against_brute_force(spark):
     sf = f"{SF}/../sf0.01"
@@ -57,10 +49,10 @@ def test_each_stage_against_brute_force(spark):
     assert kept["exact dedup"] == {i for _, i in best.values()}
 
     left = sorted(kept["exact dedup"])
-    near = {(a, b) for a in left for b in left if a < b and abs(len(text[a]) - len(text[b])) < 0.3 * len(text[a]) and similar(text[a], text[b])}
-    gone = kept["exact dedup"] - kept["SimHash near-dedup"]
-    assert gone <= {b for _, b in near}
-    assert len(gone) >= 0.9 * len({b for _, b in near})
+    prints = {i: plain_fingerprint(text[i]) for i in left}
+    near = reachable(left, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    assert kept["SimHash near-dedup"] == set(near.values())
+    assert len(kept["SimHash near-dedup"]) < len(left)
 
     packed = corpus_pipeline.run(spark, sf)
     assert packed.columns == PIECE

@@ -53,7 +53,7 @@ def hot_values(rows: DataFrame, key: str) -> dict[str, float]:
     return {value: share for value, share in shares.items() if share >= HOT_SHARE}
 
 
-def _salts(key: Column, hot: Mapping[str, float], partitions: int) -> Column:
+def salt_counts(key: Column, hot: Mapping[str, float], partitions: int) -> Column:
     """Number of salts for a key: about twice the partitions its share would fill, else one."""
     tiers: dict[int, list[str]] = {}
     for value, share in hot.items():
@@ -86,11 +86,11 @@ def salted_join(
     keeps_nulls = how in ("left", "left_anti")
     if hot or keeps_nulls:
         partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salts = _salts(F.col(key), hot, partitions)
+        salts = salt_counts(F.col(key), hot, partitions)
         if keeps_nulls:
             salts = F.when(F.col(key).isNull(), F.lit(partitions)).otherwise(salts)
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), salts).cast("int"))
-        copies = F.sequence(F.lit(0), _salts(F.col("_lookup"), hot, partitions) - 1)
+        copies = F.sequence(F.lit(0), salt_counts(F.col("_lookup"), hot, partitions) - 1)
         right = right.withColumn("_copy", F.explode(copies) if hot else F.lit(0))
         match = match & (F.col("_salt") == F.col("_copy"))
     if residual is not None:

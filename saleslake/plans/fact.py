@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslake import schemas
-from saleslake.functions.dates import day, each_day, on_days, overlaps, valid_on
+from saleslake.functions.dates import day, each_day, on_days, overlaps
 from saleslake.functions.keys import UNKNOWN_KEY, date_key
 from saleslake.functions.money import line_amount
 from saleslake.layout import Layout
+from saleslake.operators.asof import version_lookup
 from saleslake.operators.joins import BROADCAST_LIMIT, hot_values, lookup_join, salted_join
 from saleslake.operators.upsert import upsert
 from saleslake.sinks.tables import write_fact
@@ -33,7 +34,8 @@ def resolve_headers(
 
     Done before the lines are joined because there are several lines per transaction. Versions that
     ended before the range or began after it are left out first; for a one-day load that leaves at most
-    one version per customer. `hot_from` may name the undeduplicated headers, see `resolve_lines`.
+    one version per customer. Where customers have long histories in the range, their versions are found by
+    sorting, not by comparing all of them with each order. `hot_from` may name the undeduplicated headers, see `resolve_lines`.
     """
     in_days = on_days(F.col("transaction_date"), days or each_day(start, end))
     in_range = headers.where(in_days)
@@ -41,16 +43,18 @@ def resolve_headers(
     versions = customers.where(
         overlaps(F.col("effective_start_date"), F.col("effective_end_date"), start, end)
     ).select("customer_id", "customer_key", "effective_start_date", "effective_end_date")
-    valid = valid_on(F.col("transaction_date"), F.col("effective_start_date"), F.col("effective_end_date"))
-    with_customer = lookup_join(
+    with_customer = version_lookup(
         in_range,
         versions,
         "customer_id",
-        "left",
+        "transaction_date",
+        "effective_start_date",
+        "effective_end_date",
+        ["customer_key"],
         spread_on=["transaction_id"],
-        residual=valid,
         hot_from=sample.select("customer_id"),
         broadcast_limit=broadcast_limit,
+        most=1 if start == end else None,
     )
     with_campaign = lookup_join(
         with_customer,

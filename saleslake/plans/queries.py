@@ -6,14 +6,16 @@ from collections.abc import Callable
 from datetime import date, datetime, timedelta, timezone
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryException
 
 from saleslake import schemas, storage
 from saleslake.functions.dates import day, each_day
 from saleslake.functions.money import line_amount
 from saleslake.layout import Layout
 from saleslake.operators import checks
+from saleslake.operators.asof import asof_join
 from saleslake.operators.attribution import attribute
 from saleslake.operators.calendar import build_dim_date, missing_days
 from saleslake.operators.dimensions import (
@@ -22,7 +24,7 @@ from saleslake.operators.dimensions import (
     refresh_customers,
     refresh_products,
 )
-from saleslake.operators.joins import lookup_join
+from saleslake.operators.joins import hot_values, lookup_join
 from saleslake.plans import reports
 from saleslake.plans.fact import build_sales, dropped_of, load_fact, resolve_headers, resolve_lines, touching
 from saleslake.plans.pipeline import backfill, bootstrap, run_day
@@ -30,6 +32,7 @@ from saleslake.session import together
 from saleslake.sinks.tables import (
     STAGING_RETENTION_DAYS,
     create_tables,
+    drop_expired,
     replace_day,
     retained,
     write_dimension,
@@ -39,7 +42,7 @@ from saleslake.sources.extracts import read_extract
 from saleslake.sources.sample_tables import MOVING_DAY, SampleTables
 from saleslake.sources.tables import read_dimension, read_fact, read_staging, read_window_counts
 from saleslake.streaming import jobs, sinks
-from saleslake.streaming.windows import minute_partials, windowed_counts
+from saleslake.streaming.windows import add_partials, minute_partials, windowed_counts
 
 LOADED_AT = datetime(2001, 1, 1, tzinfo=timezone.utc)
 
@@ -281,6 +284,22 @@ def point_in_time_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.select("transaction_id", "transaction_date", "customer_id", "customer_key", "campaign_key")
 
 
+def rate_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each payment with the rate of its account at that time, out of long histories of rates.
+
+    One account has a third of all users. Every third event sets its account's rate for the next three days, or up to the next one.
+    """
+    events = samples(spark, sf_dir).events()
+    number = F.col("transaction_id").cast("long")
+    user = F.substring("customer_id", 5, 20).cast("long")
+    accounts = events.withColumn("account", F.when(user % 3 == 0, F.lit("JOINT")).otherwise(F.col("customer_id")))
+    starts = accounts.where(number % 3 == 0).groupBy("account", F.col("event_time").alias("since")).agg(F.max("amount").alias("rate"))
+    following = F.lead("since").over(Window.partitionBy("account").orderBy("since")) - F.expr("INTERVAL 1 MICROSECOND")
+    rates = starts.withColumn("until", F.least(F.col("since") + F.expr("INTERVAL 3 DAYS"), following))
+    payments = accounts.where(number % 3 != 0).select("transaction_id", "account", "event_time")
+    return asof_join(payments, rates, "account", "event_time", "since", "until", ["since", "rate"], ["transaction_id"], hot_values(payments, "account"))
+
+
 def bootstrap_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact after the one-time load of the whole history from one CSV per table, checks included."""
     t = samples(spark, sf_dir)
@@ -478,6 +497,83 @@ def late_inclusive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.read_minutes(spark, f"{folder}/partials")
 
 
+def late_amended_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per minute that five batches have amended, with events of the whole time in each, the last batch given twice."""
+    folder = scratch(spark, "amended").root
+    events = samples(spark, sf_dir).events_in_batches(f"{folder}/input", F.col("event_id") % 5, 5)
+    query = jobs.amend_minutes(events, f"{folder}/minutes", f"{folder}/checkpoint", available_now=True)
+    query.awaitTermination()
+    table = jobs.minutes_by_day(spark, f"{folder}/minutes")
+    table.merge(minute_partials(samples(spark, sf_dir).events()), add_partials, query.id, query.lastProgress["batchId"])
+    return table.read()
+
+
+def compacted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per minute of fifty batches, the first forty folded into a folder a day before the others came, all after it."""
+    folder = scratch(spark, "compacted").root
+    t = samples(spark, sf_dir)
+    number = F.pmod(F.xxhash64("event_id"), F.lit(50))
+    for part, in_part in enumerate((number < 40, number >= 40)):
+        at = F.when(in_part, number % 40)
+        events = t.events_in_batches(f"{folder}/input-{part}", at, (40, 10)[part])
+        jobs.count_minutes(events, f"{folder}/partials", f"{folder}/checkpoint-{part}", available_now=True).awaitTermination()
+        jobs.compact_minutes(spark, f"{folder}/partials")
+    return jobs.read_minutes(spark, f"{folder}/partials")
+
+
+def out_of_order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows closed over five batches by time, half of the events of the last eight seconds before a border one batch late."""
+    layout = scratch(spark, "out-of-order")
+    t = samples(spark, sf_dir)
+    # The stream's first and last time: two values.
+    low, high = t.table("events").agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low)
+    length = (high - low) // 5 + 1
+    late = (F.col("event_id") % 2 == 0) & (at % length >= length - 8_000_000)
+    events = t.events_in_batches(f"{layout.root}/input", F.least(F.lit(4), F.floor(at / length) + late.cast("int")), 5)
+    sinks.start(windowed_counts(events), [sinks.table_sink(layout)], f"{layout.root}/checkpoint", available_now=True).awaitTermination()
+    return read_window_counts(spark, layout)
+
+
+def sinks_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per minute of two sinks that add what they get, with one between them that fails once, on the third batch."""
+    folder = scratch(spark, "sinks").root
+    events = samples(spark, sf_dir).events_in_batches(f"{folder}/input", F.col("event_id") % 5, 5)
+    failures = []
+
+    def adding(name: str) -> sinks.Sink:
+        return lambda batch, number: minute_partials(batch).write.parquet(f"{folder}/{name}/{uuid4().hex}")
+
+    def failing_once(batch: DataFrame, number: int) -> None:
+        if number == 2 and not failures:
+            failures.append(number)
+            raise OSError("this sink is not there at the moment")
+
+    def run() -> None:
+        outputs = [adding("first"), failing_once, adding("second")]
+        sinks.start(events, outputs, f"{folder}/checkpoint", available_now=True).awaitTermination()
+
+    try:
+        run()
+    except StreamingQueryException:
+        run()
+    found = [
+        add_partials(spark.read.schema(schemas.WINDOW_COUNTS).parquet(f"{folder}/{name}/*")).withColumn("sink", F.lit(name))
+        for name in ("first", "second")
+    ]
+    return found[0].unionByName(found[1])
+
+
+def expired_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the window table when days more than three days old are deleted."""
+    layout = scratch(spark, "expired")
+    counted = minute_partials(samples(spark, sf_dir).events())
+    counted.withColumn("window_date", F.to_date("window_start")).write.partitionBy("window_date").parquet(layout.window_counts)
+    last = max(storage.partition_days(spark, layout.window_counts, "window_date"))
+    drop_expired(spark, layout.window_counts, "window_date", last, 3)
+    return read_window_counts(spark, layout)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -493,6 +589,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fact_loaded_in_steps,
         daily_runs,
         point_in_time_lookup,
+        rate_as_of,
         bootstrap_history,
         extract_roundtrip,
         check_landed,
@@ -516,5 +613,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         event_decode,
         event_rejects,
         late_inclusive_counts,
+        late_amended_counts,
+        compacted_counts,
+        out_of_order_windows,
+        sinks_after_failure,
+        expired_windows,
     )
 }

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslake import schemas
+from saleslake import schemas, storage
 from saleslake.functions.dates import day
 from saleslake.operators.attribution import attribute
 from saleslake.operators.dedup import latest_per_key
@@ -25,6 +25,9 @@ CAMPAIGN_LENGTH_DAYS = 30
 SIGNUP_BASE = date(1995, 1, 1)
 MOVING_DAY = date(1998, 1, 1)
 
+# Files a batch of a replayed stream has at most.
+FILES_A_BATCH = 8
+
 # Settles which copy of a line is the newest when several came on one day.
 LINE_TIEBREAK = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
@@ -141,6 +144,26 @@ class SampleTables:
             )
         else:
             source = self.table("events")
+        return self._payments(source)
+
+    def events_in_batches(self, folder: str, number: Column, batches: int) -> DataFrame:
+        """The event table as a stream that comes in `batches` batches: `number` says in which (from 0) an event is.
+
+        The batches' files are written to `folder` in their order, which is the order the stream reads them in.
+        """
+        table = self.table("events")
+        numbered = table.withColumn("batch", number.cast("int"))
+        for n in range(batches):
+            numbered.where(F.col("batch") == n).drop("batch").coalesce(FILES_A_BATCH).write.mode("overwrite").parquet(f"{folder}/{n:04}")
+        found = storage.matching(self.spark, f"{folder}/*/*.parquet")
+        # Each batch has as many files, or few: then one file is read at a time and there are more batches.
+        several = {n: sum(f"/{n:04}/" in name for name in found) for n in range(batches)}
+        at_once = several[0] if len(set(several.values())) == 1 else 1
+        stream = self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", at_once).parquet(f"{folder}/*/*.parquet")
+        return self._payments(stream)
+
+    @staticmethod
+    def _payments(source: DataFrame) -> DataFrame:
         return source.select(
             F.col("event_id").cast("string").alias("transaction_id"),
             _id("CUST", "user_id").alias("customer_id"),

@@ -29,10 +29,47 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def mark_complete(spark: SparkSession, path: str) -> None:
     """Publish a folder that was written without its success marker."""
-    fs, marker = _file_system(spark, f"{path}/_SUCCESS")
+    touch(spark, f"{path}/_SUCCESS")
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file, and the folders above it."""
+    fs, marker = _file_system(spark, path)
     fs.create(marker, True).close()
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies directly below `path`, sorted; nothing if there is no such folder."""
+    fs, hadoop_path = _file_system(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path)) if fs.exists(hadoop_path) else []
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a glob pattern, sorted."""
+    fs, hadoop_path = _file_system(spark, pattern)
+    return sorted(str(status.getPath()) for status in fs.globStatus(hadoop_path) or [])
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, hadoop_path = _file_system(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a new small file that readers see whole or not at all; a file that is there already is an error."""
+    fs, hadoop_path = _file_system(spark, path)
+    partial = spark._jvm.org.apache.hadoop.fs.Path(f"{hadoop_path.getParent()}/.{hadoop_path.getName()}.partial")
+    stream = fs.create(partial, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.exists(hadoop_path) or not fs.rename(partial, hadoop_path):
+        raise FileExistsError(f"{path} was published by someone else")
+
+
 def state_of(spark: SparkSession, path: str) -> int:
     """A number that changes when a file directly or one level below `path` does."""
     fs, hadoop_path = _file_system(spark, path)

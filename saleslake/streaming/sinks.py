@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from saleslake import storage
 from saleslake.layout import Layout
 from saleslake.session import setting
+from saleslake.sinks.parts import PartTable
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -75,16 +77,43 @@ def batch_table_sink(path: str, transform: Callable[[DataFrame], DataFrame] = la
     return emit
 
 
-def composite_sink(sinks: Sequence[Sink]) -> Sink:
-    """Gives each batch to all sinks in order, computing it once."""
+def amending_sink(table: Callable[[SparkSession], PartTable], transform: Callable[[DataFrame], DataFrame], combine: Callable[[DataFrame], DataFrame]) -> Sink:
+    """Combines `transform` of each batch with the stored rows of the parts it touches, once per batch number.
+
+    All parts change together, and a batch that is repeated after a failure changes nothing.
+    """
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        table(batch.sparkSession).merge(transform(batch), combine, query_id(batch), batch_id)
+
+    return emit
+
+
+def composite_sink(sinks: Sequence[Sink], ledger: str | None = None) -> Sink:
+    """Gives each batch to all sinks in order, computing it once.
+
+    In the folder `ledger`, if given, it is noted which sinks have got a batch. When the batch is repeated because a later sink
+    failed, those get it no second time; only a sink whose note could not be written does.
+    """
 
     def emit(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        notes = f"{ledger}/{query_id(batch)}"
         batch.persist()
         try:
-            for sink in sinks:
+            for n, sink in enumerate(sinks):
+                note = f"{notes}/{batch_id}/{n}"
+                if ledger and storage.exists(spark, note):
+                    continue
                 sink(batch, batch_id)
+                if ledger:
+                    storage.touch(spark, note)
         finally:
             batch.unpersist()
+        # Once a batch has begun, the ones before are never repeated.
+        for earlier in storage.names(spark, notes) if ledger else []:
+            if int(earlier) < batch_id:
+                storage.delete(spark, f"{notes}/{earlier}")
 
     return emit
 
@@ -97,8 +126,9 @@ def start(
     every: str | None = None,
     available_now: bool = False,
     state_partitions: int = STATE_PARTITIONS,
+    mode: str = "append",
 ) -> StreamingQuery:
-    """Start a query in append mode that feeds `sinks`.
+    """Start a query that feeds `sinks`; of several each gets each batch once, as noted beside the checkpoint.
 
     Batches run back to back, or `every` so often (such as "5 minutes", which makes fewer and larger
     files); `available_now` stops at the end of the input. A restarted query keeps the number of
@@ -106,14 +136,14 @@ def start(
     """
     # The state's partitions are those of the session when the query starts; what the sinks run gets the cluster's back.
     usual = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    every_sink = composite_sink(sinks) if len(sinks) > 1 else sinks[0]
+    every_sink = composite_sink(sinks, f"{checkpoint}/delivered") if len(sinks) > 1 else sinks[0]
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         batch.sparkSession.conf.set("spark.sql.shuffle.partitions", usual)
         every_sink(batch, batch_id)
 
     writer = (
-        rows.writeStream.outputMode("append")
+        rows.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(emit)
     )

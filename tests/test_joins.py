@@ -6,7 +6,7 @@ import pytest
 from conftest import final_plan_of, plan_of
 from pyspark.sql import functions as F
 
-from saleslake.operators.joins import _salts, hot_values, lookup_join, measured_bytes, salted_join
+from saleslake.operators.joins import hot_values, lookup_join, measured_bytes, salt_counts, salted_join
 
 LEFT = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 50}", i % 10) for i in range(3000)]
 # Two intervals per key, and keys that no left row has; `k7` is missing on this side.
@@ -94,7 +94,7 @@ def test_hot_values_are_the_frequent_ones(spark):
 
 def test_salts_follow_the_share_of_a_key(spark):
     keys = spark.createDataFrame([("huge",), ("big",), ("cold",)], "key string")
-    counted = keys.select("key", _salts(F.col("key"), {"huge": 0.4, "big": 0.002}, 2000).alias("salts"))
+    counted = keys.select("key", salt_counts(F.col("key"), {"huge": 0.4, "big": 0.002}, 2000).alias("salts"))
     assert dict(tuple(r) for r in counted.collect()) == {"huge": 2000, "big": 8, "cold": 1}
 
 

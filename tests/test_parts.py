@@ -1,0 +1,114 @@
+"""The part table: all parts of a change are seen together or not at all, and a batch is taken once."""
+
+import os
+from datetime import datetime, timedelta, timezone
+from decimal import Decimal
+
+import pytest
+from conftest import rows_of
+from pyspark.sql import functions as F
+
+from saleslake import schemas, storage
+from saleslake.sinks.parts import COMMITS_KEPT, PartTable
+from saleslake.streaming.jobs import minutes_by_day, read_days_of
+from saleslake.streaming.windows import add_partials
+
+START = datetime(2026, 1, 1, tzinfo=timezone.utc)
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    return minutes_by_day(spark, str(tmp_path / "table"))
+
+
+def minutes(spark, *rows):
+    """Rows of (minutes since the start, count)."""
+    made = [(START + timedelta(minutes=m), n, Decimal(n)) for m, n in rows]
+    return spark.createDataFrame(made, "window_start timestamp, transaction_count long, total_amount decimal(38,9)")
+
+
+def found(frame):
+    return [(int((t.replace(tzinfo=timezone.utc) - START).total_seconds() // 60), n) for t, n, _ in rows_of(frame)]
+
+
+DAY = 24 * 60
+
+
+def test_batches_are_combined_once(spark, table):
+    assert found(table.read()) == [] and table.state().number == -1
+    assert table.merge(minutes(spark, (0, 1), (5, 2), (DAY, 3)), add_partials, "q", 0)
+    assert table.merge(minutes(spark, (5, 10), (2 * DAY, 1)), add_partials, "q", 1)
+    want = [(0, 1), (5, 12), (DAY, 3), (2 * DAY, 1)]
+    assert found(table.read()) == want
+    for batch in (0, 1):
+        assert not table.merge(minutes(spark, (5, 10), (2 * DAY, 1)), add_partials, "q", batch)
+    assert found(table.read()) == want
+    assert table.merge(minutes(spark, (5, 1)), add_partials, "another", 0)
+    assert table.state().applied == {"q": 1, "another": 0}
+    assert found(table.read({"2026-01-01"})) == [(0, 1), (5, 13)]
+    assert found(read_days_of(table, (START + timedelta(days=1)).date())) == [(DAY, 3), (2 * DAY, 1)]
+
+
+def test_an_empty_batch_is_noted(spark, table):
+    assert table.merge(minutes(spark, (0, 1)).limit(0), add_partials, "q", 4)
+    assert table.state().applied == {"q": 4} and found(table.read()) == []
+    assert not table.merge(minutes(spark, (0, 1)), add_partials, "q", 4)
+
+
+def test_parts_that_are_not_touched_keep_their_files(spark, table):
+    table.merge(minutes(spark, (0, 1), (DAY, 1)), add_partials, "q", 0)
+    before = table.state().parts
+    table.merge(minutes(spark, (DAY, 1)), add_partials, "q", 1)
+    after = table.state().parts
+    assert after["2026-01-01"] == before["2026-01-01"] and after["2026-01-02"] != before["2026-01-02"]
+
+
+def test_a_failed_writer_leaves_nothing_that_is_read(spark, table):
+    table.merge(minutes(spark, (0, 1)), add_partials, "q", 0)
+    table.write(minutes(spark, (0, 100), (DAY, 100)))  # written, but never published
+    assert found(table.read()) == [(0, 1)]
+    table.merge(minutes(spark, (0, 1)), add_partials, "q", 1)
+    assert found(table.read()) == [(0, 2)]
+    folders = {x for x in storage.names(spark, f"{table.path}/data")}
+    assert len(folders) == 2  # those of the two commits
+
+
+def test_readers_of_the_commit_before_can_end(spark, table):
+    table.merge(minutes(spark, (0, 1)), add_partials, "q", 0)
+    reading = table.read()
+    table.merge(minutes(spark, (0, 1)), add_partials, "q", 1)
+    assert found(reading) == [(0, 1)]
+    for batch in range(2, 6):
+        table.merge(minutes(spark, (0, 1), (batch * DAY, 1)), add_partials, "q", batch)
+    assert len(table.commits()) == COMMITS_KEPT
+    live = set().union(*(table.state(n).folders() for n in table.commits()))
+    there = {f"data/{a}/{b}" for a in os.listdir(f"{table.path}/data") for b in os.listdir(f"{table.path}/data/{a}") if b.startswith("part=")}
+    assert there == live
+    assert found(table.read()) == [(0, 6), *((b * DAY, 1) for b in range(2, 6))]
+
+
+def test_a_number_is_published_once(spark, table):
+    before = table.state()
+    table.publish(before, table.write(minutes(spark, (0, 1))))
+    with pytest.raises(FileExistsError):
+        table.publish(before, table.write(minutes(spark, (0, 2))))
+    assert found(table.read()) == [(0, 1)]
+
+
+def test_parts_expire(spark, table):
+    table.merge(minutes(spark, (0, 1), (DAY, 2), (2 * DAY, 3)), add_partials, "q", 0)
+    assert table.expire(lambda name: name < "2026-01-03") == ["2026-01-01", "2026-01-02"]
+    assert found(table.read()) == [(2 * DAY, 3)]
+    assert table.expire(lambda name: name < "2026-01-03") == []
+    assert table.state().applied == {"q": 0}
+
+
+def test_a_part_is_sorted_and_a_small_one_is_one_file(spark, tmp_path):
+    schema = schemas.WINDOW_COUNTS
+    table = PartTable(spark, str(tmp_path / "t"), schema, F.date_format("window_start", "yyyy-MM"), ["window_start"])
+    table.merge(minutes(spark, *((m * 7919 % 5000, 1) for m in range(5000))).repartition(6), add_partials, "q", 0)
+    [folder] = table.state().parts["2026-01"]
+    files = [f for f in os.listdir(f"{table.path}/{folder}") if f.endswith(".parquet")]
+    assert len(files) == 1
+    times = [r[0] for r in spark.read.schema(schema).parquet(f"{table.path}/{folder}").collect()]
+    assert times == sorted(times) and len(times) == 5000

@@ -8,6 +8,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from saleslake import storage
 from saleslake.functions.dates import minute_start
 from saleslake.sources.events import accepted, decode, read_topic, rejected
 from saleslake.sources.tables import read_window_counts
@@ -240,3 +241,120 @@ def test_number_of_state_partitions_is_kept_small(spark, topic, layout, tmp_path
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert query.lastProgress.stateOperators[0].numShufflePartitions == sinks.STATE_PARTITIONS
+
+
+def every_minute(spark, path, **between):
+    return [(w.replace(tzinfo=timezone.utc) - NOON, n, total) for w, n, total in rows_of(jobs.read_minutes(spark, path, **between))]
+
+
+def counting(spark, topic, tmp_path):
+    return jobs.count_minutes(accepted(decode(topic.stream())), str(tmp_path / "partials"), str(tmp_path / "checkpoint"), available_now=True)
+
+
+def test_late_events_amend_published_minutes(spark, topic, tmp_path):
+    path, checkpoint = str(tmp_path / "minutes"), str(tmp_path / "checkpoint")
+
+    def amend():
+        query = jobs.amend_minutes(accepted(decode(topic.stream())), path, checkpoint, available_now=True)
+        query.awaitTermination()
+        return query
+
+    def stored():
+        return [(w.replace(tzinfo=timezone.utc) - NOON, n, total) for w, n, total in rows_of(jobs.minutes_by_day(spark, path).read())]
+
+    topic.send(message(0, 1), message(70, 2))
+    topic.send(message(7200, 3))
+    amend()
+    assert stored() == [(timedelta(0), 1, money("1")), (MINUTE, 1, money("2")), (120 * MINUTE, 1, money("3"))]
+    topic.send(message(5, 10), message(-86_400, 5))  # two hours and a day late
+    query = amend()
+    want = [(timedelta(days=-1), 1, money("5")), (timedelta(0), 2, money("11")), (MINUTE, 1, money("2")), (120 * MINUTE, 1, money("3"))]
+    assert stored() == want
+    sink = sinks.amending_sink(lambda s: jobs.minutes_by_day(s, path), minute_partials, add_partials)
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", query.id)
+    try:
+        sink(accepted(decode(spark.createDataFrame([(message(5, 10),)], "value string"))), 2)  # the last batch once more
+    finally:
+        spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
+    assert stored() == want
+
+
+def test_minutes_are_the_same_before_and_after_compaction(spark, topic, tmp_path):
+    path = str(tmp_path / "partials")
+    for n in range(6):
+        topic.send(message(n * 50, n), message(n * 50 + 86_400 * (n % 3), 1))
+    counting(spark, topic, tmp_path).awaitTermination()
+    before = every_minute(spark, path)
+    assert jobs.compact_minutes(spark, path) == 6
+    assert every_minute(spark, path) == before
+    assert [name for name in os.listdir(path) if name.startswith("query_id=") and os.listdir(f"{path}/{name}")] == []
+    read = jobs.read_minutes(spark, path).inputFiles()
+    assert len(read) == 3 and all("/part=2026-01-0" in name for name in read)  # one file a day
+    assert jobs.compact_minutes(spark, path) == 0
+    topic.send(message(10, 5), message(200_000, 1))
+    counting(spark, topic, tmp_path).awaitTermination()
+    after = every_minute(spark, path)
+    assert sum(n for _, n, _ in after) == sum(n for _, n, _ in before) + 2
+    day_one = every_minute(spark, path, end=NOON.date())
+    assert jobs.compact_minutes(spark, path) == 1
+    assert every_minute(spark, path) == after
+    assert every_minute(spark, path, end=NOON.date()) == day_one == [row for row in after if row[0] < timedelta(hours=12)]
+    assert every_minute(spark, path, start=d("2026-01-02"), end=d("2026-01-02")) == [r for r in after if timedelta(hours=12) <= r[0] < timedelta(hours=36)]
+
+
+def test_compaction_can_be_interrupted(spark, topic, tmp_path, monkeypatch):
+    """Published, but the batches' folders are still there: they count once, and go with the next run."""
+    path = str(tmp_path / "partials")
+    for n in range(3):
+        topic.send(message(n, 1))
+    counting(spark, topic, tmp_path).awaitTermination()
+    before = every_minute(spark, path)
+    values = storage.partition_values
+
+    def stopped(spark, folder, column):
+        if column == "batch_id":
+            raise OSError("the driver is gone")
+        return values(spark, folder, column)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(storage, "partition_values", stopped)
+        with pytest.raises(OSError):
+            jobs.compact_minutes(spark, path)
+    assert every_minute(spark, path) == before
+    assert jobs.compact_minutes(spark, path) == 0
+    assert every_minute(spark, path) == before
+
+
+def test_old_days_expire(spark, topic, tmp_path):
+    path = str(tmp_path / "partials")
+    topic.send(message(0, 1), message(86_400, 1), message(2 * 86_400, 1))
+    counting(spark, topic, tmp_path).awaitTermination()
+    jobs.compact_minutes(spark, path)
+    assert jobs.expire_minutes(spark, path, d("2026-01-03"), days=1) == [d("2026-01-01")]
+    assert [w for w, _, _ in every_minute(spark, path)] == [timedelta(days=1), timedelta(days=2)]
+
+
+def test_each_sink_gets_each_batch_once(spark, topic, tmp_path):
+    got, failures = {"a": [], "b": [], "c": []}, []
+
+    def taking(name):
+        return lambda batch, number: got[name].append((number, batch.count()))
+
+    def failing(batch, number):
+        if number == 1 and len(failures) < 2:
+            failures.append(number)
+            raise OSError("not now")
+        taking("b")(batch, number)
+
+    def start():
+        return sinks.start(accepted(decode(topic.stream())), [taking("a"), failing, taking("c")], str(tmp_path / "checkpoint"), available_now=True)
+
+    for n in range(3):
+        topic.send(*[message(n * 10 + i, 1) for i in range(n + 1)])
+    for _ in range(2):
+        with pytest.raises(PySparkException):
+            start().awaitTermination()
+    start().awaitTermination()
+    assert got == {name: [(0, 1), (1, 2), (2, 3)] for name in "abc"}
+    [notes] = os.listdir(tmp_path / "checkpoint" / "delivered")
+    assert os.listdir(tmp_path / "checkpoint" / "delivered" / notes) == ["2"]

@@ -6,31 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from saleslake.llm import exact_dedup, language, packing, simhash, toxicity
-from saleslake.llm.common import stored, table
+from saleslake.llm.common import small_batches, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language stay."""
+    small_batches(spark)
     return language.drop_unidentified(docs)
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold stay."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest stays, then the smallest id."""
+    small_batches(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, packed into sequences."""
+    small_batches(spark)
     # Workers that ran the stages before hold memory of theirs too, so fewer words are remembered than in a run alone.
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=200_000)
 

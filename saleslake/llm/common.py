@@ -18,7 +18,17 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+# Rows that Spark hands to a Python task at a time. Texts are long, so the usual 10,000 would be tens of megabytes on both sides.
+ROWS_A_BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of what is handed to Python tasks; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -28,7 +28,7 @@ SEED = 42
 # There are more bits, and buckets, the more fingerprints there are.
 LEAST_BITS, BUCKET_ROWS = 5, 8000
 # Variants one step holds at a time; a larger set is split by its next bit.
-VARIANTS_AT_ONCE = 2_000_000
+VARIANTS_AT_ONCE = 500_000
 _SHINGLES_AT_ONCE = 1 << 16
 
 

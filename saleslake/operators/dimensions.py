@@ -82,35 +82,16 @@ def changed(tracked: Sequence[str], old: str, new: str, null_safe: bool = True)
     return result
 
 
-def refresh_customers(
-    dim: DataFrame,
-    customers: DataFrame,
-    as_of: date,
-    tracked: Sequence[str] = TRACKED,
-    null_safe: bool = True,
-    first_start: date | None = None,
-) -> DataFrame:
-    """Customer versions after applying the rows known on `as_of` (unique per customer).
-
-    The version valid on `as_of` is compared with the source row:
+def _compared(dim: DataFrame, customers: DataFrame, as_of: date, tracked: Sequence[str], null_safe: bool, first_start: date | None) -> DataFrame:
+    """(old, versions, differs) of each customer that has a version valid on `as_of` or is in the source.
 
-    * same attributes: nothing happens, so a repeated load changes nothing;
-    * changed, and the version began earlier: it ends the day before and a new one takes over the rest
-      of its interval;
-    * changed, and it began on `as_of` itself: its attributes are replaced, since a second version of the
-      same day would have an inverted interval and the same key;
-    * no version valid on that day: a first version opens on `first_start` (default `as_of`) and reaches
-      up to the customer's next version, if a later load already made one.
-
-    Customers missing from the source keep their versions. Only versions valid on `as_of` take part in
-    the join; the rest of the history passes through without a shuffle.
+    `old` is that version or null, `versions` what takes its place, `differs` whether that is something else.
     """
     columns = schemas.DIM_CUSTOMER.fieldNames()
     attributes = [c for c in customers.columns if c in columns and c != "customer_id"]
     on = day(as_of)
     covers = valid_on(on, F.col("effective_start_date"), F.col("effective_end_date"))
 
-    untouched = dim.where(~covers)
     covering = dim.where(covers).select("customer_id", F.struct(*columns).alias("old"))
     source = customers.select("customer_id", F.struct(*attributes).alias("new"))
     later = (
@@ -147,8 +128,52 @@ def refresh_customers(
         .when(is_changed, F.array(closed, replacement))
         .otherwise(F.array(kept))
     )
-    rebuilt = joined.select(F.explode(versions).alias("v")).select("v.*")
-    return untouched.select(*columns).unionByName(rebuilt)
+    return joined.select("old", versions.alias("versions"), (is_new | is_changed).alias("differs"))
+
+
+def refresh_customers(
+    dim: DataFrame,
+    customers: DataFrame,
+    as_of: date,
+    tracked: Sequence[str] = TRACKED,
+    null_safe: bool = True,
+    first_start: date | None = None,
+) -> DataFrame:
+    """Customer versions after applying the rows known on `as_of` (unique per customer).
+
+    The version valid on `as_of` is compared with the source row:
+
+    * same attributes: nothing happens, so a repeated load changes nothing;
+    * changed, and the version began earlier: it ends the day before and a new one takes over the rest
+      of its interval;
+    * changed, and it began on `as_of` itself: its attributes are replaced, since a second version of the
+      same day would have an inverted interval and the same key;
+    * no version valid on that day: a first version opens on `first_start` (default `as_of`) and reaches
+      up to the customer's next version, if a later load already made one.
+
+    Customers missing from the source keep their versions. Only versions valid on `as_of` take part in
+    the join; the rest of the history passes through without a shuffle.
+    """
+    columns = schemas.DIM_CUSTOMER.fieldNames()
+    covers = valid_on(day(as_of), F.col("effective_start_date"), F.col("effective_end_date"))
+    rebuilt = _compared(dim, customers, as_of, tracked, null_safe, first_start).select(F.explode("versions").alias("v")).select("v.*")
+    return dim.where(~covers).select(*columns).unionByName(rebuilt)
+
+
+def customer_changes(
+    dim: DataFrame,
+    customers: DataFrame,
+    as_of: date,
+    tracked: Sequence[str] = TRACKED,
+    null_safe: bool = True,
+    first_start: date | None = None,
+) -> DataFrame:
+    """What `refresh_customers` changes: (old, versions), the version that goes (null: none) and those that come for it.
+
+    Versions that ended before `as_of` play no part, so `dim` need not have them.
+    """
+    compared = _compared(dim, customers, as_of, tracked, null_safe, first_start)
+    return compared.where(F.coalesce("differs", F.lit(False))).select("old", "versions")
 
 
 def empty_dimension(spark: SparkSession, name: str) -> DataFrame:

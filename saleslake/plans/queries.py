@@ -33,7 +33,9 @@ from saleslake.sinks.tables import (
     STAGING_RETENTION_DAYS,
     create_tables,
     drop_expired,
+    refresh_history,
     replace_day,
+    replace_history,
     retained,
     write_dimension,
 )
@@ -57,6 +59,9 @@ UPSERT_RANGE = (date(1998, 1, 1), date(1998, 6, 30))
 # The days of the daily runs.
 RUN_DAYS = (date(2001, 1, 1), date(2001, 1, 2), date(2001, 1, 3))
 
+# The day of a customer extract that comes after later ones.
+LATE_EXTRACT_DAY = date(1997, 6, 1)
+
 # A load in steps is cut here, and some days around the cut are loaded again.
 STEP_CUT, STEP_OVERLAP = date(1998, 1, 1), timedelta(days=30)
 
@@ -190,8 +195,26 @@ def scd1_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh_campaigns(dim, second, LOADED_AT).drop("updated_at")
 
 
+def customer_loads(spark: SparkSession, layout: Layout, *loads: tuple[DataFrame, date]) -> DataFrame:
+    """The stored customer history after some extracts, each known on a day."""
+    replace_history(empty_dimension(spark, "dim_customer"), layout)
+    for customers, on in loads:
+        refresh_history(spark, layout, customers, on)
+    return read_dimension(spark, layout, "dim_customer")
+
+
 def scd2_customer_close_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dim_customer(samples(spark, sf_dir))
+    t = samples(spark, sf_dir)
+    return customer_loads(spark, scratch(spark, "customers"), (t.customers(), t.sales_range[0]), (t.customers(moved=True), MOVING_DAY))
+
+
+def scd2_late_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same loads, and after them a late extract of a day between, with other cities for one in five customers."""
+    t = samples(spark, sf_dir)
+    number = F.substring("customer_id", 5, 20).cast("long")
+    late = t.customers().withColumn("city", F.when(number % 5 == 0, F.concat(F.lit("LATE_"), "city")).otherwise(F.col("city")))
+    loads = ((t.customers(), t.sales_range[0]), (t.customers(moved=True), MOVING_DAY), (late, LATE_EXTRACT_DAY))
+    return customer_loads(spark, scratch(spark, "customers"), *loads)
 
 
 def campaign_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -583,6 +606,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scd1_product,
         scd1_campaign,
         scd2_customer_close_open,
+        scd2_late_replay,
         campaign_attribution,
         fact_sales,
         fact_upsert_range,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, timedelta
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,12 @@ from pyspark.sql.types import StructType
 from saleslake import schemas, storage
 from saleslake.functions.dates import day
 from saleslake.layout import Layout
-from saleslake.operators.upsert import require_unique
+from saleslake.operators.dimensions import customer_changes
+from saleslake.operators.joins import lookup_join
+from saleslake.operators.upsert import DuplicateKeys, require_unique
 from saleslake.session import setting, together
-from saleslake.sources.tables import committed_snapshots
+from saleslake.sinks.parts import State
+from saleslake.sources.tables import committed_snapshots, customer_history, ends_since
 
 # How long partitions are kept.
 STAGING_RETENTION_DAYS = 30
@@ -23,7 +27,6 @@ WINDOW_RETENTION_DAYS = 90
 # Sort keys within a table's files, so that row-group statistics let filters on them skip data.
 DIMENSION_CLUSTERING = {
     "dim_date": (),
-    "dim_customer": ("customer_id",),
     "dim_product": ("category", "product_id"),
     "dim_campaign": ("channel",),
 }
@@ -48,7 +51,7 @@ def create_tables(spark: SparkSession, layout: Layout) -> None:
     steps += [
         lambda name=name: write_dimension(schemas.empty(spark, schemas.DIMENSIONS[name]), layout, name)
         for name in schemas.DIMENSIONS
-        if not committed_snapshots(spark, layout.dimension(name))
+        if not (customer_history(spark, layout).commits() if name == "dim_customer" else committed_snapshots(spark, layout.dimension(name)))
     ]
     if steps:
         together(spark, steps)
@@ -96,9 +99,12 @@ def write_dimension(rows: DataFrame, layout: Layout, name: str) -> None:
     Surrogate keys are hashes, so their uniqueness is checked on what was written; the snapshot is published only then, and
     after a failure readers keep the one before.
 
-    Range partitioning on the clustering columns gives files with disjoint key ranges.
+    Range partitioning on the clustering columns gives files with disjoint key ranges. Customers are stored as a history, which
+    this replaces whole; `refresh_history` changes just what a load changes.
     """
     spark = rows.sparkSession
+    if name == "dim_customer":
+        return replace_history(rows, layout)
     path = layout.dimension(name)
     snapshots = committed_snapshots(spark, path)
     rows = rows.select(*schemas.DIMENSIONS[name].fieldNames())
@@ -115,6 +121,53 @@ def write_dimension(rows: DataFrame, layout: Layout, name: str) -> None:
         storage.delete(spark, f"{path}/snapshot={old}")
 
 
+def replace_history(rows: DataFrame, layout: Layout) -> None:
+    """Make `rows` the whole customer history, if their keys are unique."""
+    spark = rows.sparkSession
+    table = customer_history(spark, layout)
+    before = table.state()
+    written = table.write(rows)
+    after = State(parts=written)
+    require_unique(table.read(state=after).select("customer_key"), ["customer_key"], "dim_customer")
+    table.publish(before, {**{name: [] for name in before.parts}, **written})
+
+
+def refresh_history(spark: SparkSession, layout: Layout, customers: DataFrame, as_of: date, first_start: date | None = None) -> None:
+    """Apply the customers known on `as_of` to the stored history, as `refresh_customers` does.
+
+    Read are the open versions and those closed since the month of `as_of`, which a daily load has hardly any of. Versions that
+    close are appended to their month; a month is rewritten only if a late replay splits one of its versions. All parts change
+    together, and only if the new keys are unique among themselves and all stored ones.
+    """
+    table = customer_history(spark, layout)
+    state = table.state()
+    folder = storage.work_dir(spark, f"customer-changes-{uuid4().hex}")
+    try:
+        found = customer_changes(table.read(ends_since(as_of), state), customers, as_of, first_start=first_start)
+        found.write.parquet(folder)
+        changes = spark.read.schema(found.schema).parquet(folder)
+        removed = changes.where("old IS NOT NULL").select("old.*")
+        added = changes.select(F.explode("versions").alias("v")).select("v.*")
+        if changes.isEmpty():
+            return
+        gone = removed.select("customer_key")
+        fresh = lookup_join(added.select("customer_key", "customer_id"), gone, "customer_key", "left_anti", ["customer_id"])
+        require_unique(added.select("customer_key"), ["customer_key"], "dim_customer")
+        stored_keys = table.read(state=state).select("customer_key", "customer_id")
+        if not lookup_join(stored_keys, fresh.select("customer_key"), "customer_key", "left_semi", ["customer_id"]).isEmpty():
+            raise DuplicateKeys("dim_customer has several rows for one customer_key")
+        split = {row[0] for row in removed.select(table.part).distinct().collect()}  # names of months
+        in_split = table.part.isin(sorted(split)) if split else F.lit(False)
+        staying = lookup_join(table.read(split, state), gone, "customer_key", "left_anti", ["customer_id"])
+        rewritten = table.write(staying.unionByName(added.where(in_split))) if split else {}
+        appended = table.write(added.where(~in_split))
+        parts = {name: rewritten.get(name, []) for name in split}
+        parts |= {name: [*state.parts.get(name, []), *folders] for name, folders in appended.items()}
+        table.publish(state, parts)
+    finally:
+        storage.delete(spark, folder)
+
+
 def append_calendar(missing: DataFrame, existing: DataFrame, layout: Layout) -> None:
     """Add the days that are missing; nothing is written when there are none."""
     if not missing.isEmpty():

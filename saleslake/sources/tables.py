@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from saleslake import schemas, storage
 from saleslake.functions.dates import day
 from saleslake.layout import Layout
+from saleslake.sinks.parts import PartTable
 
 
 class MissingRange(ValueError):
@@ -74,8 +75,30 @@ def committed_snapshots(spark: SparkSession, path: str) -> list[int]:
     return sorted(n for n in numbers if storage.exists(spark, f"{path}/snapshot={n}/_SUCCESS"))
 
 
+# The part of the customer history that open versions are in; closed ones are in the month in which they end.
+OPEN_VERSIONS = "open"
+
+
+def customer_history(spark: SparkSession, layout: Layout) -> PartTable:
+    """Customer versions by the month that they end in, open ones apart."""
+    part = F.coalesce(F.date_format("effective_end_date", "yyyy-MM"), F.lit(OPEN_VERSIONS))
+    return PartTable(spark, layout.dimension("dim_customer"), schemas.DIM_CUSTOMER, part, ["customer_id"])
+
+
+def ends_since(since: date) -> Callable[[str], bool]:
+    """Whether a part of the customer history can have versions that are valid on `since` or later."""
+    return lambda name: name == OPEN_VERSIONS or name >= f"{since:%Y-%m}"
+
+
+def read_versions(spark: SparkSession, layout: Layout, since: date) -> DataFrame:
+    """Customer versions, at least all that are valid on `since` or later; months before it are not read."""
+    return customer_history(spark, layout).read(ends_since(since))
+
+
 def read_dimension(spark: SparkSession, layout: Layout, name: str) -> DataFrame:
     """The newest complete snapshot; an empty frame when there is none yet."""
+    if name == "dim_customer":
+        return customer_history(spark, layout).read()
     path = layout.dimension(name)
     snapshots = committed_snapshots(spark, path)
     schema = schemas.DIMENSIONS[name]

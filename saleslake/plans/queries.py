@@ -385,6 +385,22 @@ def check_reconcile_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.reconcile(t.transaction_items(), t.transactions(), kept, *t.sales_range)
 
 
+def fact_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the fact and one in which lines were lost, added, repeated, moved to another day or changed."""
+    fact = full_fact(spark, sf_dir)
+    number = F.substring("transaction_id", 4, 20).cast("long")
+    kept = fact.where(number % 101 != 0)
+    copies = fact.where(number % 103 == 0).withColumn("transaction_item_id", F.concat(F.lit("COPY-"), "transaction_item_id"))
+    again = kept.where(number % 109 == 0)
+    altered = kept.withColumns(
+        {
+            "quantity": F.when(number % 97 == 0, F.col("quantity") + 1).otherwise(F.col("quantity")),
+            "sale_date": F.when(number % 107 == 0, F.date_add("sale_date", 1)).otherwise(F.col("sale_date")),
+        }
+    )
+    return checks.differences(fact, altered.unionByName(copies).unionByName(again), "transaction_item_id", "sale_date")
+
+
 def dropped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = samples(spark, sf_dir)
     resolved = resolve_lines(
@@ -620,6 +636,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         check_reconcile,
         check_reconcile_raw,
         check_reconcile_partial,
+        fact_differences,
         dropped_lines,
         header_total_mismatch,
         referential_gaps,

@@ -1,0 +1,85 @@
+"""Comparing two tables by checksums finds every row that differs, and joins no more than it has to."""
+
+import random
+
+from conftest import d, rows_of
+from pyspark.sql import functions as F
+
+from saleslake.operators.checks import differences, reconcile
+
+SHAPE = "id string, day date, n long, text string"
+DAYS = [d("2024-01-01"), d("2024-01-02"), d("2024-01-03"), None]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SHAPE)
+
+
+def plain(expected, actual):
+    names = SHAPE.replace(",", "").split()[::2]
+    sides = [{}, {}]
+    for side, rows in zip(sides, (expected, actual), strict=True):
+        for row in rows:
+            side.setdefault(row[0], []).append(row)
+    out = []
+    for key in sides[0].keys() | sides[1].keys():
+        e, a = sides[0].get(key, []), sides[1].get(key, [])
+        if not a:
+            out.append((key, "missing", None))
+        elif not e:
+            out.append((key, "extra", None))
+        elif len(a) > len(e):
+            out.append((key, "repeated", None))
+        elif a != e:
+            out.append((key, "changed", ",".join(n for n, x, y in zip(names, e[0], a[0], strict=True) if x != y)))
+    return sorted(out, key=repr)
+
+
+def test_against_comparison_of_all_rows(spark):
+    rng = random.Random(3)
+    expected = [(f"k{i}", rng.choice(DAYS), rng.choice([None, *range(9)]), rng.choice([None, "a", "b"])) for i in range(3000)]
+    actual = []
+    for row in expected:
+        roll = rng.random()
+        if roll < 0.02:
+            continue
+        if roll < 0.04:
+            row = (row[0], rng.choice(DAYS), row[2], row[3])
+        elif roll < 0.06:
+            row = (*row[:2], 99, "c" if roll < 0.05 else row[3])
+        elif roll < 0.08:
+            actual.append(row)
+        actual.append(row)
+    actual += [(f"new{i}", DAYS[0], 1, None) for i in range(20)]
+    rng.shuffle(actual)
+    for groups in (1, 256, 100_000):
+        assert rows_of(differences(frame(spark, expected), frame(spark, actual), "id", "day", groups=groups)) == plain(expected, actual)
+    assert differences(frame(spark, expected), frame(spark, expected[::-1]), "id", "day").collect() == []
+
+
+def test_a_changed_quantity_is_found_which_counts_miss(spark):
+    headers = spark.createDataFrame([("T1", d("2024-01-01"))], "transaction_id string, transaction_date date")
+    shape = "transaction_item_id string, transaction_id string, sale_date date, quantity long"
+    fact = spark.createDataFrame([(f"I{i}", "T1", d("2024-01-01"), i) for i in range(50)], shape)
+    wrong = fact.withColumn("quantity", F.when(F.col("transaction_item_id") == "I7", 70).otherwise(F.col("quantity")))
+    assert reconcile(fact, headers, wrong, d("2024-01-01"), d("2024-01-01")).first()["passed"]
+    assert rows_of(differences(fact, wrong, "transaction_item_id", "sale_date")) == [("I7", "changed", "quantity")]
+
+
+def test_only_some_columns_and_empty_tables(spark):
+    rows = [("a", DAYS[0], 1, "x"), ("b", DAYS[1], 2, "y")]
+    other = [("a", DAYS[0], 1, "changed"), ("b", DAYS[1], 2, "y")]
+    assert differences(frame(spark, rows), frame(spark, other), "id", "day", ["id", "day", "n"]).collect() == []
+    assert rows_of(differences(frame(spark, rows), frame(spark, []), "id", "day")) == [("a", "missing", None), ("b", "missing", None)]
+    assert rows_of(differences(frame(spark, []), frame(spark, rows), "id", "day")) == [("a", "extra", None), ("b", "extra", None)]
+    assert differences(frame(spark, []), frame(spark, []), "id", "day").collect() == []
+
+
+def test_equal_groups_are_not_joined(spark):
+    """With one changed row in 100,000, rows of one group of 256 reach the join of rows."""
+    rows = spark.range(100_000).select(F.col("id").cast("string").alias("id"), F.lit(DAYS[0]).alias("day"), F.col("id").alias("n"))
+    changed = rows.withColumn("n", F.when(F.col("id") == "5", 0).otherwise(F.col("n")))
+    found = differences(rows, changed, "id", "day")
+    assert rows_of(found) == [("5", "changed", "n")]
+    operators = found._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in operators and "LeftSemi" in operators

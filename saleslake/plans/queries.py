@@ -398,7 +398,7 @@ def fact_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
             "sale_date": F.when(number % 107 == 0, F.date_add("sale_date", 1)).otherwise(F.col("sale_date")),
         }
     )
-    return checks.differences(fact, altered.unionByName(copies).unionByName(again), "transaction_item_id", "sale_date")
+    return checks.differences(fact, altered.unionByName(copies).unionByName(again), "transaction_item_id")
 
 
 def dropped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,17 @@ def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == asked
 
 
+def _values_of(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The value of each asked key, all of which are in `keys`. Asked in order and once each, they are found side by side."""
+    order = np.argsort(asked)
+    ordered = asked[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    told = values[np.searchsorted(keys, ordered[new])]
+    found = np.empty(len(asked), values.dtype)
+    found[order] = told[np.cumsum(new) - 1]
+    return found
+
+
 def short_levels(keys: np.ndarray, counts: np.ndarray) -> dict[int, Level]:
     found = {SHORT: Level(keys, counts)}
     for length in range(SHORT - 1, -1, -1):
@@ -381,12 +392,12 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
             position, n = grams(raw[part], order)
             ends = np.append(0, np.cumsum(n)[:-1])
             keys, logs = values["gram"]
-            columns[3].append(np.add.reduceat(logs[np.searchsorted(keys, position)].astype(np.float64), ends))
+            columns[3].append(np.add.reduceat(_values_of(keys, logs, position).astype(np.float64), ends))
             of_words = [_word_keys(text) for text in raw[part]]
             n = np.array([len(x) for x in of_words])
             ends = np.append(0, np.cumsum(n)[:-1])
             keys, counts = values["word"]
-            seen = counts[np.searchsorted(keys, np.concatenate(of_words))]
+            seen = _values_of(keys, counts, np.concatenate(of_words))
             columns[0].append(n)
             columns[1].append(np.add.reduceat((seen > 0).astype(np.int64), ends))
             columns[2].append(np.add.reduceat(np.log10((seen + 0.5) / (tokens + 0.5 * (vocabulary + 1))), ends))

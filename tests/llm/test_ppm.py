@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from llm_cases import HERE, SF, empty_documents, odd_documents
 from pyspark.sql import functions as F
@@ -96,6 +97,24 @@ def test_odd_documents(spark):
     assert ppm.scored(empty_documents(spark)).collect() == []
 
 
+def test_the_shipped_order_with_a_long_text(spark):
+    """Six bytes of context, and texts that fill several runs of positions."""
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(35_000))
+    assert len(long) > 140_000
+    rows = [(1, long), (2, long[:5000] + " other"), (3, None), (None, "word " * 300), (None, "word " * 300), (7, "A.")]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), ppm.ORDER)
+
+
+def test_values_of_asked_keys():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 60, 500, np.uint64))
+    values = rng.random(len(keys))
+    for n in (1, 7, 5000):
+        at = rng.integers(0, len(keys), n)
+        assert (ppm._values_of(keys, values, keys[at]) == values[at]).all()
+
+
 def test_probabilities_sum_to_one():
     rng = random.Random(1)
     model = Plain(["".join(rng.choice("abc ") for _ in range(300)) for _ in range(5)], 3)

@@ -98,15 +98,17 @@ def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa
             yield batch.slice(start, rows)
 
 
-def ranked(rows: DataFrame, key: str, n: str, order: list[str], late: Column | None = None) -> DataFrame:
+def ranked(rows: DataFrame, key: str, n: str, order: list[str], late: Column | None = None, together: Column | None = None) -> DataFrame:
     """`rows` with `rank`: the place of a row among those of its key, gapless from 0, in some fixed order.
 
+    Rows of a key with equal `together` (few of them) are ranked side by side, if `order` puts them so.
+
     `n` names a column with the number of rows of the key. These are ranked in about the square root of that many
     groups, whose sizes are then added up, so that a key with most of the rows is ranked by many tasks. Rows for which
     `late` is true come after all others of their key.
     """
     groups = F.greatest(F.lit(1), F.round(F.sqrt(n))).cast("int")
-    part = F.pmod(F.xxhash64(*order), groups)
+    part = F.pmod(F.xxhash64(*order) if together is None else F.xxhash64(together), groups)
     if late is not None:
         part = part + F.when(late, groups).otherwise(0)
     parted = stored(rows.withColumn("_part", part.cast("int")), "parted")

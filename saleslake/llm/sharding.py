@@ -6,19 +6,29 @@ rows (group, shard, documents), of which a group has at most as many as there ar
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saleslake.llm.common import free as free_tables
 from saleslake.llm.common import ranked, stored
 
 SHARDS = 24
+# Rounds at most. Each decides all moves that the shards have places for, so most groups are whole after a few; a round that brings
+# nothing more ends it earlier.
 ROUNDS = 30
-# A batch that would take more than this part of a shard's free places is moved in part, a smaller one whole or not.
+# A batch that takes more than this part of what a shard takes in a round is moved in part, a smaller one whole or not. A group of more
+# than this part of a shard goes on to another when a shard has no places.
 _LARGE = 0.02
 # Small batches are drawn for places, so only this part of the quota is given away at a time.
-_DRAWN = 0.8
-# A shard with less than this part of its places free takes no more.
-_FULL = 0.01
+_DRAWN = 0.9
+# Of a shard that is nearly full of one group, no more of that group is taken.
+_FILLED = 0.98
+# How little a crowded shard can count for a small group, and rounds without fewer documents that want to move before it ends.
+_LEAST_WELCOME = 0.2
+_PATIENCE = 3
+# Groups up to this size go elsewhere together when a shard holds too many.
+_SMALL_GROUP = 64
 
 
 def _by_shard(values: list, shard: Column) -> Column:
@@ -36,51 +46,83 @@ def _totals(batches: DataFrame, shard: str, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
+def grants(wanted: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """What part of `wanted` (documents from shard to shard) is moved, so that no shard gets more than it has free and sends out.
+
+    Shards so exchange documents even when all of them are full. What comes to a shard is cut until that holds for all.
+    """
+    granted = wanted.astype(float)
+    for turn in range(2000):
+        room = np.maximum(granted.sum(1) + free, 0)
+        coming = granted.sum(0)
+        over = coming > room + 0.5
+        if not over.any():
+            break
+        # What shrinks too slowly, as it does towards nothing, is nothing after a while.
+        part = np.where(over, 0.0, 1.0) if turn >= 1000 else np.where(coming > room, room / np.maximum(coming, 1e-9), 1.0)
+        granted = granted * part
+    return granted
+
+
 def propagate(batches: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """`batches` (grp, shard, docs) after moves towards the shard with most of the group that has free places.
+    """`batches` (grp, shard, docs) after moves towards the shard that has most of the group.
 
-    Free places count against linked documents only, since documents without links go wherever there is room. It ends when
-    no document wants to move; a group larger than a shard fills one after the other.
+    A shard takes as many documents as it has free places and sends out in the same round. Places count against linked documents
+    only, since documents without links go wherever there is room. It ends when no document wants to move, when some rounds brought
+    nothing, or after `rounds`; a group larger than a shard fills one after the other.
     """
     shards = len(capacity)
+    welcome = np.ones(shards)  # what part of the documents that wanted to come could, in the round before
+    fewest, since = None, 0
     for turn in range(rounds):
-        free = [most - n for most, n in zip(capacity, _totals(batches, "shard", shards), strict=True)]
-        free = [n if n > _FULL * most else 0 for most, n in zip(capacity, free, strict=True)]
-        if not any(free):
-            break
-        open_ = batches.where(_by_shard([x > 0 for x in free], F.col("shard")))
-        likes = F.struct("docs", F.xxhash64("grp", "shard").alias("tie"), "shard")
-        targets = open_.groupBy("grp").agg(F.max(likes).alias("to"))
+        free = np.array(capacity) - _totals(batches, "shard", shards)
+        filled = F.col("docs") >= _FILLED * _by_shard(capacity, F.col("shard"))
+        # Where many want to come, other shards with nearly as much of the group are the better goal; of equal ones another is drawn
+        # each time. Small groups do not give up most of what they have for that, those that take much of a shard may have to.
+        draw = 0.75 + 0.5 * _chance(F.col("grp"), F.col("shard"), F.lit(turn))
+        score = lambda least: F.col("docs") * draw * _by_shard([float(max(least, x)) for x in welcome], F.col("shard"))  # noqa: B023, E731
+        goal = lambda least: F.max(F.when(~filled, F.struct(score(least).alias("score"), "docs", "shard")))  # noqa: B023, E731
+        much = F.sum("docs") > _LARGE * max(capacity)
+        targets = batches.groupBy("grp").agg(F.when(much, goal(0.0)).otherwise(goal(_LEAST_WELCOME)).alias("goal"), much.alias("much"))
+        # Of a group that fills shards in turn, what already is together in one stays there.
+        settled = F.col("much") & (F.col("goal.docs") < F.col("docs"))
+        wants = (F.col("goal.shard") != F.col("shard")) & ~filled & ~settled
         wishes = stored(
-            batches.join(targets, "grp", "left").select(
-                "grp",
-                "shard",
-                "docs",
-                F.when((F.col("to.shard") != F.col("shard")) & (F.col("to.docs") >= F.col("docs")), F.col("to.shard")).alias("to"),
-            ),
+            batches.join(targets, "grp", "left").select("grp", "shard", "docs", F.when(wants, F.col("goal.shard")).alias("to")),
             "wishes",
         )
-        wanted = _totals(wishes.where("to is not null"), "to", shards)
-        if not any(wanted):
+        # At most a number for each two shards.
+        wanted = np.zeros((shards, shards), np.int64)
+        for row in wishes.where("to is not null").groupBy("shard", "to").agg(F.sum("docs").alias("n")).collect():
+            wanted[row["shard"], row["to"]] = row["n"]
+        if fewest is None or wanted.sum() < fewest:
+            fewest, since = wanted.sum(), turn
+        if not wanted.any() or turn - since > _PATIENCE:
+            free_tables(wishes)
             break
-        share = [min(1.0, n / max(1, want)) for n, want in zip(free, wanted, strict=True)]
-        quota = _by_shard(share, F.col("to"))
+        granted = grants(wanted, free)
+        coming, taken = wanted.sum(0), granted.sum(0)
+        welcome = np.where(coming > 0, taken / np.maximum(coming, 1), np.where(free > 0, 1.0, welcome))
+        share = granted / np.maximum(wanted, 1)
+        quota = F.element_at(F.array(*(F.lit(float(x)) for x in share.ravel())), F.col("shard") * shards + F.col("to") + 1)
+        large = F.col("docs") > _LARGE * _by_shard([float(x) for x in taken], F.col("to"))
         moved = (
             F.when(F.col("to").isNull(), 0)
-            .when(quota >= 1, F.col("docs"))
-            .when(F.col("docs") > _LARGE * _by_shard(free, F.col("to")), F.floor(F.col("docs") * quota + _chance(F.col("grp"), F.col("shard"), F.lit(turn))))
+            .when(large, F.floor(F.col("docs") * quota + _chance(F.col("grp"), F.col("shard"), F.lit(turn))))
             .otherwise(F.when(_chance(F.col("grp"), F.lit(turn)) < _DRAWN * quota, F.col("docs")).otherwise(0))
         )
-        decided = wishes.withColumn("moved", moved.cast("long"))
+        decided = wishes.withColumn("moved", F.least(moved.cast("long"), F.col("docs")))
         ends = F.array(
             F.struct(F.col("shard"), (F.col("docs") - F.col("moved")).alias("docs")),
             F.struct(F.coalesce("to", "shard").alias("shard"), F.col("moved").alias("docs")),
         )
         after = decided.select("grp", F.explode(ends).alias("end")).where("end.docs > 0")
-        batches = stored(
+        moved_to = stored(
             after.groupBy("grp", F.col("end.shard").alias("shard")).agg(F.sum("end.docs").alias("docs")),
             "batches",
         )
+        free_tables(wishes, batches)
+        batches = moved_to
     return batches
 
 
@@ -122,20 +164,23 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     dealt = in_group.join(stored(ends, "ends").hint("merge"), "grp").select(
         *rows.columns,
         (F.col("n") > max(capacity)).alias("large"),
+        (F.col("n") <= _SMALL_GROUP).alias("small"),
         F.filter("ends", lambda x: F.col("rank") < x["end"])[0]["shard"].alias("shard"),
     )
 
     # What a shard has too many of, of large groups if it can be, joins the documents without links, which fill the shards up.
+    # Small groups stay or go together, and those that go are side by side again where they go.
     held = _totals(batches, "shard", shards)
+    together = F.when(F.col("small"), F.col("grp")).otherwise(F.xxhash64("row"))
     in_shard = stored(
-        ranked(dealt.withColumn("n", _by_shard(held, F.col("shard"))), "shard", "n", ["row"], late=F.col("large"))
+        ranked(dealt.withColumn("n", _by_shard(held, F.col("shard"))), "shard", "n", ["grp", "row"], F.col("large"), together)
         .withColumn("stays", F.col("rank") < _by_shard(capacity, F.col("shard"))),
         "in-shard",
     )
     kept = [min(n, most) for n, most in zip(held, capacity, strict=True)]
     gaps = [most - n for n, most in zip(kept, capacity, strict=True)]
-    pool = counted.where("n = 1").select(*rows.columns).unionByName(in_shard.where(~F.col("stays")).select(*rows.columns))
-    filled = ranked(pool.withColumns({"all": F.lit(0), "n": F.lit(sum(gaps))}), "all", "n", ["row"])
+    pool = counted.where("n = 1").select(*rows.columns, F.lit(True).alias("small")).unionByName(in_shard.where(~F.col("stays")).select(*rows.columns, "small"))
+    filled = ranked(pool.withColumns({"all": F.lit(0), "n": F.lit(sum(gaps))}), "all", "n", ["grp", "row"], together=together)
     shard, slot = F.lit(None), F.lit(None)
     before = 0
     for s, gap in enumerate(gaps):

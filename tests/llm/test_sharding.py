@@ -1,8 +1,10 @@
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from llm_cases import HERE, SF, empty_documents, odd_documents
+from pyspark.sql import functions as F
 
 from saleslake.llm import sharding
 
@@ -50,6 +52,33 @@ def test_too_many_links(spark):
     check(docs, 5)
 
 
+@pytest.mark.parametrize(("copies", "rows", "whole"), [(2, 200_000, 0.95), (10, 20_000, 0.9)])
+def test_every_text_has_copies(spark, copies, rows, whole):
+    """No document is without links, so shards can only exchange: nearly all groups end in one shard."""
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.floor(F.col("id") / copies)).alias("text"))
+    found = sharding.assign(docs).select("shard", F.floor(F.col("doc_id") / copies).alias("text"))
+    sizes = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert len(sizes) == sharding.SHARDS and max(sizes) - min(sizes) <= 1
+    spread = found.groupBy("text").agg(F.count_distinct("shard").alias("shards"))
+    share = spread.agg(F.avg((F.col("shards") == 1).cast("int"))).first()[0]
+    assert share > whole, share
+
+
+def test_grants():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        wanted = rng.integers(0, 1000, (6, 6)) * (rng.random((6, 6)) < 0.7)
+        np.fill_diagonal(wanted, 0)
+        free = rng.integers(-50, 50, 6)
+        granted = sharding.grants(wanted, free)
+        assert (granted <= wanted + 1e-9).all() and (granted >= 0).all()
+        assert (granted.sum(0) <= np.maximum(granted.sum(1) + free, 0) + 0.5).all()
+    # Full shards exchange all that is asked for in both directions, or round in a circle.
+    assert (sharding.grants(np.array([[0, 9], [9, 0]]), np.zeros(2)) == [[0, 9], [9, 0]]).all()
+    ring = np.roll(np.eye(4, dtype=int) * 7, 1, axis=1)
+    assert (sharding.grants(ring, np.zeros(4)) == ring).all()
+
+
 @pytest.mark.skipif(not HERE, reason="sample tables are not there")
 def test_sample(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslake import schemas
+from saleslake import schemas, storage
 from saleslake.functions.dates import day, each_day, on_days, overlaps
 from saleslake.functions.keys import UNKNOWN_KEY, date_key
 from saleslake.functions.money import line_amount
@@ -179,19 +180,44 @@ def days_of(lines: DataFrame, headers: DataFrame, on: date) -> list[date]:
     return sorted({on, *(row[0] for row in found)})
 
 
+def changed_days(stored: DataFrame, sales: DataFrame) -> list[date]:
+    """The days on which the two have other rows, told by the number of rows and the sum of their hashes per day."""
+    columns = schemas.FACT_SALES.fieldNames()
+
+    def by_day(rows: DataFrame, name: str) -> DataFrame:
+        total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+        return rows.groupBy("sale_date").agg(F.struct(F.count(F.lit(1)), total).alias(name))
+
+    both = by_day(stored, "before").join(by_day(sales, "after"), "sale_date", "full_outer")
+    return sorted(row["sale_date"] for row in both.where(~F.col("before").eqNullSafe(F.col("after"))).select("sale_date").collect())  # days
+
+
 def load_fact(
     spark: SparkSession, layout: Layout, sales: DataFrame, start: date, end: date, days: Sequence[date] | None = None
 ) -> None:
     """Merge `sales` into the stored fact partitions `start`..`end`, or certain `days`; repeating it changes nothing.
 
     A line already stored on these days is rewritten whole, also if its day changed among them.
-    Days without stored partitions, the normal case of a daily run, need no merge join at all.
+    Days without stored partitions, the normal case of a daily run, need no merge join at all. Of days with stored
+    partitions only those are merged and rewritten on which `sales` differ from what is stored: a line that moves makes both its
+    days differ, and a day whose rows are the same keeps its files.
     """
     days = days or each_day(start, end)
     existing = read_fact_days(spark, layout, days)
-    if not existing.isEmpty():
-        sales = upsert(existing, sales, "transaction_item_id")
-    write_fact(sales, layout, days)
+    if existing.isEmpty():
+        return write_fact(sales, layout, days)
+    folder = storage.work_dir(spark, f"sales-to-merge-{uuid4().hex}")
+    try:
+        # Read to compare and again to merge, so it is built once.
+        sales.write.parquet(folder)
+        sales = spark.read.schema(schemas.FACT_SALES).parquet(folder)
+        changed = changed_days(existing, sales)
+        if changed:
+            # All sales take part: a line that is right on a day that stays may have an old row on one that changes.
+            merged = upsert(read_fact_days(spark, layout, changed), sales, "transaction_item_id")
+            write_fact(merged.where(on_days(F.col("sale_date"), changed)), layout, changed)
+    finally:
+        storage.delete(spark, folder)
 
 
 def stray_lines(spark: SparkSession, layout: Layout, start: date, end: date, first: date, last: date) -> DataFrame:

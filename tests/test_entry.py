@@ -1,0 +1,48 @@
+"""The entry points list the sales queries whatever the optional part lacks."""
+
+import os
+import shutil
+import subprocess
+import sys
+
+import pytest
+from conftest import ROOT
+
+from saleslake.plans.queries import QUERIES
+
+LISTING = "import __spark_entry__ as e; print(','.join(sorted(e.queries()))); assert set(e.oracle_sql()) <= set(e.queries())"
+
+
+def listed(folder, before=""):
+    done = subprocess.run([sys.executable, "-c", before + LISTING], cwd=folder, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    return done.stdout.strip().split(",")
+
+
+@pytest.fixture
+def copy(tmp_path):
+    """The package and its entry points without the optional part."""
+    shutil.copytree(f"{ROOT}/saleslake", tmp_path / "saleslake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    return tmp_path
+
+
+def test_without_the_optional_part(copy):
+    assert listed(copy) == sorted(QUERIES)
+
+
+def test_with_an_empty_folder_in_its_place(copy):
+    os.makedirs(copy / "saleslake" / "llm" / "__pycache__")
+    (copy / "corpus_pipeline.py").write_text("from saleslake.llm import queries\n")
+    assert listed(copy) == sorted(QUERIES)
+
+
+def test_without_a_library_it_needs(copy):
+    (copy / "corpus_pipeline.py").write_text("import a_library_that_is_not_here\n")
+    assert listed(copy) == sorted(QUERIES)
+
+
+def test_here():
+    blocked = "import sys; sys.modules['ahocorasick'] = None; "
+    assert listed(ROOT, blocked) == sorted(QUERIES)
+    assert set(listed(ROOT)) >= set(QUERIES)

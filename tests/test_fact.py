@@ -1,3 +1,5 @@
+import glob
+import os
 from datetime import timedelta
 
 import pytest
@@ -9,7 +11,7 @@ from saleslake.functions.dates import each_day
 from saleslake.operators import checks
 from saleslake.operators.attribution import attribute, campaign_by_day
 from saleslake.operators.dedup import latest_per_key
-from saleslake.plans.fact import build_sales, dropped_of, load_fact, resolve_lines, stray_lines
+from saleslake.plans.fact import build_sales, changed_days, dropped_of, load_fact, resolve_lines, stray_lines
 from saleslake.sinks.tables import create_tables, write_fact
 from saleslake.sources.tables import read_fact
 
@@ -218,6 +220,30 @@ def test_lines_not_delivered_again_stay(spark, dims, layout):
     assert (quantities["t2-0"], quantities["t2-1"], quantities["t2-9"], quantities["t4-1"]) == (99, 2, 5, 2)
 
 
+def test_days_that_do_not_change_keep_their_files(spark, dims, layout):
+    create_tables(spark, layout)
+    first, last = d("2024-03-08"), d("2024-03-11")
+    items, txns = lines(spark, *ITEMS), headers(spark, *TXNS)
+    load_fact(spark, layout, build(spark, dims, items, txns, first, last), first, last)
+
+    def files():
+        return {path: os.stat(path).st_mtime_ns for path in glob.glob(f"{layout.fact_sales}/sale_date=*/*.parquet")}
+
+    before = files()
+    load_fact(spark, layout, build(spark, dims, items, txns, first, last), first, last)
+    assert files() == before
+    stored = read_fact(spark, layout, first, last)
+    assert changed_days(stored, stored) == []
+    one = rows_of(stored, "transaction_item_id", "sale_date")[0]
+    altered = stored.withColumn("quantity", F.when(F.col("transaction_item_id") == one[0], F.col("quantity") + 1).otherwise(F.col("quantity")))
+    assert changed_days(stored, altered) == [one[1]]
+    frozen = spark.createDataFrame(altered.collect(), altered.schema)
+    load_fact(spark, layout, frozen, first, last)
+    after = files()
+    assert {p for p in before if after.get(p) != before[p]} == {p for p in before if f"sale_date={one[1]}" in p}
+    assert rows_of(read_fact(spark, layout, first, last)) == rows_of(frozen)
+
+
 def test_a_date_moved_within_the_range_leaves_nothing_behind(spark, dims, layout):
     first, last = d("2024-03-08"), d("2024-03-11")
     items = lines(spark, *ITEMS)

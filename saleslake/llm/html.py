@@ -8,10 +8,12 @@ to the article that it is in.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ _NOISE = frozenset(
     "navigation menu breadcrumb breadcrumbs sidebar sidenav complementary widget widgets footer contentinfo header masthead topbar cookie "
     "cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal dialog overlay paywall social share "
     "sharing related recommended recommendations comment comments commentlist disqus reply replies respond discussion login search "
-    "searchbox pagination pager copyright legal disclaimer toolbar skip hidden".split()
+    "searchbox pagination pager copyright legal disclaimer toolbar skip hidden feedback".split()
 )
 # ... what marks an article ...
 _ARTICLE = frozenset("article content main post entry story".split())
@@ -59,6 +61,10 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
+_DIGITS = re.compile(r"\d+")
+_64_BITS = (1 << 64) - 1
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_RAW_END = {tag: re.compile(f"</{tag}(?![a-z0-9-])[^>]*>?", re.I) for tag in RAW}
 _WORD = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -76,9 +82,9 @@ def _is_noise(tag: str, attributes: dict[str, str], inside_article: bool) -> boo
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", "")):
+    if _UNSEEN.search(attributes.get("style", "")):
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
     names = [_WORD.findall(_CAMEL.sub(" ", name).lower()) for x in ("class", "id", "role") for name in attributes.get(x, "").split()]
     if any(len(words) == 1 and words[0] in _ARTICLE for words in names):
@@ -94,20 +100,47 @@ def _is_noise_name(words: list[str], inside_article: bool) -> bool:
     return marked[0] or marked[-1] or not _ARTICLE & set(words)
 
 
+def path_key(outer: int, tag: str, classes: str) -> int:
+    """The path of a container as a number: that of the path around it and its own tag and classes, digits generalised."""
+    names = sorted({_DIGITS.sub("#", x) for x in classes.lower().split()})
+    found = xxhash.xxh64_intdigest(".".join([tag, *names]), outer & _64_BITS)
+    return found - (1 << 64) if found >> 63 else found
+
+
 class Page:
-    """The containers of a page with their paths and scores, and its blocks of text outside of noise."""
+    """The containers of a page with their paths and scores, and its blocks of text outside of noise.
+
+    Time and memory grow with the page's length, however deep its containers are: a path is a number, scores are added up to the
+    containers around once at the end, and what is open is counted by tag.
+    """
 
     def __init__(self, html: str):
         self.parent = [-1]
-        self.path = [""]
+        self.path = [0]
+        self.depth = [0]
+        self.tag = [""]
         self.score = [0.0]
         # (container, text, whether it is a heading, entry or prose)
         self.blocks: list[tuple[int, str, bool]] = []
-        self._stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        # (tag, container, noise, whether an article is open)
+        self._stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self._open: Counter[str] = Counter()
         self._runs: list[str] = []
         self._linked = 0
         self._kind = ""
         self._read(html)
+        for i in range(len(self.score) - 1, 0, -1):
+            self.score[self.parent[i]] += self.score[i]
+
+    def _push(self, tag: str, container: int, noise: bool) -> None:
+        self._stack.append((tag, container, noise, self._stack[-1][3] or tag in ("article", "main")))
+        self._open[tag] += 1
+
+    def _pop(self, depth: int) -> None:
+        """Close everything from this depth on."""
+        for tag, *_ in self._stack[depth:]:
+            self._open[tag] -= 1
+        del self._stack[depth:]
 
     def _read(self, html: str) -> None:
         at, links = 0, 0
@@ -127,12 +160,10 @@ class Page:
                     links = max(0, links - 1)
                 if tag in BLOCKS:
                     self._flush()
-                    self._close(tag)
-                elif any(x[0] == tag for x in self._stack):
-                    self._close(tag)
+                self._close(tag)
                 continue
             if tag in RAW:
-                end = re.compile(f"</{re.escape(tag)}(?![a-z0-9-])[^>]*>?", re.I).search(html, at)
+                end = _RAW_END[tag].search(html, at)
                 at = end.end() if end else len(html)
                 continue
             if tag == "a":
@@ -144,17 +175,17 @@ class Page:
                 self._kind = tag
             if tag in VOID:
                 continue
-            inside_article = any(x[0] in ("article", "main") for x in self._stack)
-            noise = self._stack[-1][2] or _is_noise(tag, attributes, inside_article)
+            _, outer, in_noise, inside_article = self._stack[-1]
+            noise = in_noise or _is_noise(tag, attributes, inside_article)
             if tag in CONTAINERS:
-                names = sorted({re.sub(r"\d+", "#", x) for x in attributes.get("class", "").lower().split()})
-                outer = self._stack[-1][1]
                 self.parent.append(outer)
-                self.path.append(f"{self.path[outer]}>{'.'.join([tag, *names])}")
+                self.path.append(path_key(self.path[outer], tag, attributes.get("class", "")))
+                self.depth.append(self.depth[outer] + 1)
+                self.tag.append(tag)
                 self.score.append(0.0)
-                self._stack.append((tag, len(self.path) - 1, noise))
+                self._push(tag, len(self.path) - 1, noise)
             elif tag in BLOCKS or noise:
-                self._stack.append((tag, self._stack[-1][1], noise))
+                self._push(tag, outer, noise)
         if at < len(html):
             self._text(html[at:], links)
         self._flush()
@@ -185,14 +216,14 @@ class Page:
             weight = 0.0
         elif self._kind not in ("p", "pre", "blockquote", "br") and len(text) < 40:
             weight = -weight / 2
-        while container >= 0:
-            self.score[container] += weight
-            container = self.parent[container]
+        self.score[container] += weight
 
     def _close(self, tag: str) -> None:
+        if not self._open[tag]:
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             if self._stack[depth][0] == tag:
-                del self._stack[depth:]
+                self._pop(depth)
                 return
 
     def _imply(self, tag: str) -> None:
@@ -202,28 +233,28 @@ class Page:
         for depth in range(len(self._stack) - 1, 0, -1):
             open_tag = self._stack[depth][0]
             if open_tag == "p" or (open_tag == "head" and tag not in ("head", "html")):
-                del self._stack[depth:]
+                self._pop(depth)
                 return
             if open_tag in CONTAINERS:
                 break
-        if tag in _ENDS:
+        if tag in _ENDS and any(self._open[x] for x in _ENDS if tag in _ENDS[x]):
             for depth in range(len(self._stack) - 1, 0, -1):
                 open_tag = self._stack[depth][0]
                 if open_tag in _SCOPES:
                     return
                 if tag in _ENDS.get(open_tag, ()):
-                    del self._stack[depth:]
+                    self._pop(depth)
                     return
 
-    def votes(self) -> dict[str, float]:
+    def votes(self) -> dict[int, float]:
         """Score of each path that holds prose; containers of one path add up, and the deeper of equals is ahead."""
-        found: dict[str, float] = {}
-        for path, score in zip(self.path[1:], self.score[1:], strict=True):
+        found: dict[int, float] = {}
+        for path, depth, score in zip(self.path[1:], self.depth[1:], self.score[1:], strict=True):
             if score > 0:
-                found[path] = found.get(path, 0.0) + score * (1 + 0.01 * path.count(">"))
+                found[path] = found.get(path, 0.0) + score * (1 + 0.01 * depth)
         return found
 
-    def text(self, consensus: str | None) -> str:
+    def text(self, consensus: int | None) -> str:
         """The blocks in the containers of the consensus path, or in the page's own best ones where it has no such.
 
         A page that holds less than half as much prose in the path as in its own best one has another template. Headings,
@@ -252,8 +283,7 @@ class Page:
             if not inside[container] and not belongs:
                 other[container] = True
         for i in range(1, len(inside)):
-            tag = self.path[i].rpartition(">")[2].partition(".")[0]
-            article[i] = i if tag in ("article", "main") else article[self.parent[i]]
+            article[i] = i if self.tag[i] in ("article", "main") else article[self.parent[i]]
         for i in range(len(inside) - 1, 0, -1):
             other[self.parent[i]] = other[self.parent[i]] or other[i]
         tops = [i for i in range(1, len(inside)) if inside[i] and not inside[self.parent[i]]]
@@ -272,21 +302,21 @@ def host(url: Column) -> Column:
 
 
 def consensus_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the highest sum of scores over the pages of each host."""
+    """(host, path): the path with the highest sum of scores over the pages of each host, of equal ones the greatest number."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 256):
-            summed: dict[tuple[str, str], float] = {}
+            summed: dict[tuple[str, int], float] = {}
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for path, score in Page(html).votes().items():
                     summed[name, path] = summed.get((name, path), 0.0) + score
             rows = [(name, path, score) for (name, path), score in summed.items()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())],
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())],
                 names=["host", "path", "score"],
             )
 
-    votes = pages.where("html is not null").select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, score double")
+    votes = pages.where("html is not null").select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path long, score double")
     # Rounded, so that the order of addition can't change the winner.
     summed = votes.groupBy("host", "path").agg(F.round(F.sum("score"), 3).alias("score"))
     return summed.groupBy("host").agg(F.max(F.struct("score", "path")).alias("best")).select("host", F.col("best.path").alias("path"))

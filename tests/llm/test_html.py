@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -35,6 +36,9 @@ PLAIN = "One bold & plain <b> line. Second, with a link in it. After."
         (f"<div class='content-with-sidebar'><div id=postBody>{ARTICLE}</div><div class='post-comments'><p>Nice one, reader says.</p></div></div>", PLAIN),
         (f"<article>{ARTICLE}<div class='page-sidebar-left'>Other news.</div><p class=advert>Buy now.</p></article>", PLAIN),
         (f"<article>{ARTICLE}<script>if (a < b) x('</p>')</script><!-- <p>no</p> --><div class=notice>Cookies!</div></article>", PLAIN),
+        (f"<article>{ARTICLE}</article><article class=comment><p>{'What a reader says. ' * 20}</p></article>", PLAIN),
+        (f"<article>{ARTICLE}<article class='reader-comment'><p>Nice.</p></article><div class=feedback><p>Good.</p></div></article>", PLAIN),
+        (f"<article class='post story'>{ARTICLE}<p style='visibility: hidden'>Unseen.</p><div style='DISPLAY:none'>No.</div></article>", PLAIN),
         (f"<article>{ARTICLE}<table><tr><td>c1<td>c2<tr><td>c3</table><ul><li>i1<li>i2</ul></article>", f"{PLAIN} c1 c2 c3 i1 i2"),
     ],
 )
@@ -79,7 +83,8 @@ def test_consensus(spark):
     rows += [(5, "https://H.example.com:80/5", f"<body><div class=b5>{short}</div><div class=teaser>{long}</div></body>")]
     rows += [(6, "https://h.example.com/6", f"<body><section>{long}</section></body>")]
     paths = dict(map(tuple, html.consensus_paths(page(rows, spark)).collect()))
-    assert paths == {"h.example.com": ">body"} or paths == {"h.example.com": ">body>div.b#"}
+    body = html.path_key(0, "body", "")
+    assert paths == {"h.example.com": body} or paths == {"h.example.com": html.path_key(body, "div", "b#")}
     found = {r["page_id"]: r["text"] for r in html.main_text(page(rows, spark)).collect()}
     assert found[6] == ("Some words of prose. " * 20).strip()
 
@@ -110,3 +115,23 @@ def test_sample(spark):
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         want[r["page_id"]] = " ".join(unescape(re.sub(r"<[^>]*>", " ", article)).split())
     assert {r["page_id"]: r["text"] for r in html.main_text(pages).collect()} == want
+
+
+def test_deep_pages():
+    """Unclosed containers cost no more than others, whether or not there is text in each."""
+    for part in ("<div>", "<div class=x1>a", "<ul><li>", "<b><div><p>text of some words here"):
+        page_of = lambda n: part * n + LONG  # noqa: B023, E731
+        began = time.process_time()
+        small = html.Page(page_of(5_000)).text(None)
+        half = time.process_time()
+        large = html.Page(page_of(40_000)).text(None)
+        took = time.process_time() - half
+        assert LONG_TEXT in small and LONG_TEXT in large
+        assert took < 20 * max(half - began, 0.02), part
+        assert took < 4
+
+
+def test_paths_are_numbers_that_tell_them_apart():
+    one = html.Page("<body><div class='b a1'><p>text</div><div class='a2 b'><p>text</div><div class=b><p>text</div>")
+    assert one.path[2] == one.path[3] != one.path[4]
+    assert all(-(1 << 63) <= x < 1 << 63 for x in one.path)

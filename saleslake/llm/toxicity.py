@@ -42,13 +42,13 @@ _STANDS_FOR = {
 }
 _MASKS = "*_"
 # Costs in natural logarithms.
-_SIGN, _MASKED, _DROPPED, _REPEATED = 1.5, 3.0, 4.0, 0.7
+_SIGN, _MASKED, _DROPPED, _REPEATED, _BORDER = 1.5, 3.0, 4.0, 0.7, 1.0
 
 _EDGE = ".,;:!?\"'()[]{}|%#&*-_~^`…«»“”‘’/\\<>="
 _PLAIN_EDGE = "".join(x for x in _EDGE if x not in _STANDS_FOR)
 _ENDS = _EDGE + "".join(x for x in _STANDS_FOR if not x.isalnum())
-_ODD = re.compile(r"[^\W\d_]*(?:[\d@$!|+€£(¡¢#*_.\-]|([^\W\d_])\1\1)")
-_THRICE = re.compile(r"(.)\1\1").search
+_ODD = re.compile(r"[^\W\d_]*?(?:[\d@$!|+€£(¡¢#*_.\-]|([^\W\d_])\1)")
+_TWICE = re.compile(r"(.)\1").search
 _STOPS = ".,;:?"
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}[^\s.\-_*]){2,}(?![^\s.,;:!?\"')\]])")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -100,40 +100,52 @@ class Restorer:
         two /= two.sum(1, keepdims=True)
         three = cube + 4 * two[None]
         self.cost = -np.log(three / three.sum(2, keepdims=True))
+        self.flat = self.cost.ravel().tolist()
         self.code = {letter: i for i, letter in enumerate(_LETTERS, 1)}
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def decode(self, signs: str) -> str:
-        """The likeliest word behind the signs."""
-        # Best cost and word for each pair of last letters.
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def decode(self, signs: str, borders: bool = False) -> str:
+        """The likeliest word behind the signs, or with `borders` the likeliest words, with a blank between."""
+        # Best cost and word for each pair of last letters (as one number).
+        flat, code = self.flat, self.code
+        paths: dict[int, tuple[float, str]] = {0: (0.0, "")}
         before = ""
         for sign in signs:
-            choices = [(sign, 0.0)] if sign in self.code else [(x, _SIGN) for x in _STANDS_FOR.get(sign, "")]
-            if sign in _MASKS:
-                choices = [(x, _MASKED) for x in _LETTERS[:26]]
-            drop = _REPEATED if sign == before and sign in self.code else None
-            if sign not in self.code:
+            if sign in code:
+                choices = [(sign, code[sign], 0.0)]
+                drop = _REPEATED if sign == before else None
+            else:
+                letters, price = (_LETTERS[:26], _MASKED) if sign in _MASKS else (_STANDS_FOR.get(sign, ""), _SIGN)
+                choices = [(x, code[x], price) for x in letters]
                 drop = _DROPPED if choices else 0.0
             before = sign
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, word) in paths.items():
-                if drop is not None and cost + drop < step.get((a, b), (np.inf, ""))[0]:
-                    step[a, b] = (cost + drop, word)
-                for letter, price in choices:
-                    c = self.code[letter]
-                    total = cost + price + self.cost[a, b, c]
-                    if total < step.get((b, c), (np.inf, ""))[0]:
-                        step[b, c] = (total, word + letter)
+            step: dict[int, tuple[float, str]] = {}
+            if drop is not None:
+                step = {pair: (cost + drop, word) for pair, (cost, word) in paths.items()}
+            for pair, (cost, word) in paths.items():
+                last = pair % _N * _N
+                for letter, c, price in choices:
+                    total = cost + price + flat[pair * _N + c]
+                    best = step.get(last + c)
+                    if best is None or total < best[0]:
+                        step[last + c] = (total, word + letter)
+            if borders:
+                for pair, (cost, word) in list(step.items()):
+                    total = cost + _BORDER + flat[pair * _N]
+                    best = step.get(pair % _N * _N)
+                    if pair % _N and (best is None or total < best[0]):
+                        step[pair % _N * _N] = (total, word + " ")
             paths = step
-        return min((cost + self.cost[a, b, 0], word) for (a, b), (cost, word) in paths.items())[1] if paths else ""
+        ends = [(cost + flat[pair * _N], word) for pair, (cost, word) in paths.items() if pair % _N or not word]
+        return min(ends)[1] if ends else ""
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words of a lower-cased token, the restored one included."""
-        if token.isalpha() and not _THRICE(token):
-            return (token,)
-        if token[:-1].isalpha() and token[-1] in _STOPS and not _THRICE(token):
-            return (token[:-1],)
+        if not _TWICE(token):
+            if token.isalpha():
+                return (token,)
+            if token[:-1].isalpha() and token[-1] in _STOPS:
+                return (token[:-1],)
         known = self.known.get(token)
         if known is None:
             if len(self.known) > REMEMBERED:
@@ -141,14 +153,22 @@ class Restorer:
             found = _WORD.findall(token)
             # Signs at the end are letters in one reading and no part of the word in another; both count.
             for core in dict.fromkeys((token.strip(_EDGE), token.lstrip(_PLAIN_EDGE).rstrip(_EDGE), token.rstrip(_ENDS))):
-                if sum(x.isalpha() for x in core) >= 2 and _ODD.match(core):
+                if self._may_hide(core):
                     found.append(self.decode(core))
             known = self.known[token] = tuple(x for x in dict.fromkeys(found) if x)
         return known
 
+    @staticmethod
+    def _may_hide(core: str) -> bool:
+        """Two letters and a sign or repeated letter, or one letter and signs that all stand for letters; a number is a number."""
+        letters = sum(x.isalpha() for x in core)
+        if letters >= 2:
+            return bool(_ODD.match(core))
+        return letters == 1 and len(core) >= 3 and all(x.isalpha() or x in _STANDS_FOR for x in core)
+
     def spaced(self, text: str) -> list[str]:
-        """Words written as single letters with gaps."""
-        return [self.decode(re.sub(r"[\s.\-_*]", "", x)) for x in _SPACED.findall(text)]
+        """Words written as single letters with gaps; several in a row are told apart by the character model."""
+        return [word for x in _SPACED.findall(text) for word in self.decode(re.sub(r"[\s.\-_*]", "", x), True).split()]
 
 
 def word_features(word: str) -> list[int]:

@@ -12,7 +12,7 @@ LABELS = "doc_id long, quality int, toxic int"
 @pytest.fixture(scope="module")
 def restorer(spark):
     docs = spark.createDataFrame(
-        [(i, "you are a stupid idiot and a pathetic loser, this is worthless trash; the last one was a moron") for i in range(50)],
+        [(i, "you are a stupid idiot and a pathetic loser, this is worthless trash; the last one was a moron, an ass and a shit") for i in range(50)],
         "doc_id long, text string",
     )
     return toxicity.Restorer(toxicity.character_counts(docs))
@@ -23,6 +23,7 @@ def restorer(spark):
     [
         ("1d10t", "idiot"), ("$tup1d", "stupid"), ("l0s3r", "loser"), ("m0r0n!!", "moron"), ("stuuuupid", "stupid"), ("tr@sh", "trash"),
         ("p4th3t1c", "pathetic"), ("w0rthl3$$", "worthless"), ("s.t.u.p.i.d", "stupid"), ("st*pid", "stupid"), ("l-o-s-e-r", "loser"),
+        ("stuupid", "stupid"), ("looser", "loser"), ("idioot!", "idiot"), ("a$$", "ass"), ("$h!7", "shit"), ("5h17", "shit"),
     ],
 )
 def test_restored_words(restorer, token, word):
@@ -33,9 +34,11 @@ def test_spaced_words(restorer):
     assert restorer.spaced("you s t u p i d one") == ["stupid"]
     assert restorer.spaced("such an i-d-i-o-t!") == ["idiot"]
     assert restorer.spaced("a b") == []
+    assert restorer.spaced("such a l o s e r") == ["a", "loser"]
+    assert restorer.spaced("s t u p i d l o s e r") == ["stupid", "loser"]
 
 
-@pytest.mark.parametrize(("token", "words"), [("stupid!!", ("stupid",)), ("the***", ("the",)), ("123", ()), ("", ()), ("loser", ("loser",))])
+@pytest.mark.parametrize(("token", "words"), [("stupid!!", ("stupid",)), ("the***", ("the",)), ("123", ()), ("$100", ()), ("", ()), ("loser", ("loser",))])
 def test_plain_words(restorer, token, words):
     assert restorer.words(token) == words
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from saleslake import schemas
 from saleslake.functions.dates import day, valid_on
 from saleslake.functions.keys import UNKNOWN_KEY, surrogate_key
+from saleslake.operators.unique_keys import Hashed, salted_key, with_unique_keys
 from saleslake.operators.upsert import upsert
 
 # The member that sales without a campaign point to.
@@ -26,11 +27,12 @@ def _instant(value: datetime) -> Column:
     return F.lit(value).cast("timestamp")
 
 
-def refresh_products(dim: DataFrame, products: DataFrame, loaded_at: datetime) -> DataFrame:
-    """Overwrite product attributes in place; a product keeps the key it got first."""
+def refresh_products(dim: DataFrame, products: DataFrame, loaded_at: datetime, hashed: Hashed = salted_key) -> DataFrame:
+    """Overwrite product attributes in place; a product keeps the key it got first, and gets one that no other has."""
     source = products.withColumns(
-        {"product_key": surrogate_key(F.col("product_id")), "updated_at": _instant(loaded_at)}
+        {"product_key": hashed(F.col("product_id"), F.lit(0)), "updated_at": _instant(loaded_at)}
     )
+    source = with_unique_keys(dim, source, "product_id", "product_key", hashed)
     return upsert(dim, source, "product_id", insert_only=["product_key"], version="updated_at")
 
 
@@ -56,6 +58,7 @@ def _with_member(dim: DataFrame, source: DataFrame, loaded_at: datetime) -> Data
 
     The member is older than any other row, so one that is stored stays as it is; `dim` is read once.
     """
+    source = with_unique_keys(dim, source, "campaign_id", "campaign_key")
     merged = upsert(dim, source, "campaign_id", insert_only=["campaign_key"], version="updated_at")
     added = F.col("updated_at") == _instant(_BEFORE_ALL)
     return merged.withColumn("updated_at", F.when(added, _instant(loaded_at)).otherwise(F.col("updated_at")))

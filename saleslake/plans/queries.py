@@ -25,6 +25,7 @@ from saleslake.operators.dimensions import (
     refresh_products,
 )
 from saleslake.operators.joins import hot_values, lookup_join
+from saleslake.operators.unique_keys import narrow
 from saleslake.plans import reports
 from saleslake.plans.fact import build_sales, dropped_of, load_fact, resolve_headers, resolve_lines, touching
 from saleslake.plans.pipeline import backfill, bootstrap, run_day
@@ -186,6 +187,25 @@ def scd1_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh_products(dim, second, LOADED_AT).drop("updated_at")
 
 
+def keys_after_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Are product keys unique, and the same after a second load and a replay, with a hash of four times as many values as there are products?"""
+    products = samples(spark, sf_dir).products()
+    early = F.substring("product_id", 5, 20).cast("long") % 2 == 0
+    hashed = narrow(4 * products.count())
+    layout = scratch(spark, "collisions")
+
+    def load(extract: DataFrame) -> DataFrame:
+        write_dimension(refresh_products(read_dimension(spark, layout, "dim_product"), extract, LOADED_AT, hashed), layout, "dim_product")
+        return read_dimension(spark, layout, "dim_product").select("product_id", "product_key")
+
+    loads = [load(products.where(early)), load(products), load(products.where(early))]
+    first, after = loads[1].withColumnRenamed("product_key", "first_key"), loads[2]
+    rows_of_key = F.count(F.lit(1)).over(Window.partitionBy("product_key"))
+    return after.join(first, "product_id", "left").select(
+        "product_id", (rows_of_key == 1).alias("unique_key"), F.col("product_key").eqNullSafe(F.col("first_key")).alias("same_key")
+    )
+
+
 def scd1_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second extract prolongs campaigns, brings a new channel and lacks an old one."""
     campaigns = samples(spark, sf_dir).campaigns()
@@ -620,6 +640,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         calendar_extend,
         latest_line_per_key,
         scd1_product,
+        keys_after_collisions,
         scd1_campaign,
         scd2_customer_close_open,
         scd2_late_replay,

@@ -246,7 +246,11 @@ def languages(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is identified, with all their columns."""
+    """The documents whose language is identified, with all their columns.
+
+    The model is learnt from the rows that declare a `lang`; where none does, nothing can be identified and nothing stays. A null or
+    empty text is judged by what else is known of it. Null ids and repeated rows are rows like others; an empty table stays empty.
+    """
     model = train(docs)
     # Stored with the documents, so that each text is scored once.
     rows = stored(with_likelihoods(document_evidence(docs, F.struct("*")), model), "likelihoods")

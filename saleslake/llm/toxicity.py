@@ -25,6 +25,7 @@ from saleslake.operators.joins import lookup_join
 THRESHOLD = 0.3
 # The regression is fitted on about this many labelled rows at most; all of them are counted to choose its features.
 SAMPLE = 20_000
+# Features of the model at most, and the chi-square that each must exceed: one in some 5,000 does by chance.
 FEATURES = 2048
 _LEAST_GAIN = 14.0
 BUCKETS = 1 << 20
@@ -373,5 +374,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents below the threshold, with all their columns."""
+    """The documents below the threshold, with all their columns.
+
+    A null text is empty and scores like an empty one. Null ids and repeated rows are rows like others. Without usable labels every
+    document scores one half, which is above the threshold, so nothing stays. An empty table stays empty.
+    """
     return score(docs, train(docs, labels)).where("predicted = 0").select("doc.*")

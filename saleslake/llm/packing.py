@@ -57,6 +57,9 @@ class WordIds:
         cut: dict[bytes, list[str]] = {}
         whole: list[bytes] = []
         for word in new:
+            if word.isalpha():  # of bytes: a-z and A-Z
+                cut[word] = [word.lower().decode()]
+                continue
             text = word.decode()
             if "<|" not in text and _SIMPLE.fullmatch(text):
                 cut[word] = _PARTS.findall(text.lower())
@@ -72,13 +75,14 @@ class WordIds:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         cut = [text.split() for text in texts]
         known = self.words
-        new = {word for found in cut for word in found if word not in known}
+        every = set().union(*cut)
+        new = every.difference(known)
         if new:
             if len(known) + len(new) > self.remembered:
                 known.clear()
-                new = {word for found in cut for word in found}
+                new = every
             self.learn(new)
-        return [b"".join([known[word] for word in found]) for found in cut]
+        return [b"".join(map(known.__getitem__, found)) for found in cut]
 
 
 @lru_cache(maxsize=1)

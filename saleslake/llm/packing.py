@@ -24,7 +24,7 @@ from saleslake.llm.common import pieces_of, ranked, stored, text_bytes
 CAPACITY = 4096
 END = 1
 # Words a task remembers; beyond that it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 
 # Words of these letters are unchanged by NFC and lower-cased letter by letter.
 _SIMPLE = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")

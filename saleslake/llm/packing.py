@@ -12,6 +12,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as _pack
 
 import numpy as np
 import pyarrow as pa
@@ -49,26 +50,27 @@ class WordIds:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, "<u4").tobytes() for one in found]
+        return [_pack(f"<{len(ids)}I", *ids) for ids in (one.ids for one in found)]
 
     def learn(self, new: set[bytes]) -> None:
         if len(self.parts) > self.remembered:
             self.parts.clear()
+        # Words of a-z and A-Z are one part each.
+        plain = {word: word.lower().decode() for word in new if word.isalpha()}
         cut: dict[bytes, list[str]] = {}
         whole: list[bytes] = []
-        for word in new:
-            if word.isalpha():  # of bytes: a-z and A-Z
-                cut[word] = [word.lower().decode()]
-                continue
+        for word in new.difference(plain):
             text = word.decode()
             if "<|" not in text and _SIMPLE.fullmatch(text):
                 cut[word] = _PARTS.findall(text.lower())
             else:
                 whole.append(word)
-        parts = list({part for found in cut.values() for part in found if part not in self.parts})
+        parts = list(set(plain.values()).union(*cut.values()).difference(self.parts))
         self.parts.update(zip(parts, self._library(parts), strict=True))
+        known = self.parts.__getitem__
+        self.words.update(zip(plain, map(known, plain.values()), strict=True))
         for word, found in cut.items():
-            self.words[word] = b"".join([self.parts[part] for part in found])
+            self.words[word] = b"".join(map(known, found))
         self.words.update(zip(whole, self._library([word.decode() for word in whole]), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:

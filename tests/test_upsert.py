@@ -1,0 +1,47 @@
+"""Merging a stored source: keys are shuffled, not rows, and a load writes what is stored already no second time."""
+
+import pytest
+from conftest import final_plan_of, rows_of
+
+from saleslake import storage
+from saleslake.operators.upsert import DuplicateKeys, upsert
+
+SHAPE = "id string, v int, text string"
+
+
+def test_plain_merge_keeps_what_the_source_lacks(spark):
+    target = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), (None, 3, "z")], SHAPE)
+    source = spark.createDataFrame([("b", 9, None), ("c", 4, "w")], SHAPE)
+    assert rows_of(upsert(target, source, "id")) == sorted([("a", 1, "x"), ("b", 9, None), ("c", 4, "w"), (None, 3, "z")], key=repr)
+    with pytest.raises(DuplicateKeys):
+        upsert(target, source.unionByName(source), "id").collect()
+
+
+def test_plain_merge_shuffles_keys_only(spark):
+    rows = spark.range(1000).selectExpr("cast(id as string) id", "cast(id as int) v", "repeat('x', 50) text")
+    merged = upsert(rows, rows.where("v % 2 = 0"), "id")
+    assert merged.count() == 1000
+    plan = final_plan_of(merged)
+    assert "FullOuter" not in plan and "SortMergeJoin" not in plan
+
+
+def test_stored_sales_are_not_written_again(spark, layout, monkeypatch):
+    from conftest import d
+    from pyspark.sql import functions as F
+
+    from saleslake import schemas
+    from saleslake.plans import fact
+    from saleslake.sinks.tables import create_tables
+
+    create_tables(spark, layout)
+    day = d("2024-03-08")
+    columns = [F.lit("i1") if f.name == "transaction_item_id" else F.lit(day) if f.name == "sale_date" else F.lit(None) for f in schemas.FACT_SALES.fields]
+    one = spark.range(1).select(*(c.cast(f.dataType).alias(f.name) for c, f in zip(columns, schemas.FACT_SALES.fields, strict=True)))
+    fact.load_fact(spark, layout, one, day, day)
+    one.withColumn("quantity", F.lit(7).cast("long")).write.parquet(f"{layout.root}/sales")
+    stored = spark.read.schema(schemas.FACT_SALES).parquet(f"{layout.root}/sales")
+    asked = []
+    monkeypatch.setattr(fact.storage, "delete", lambda spark, path: asked.append(storage.exists(spark, path)))
+    fact.load_fact(spark, layout, stored, day, day, stored=True)
+    assert asked == [False]
+    assert rows_of(fact.read_fact(spark, layout, day, day), "transaction_item_id", "quantity") == [("i1", 7)]

@@ -67,6 +67,7 @@ LATE_EXTRACT_DAY = date(1997, 6, 1)
 STEP_CUT, STEP_OVERLAP = date(1998, 1, 1), timedelta(days=30)
 
 _samples: dict[tuple[str, str, int], SampleTables] = {}
+_dimensions: dict[tuple[str, str, int], Layout] = {}
 _stars: dict[tuple[str, str, int], Layout] = {}
 
 
@@ -89,15 +90,10 @@ def scratch(spark: SparkSession, purpose: str) -> Layout:
     return Layout(folder, landing=f"{folder}/landing")
 
 
-def star(spark: SparkSession, sf_dir: str) -> Layout:
-    """Dimensions and fact of the sample tables, loaded once per application and input.
-
-    Checks and reports read stored tables, as they do in production, instead of rebuilding the star. They
-    run over the whole history here, so the fact is stored without day partitions, which would bring
-    them nothing; `fact_loaded_in_steps` stores and reads the partitioned table.
-    """
+def dimensions_of(spark: SparkSession, sf_dir: str) -> Layout:
+    """The dimensions of the sample tables, loaded once per application and input; for queries that build their own fact."""
     key = _input(spark, sf_dir)
-    if key not in _stars:
+    if key not in _dimensions:
         t = samples(spark, sf_dir)
         layout = scratch(spark, "star")
         dimensions = {
@@ -107,7 +103,21 @@ def star(spark: SparkSession, sf_dir: str) -> Layout:
             "dim_campaign": refresh_campaigns(empty_dimension(spark, "dim_campaign"), t.campaigns(), LOADED_AT),
         }
         together(spark, [lambda n=n, rows=rows: write_dimension(rows, layout, n) for n, rows in dimensions.items()])
-        sales(t, layout).write.parquet(_whole_fact(layout))
+        _dimensions[key] = layout
+    return _dimensions[key]
+
+
+def star(spark: SparkSession, sf_dir: str) -> Layout:
+    """Dimensions and fact of the sample tables, loaded once per application and input.
+
+    Checks and reports read stored tables, as they do in production, instead of rebuilding the star. They
+    run over the whole history here, so the fact is stored without day partitions, which would bring
+    them nothing; `fact_loaded_in_steps` stores and reads the partitioned table.
+    """
+    key = _input(spark, sf_dir)
+    if key not in _stars:
+        layout = dimensions_of(spark, sf_dir)
+        sales(samples(spark, sf_dir), layout).write.parquet(_whole_fact(layout))
         _stars[key] = layout
     return _stars[key]
 
@@ -133,7 +143,14 @@ def sales(
     first, last = t.sales_range
     lines, headers = t.transaction_items() if deliveries is None else deliveries, t.transactions()
     if start or end:
-        lines, headers = touching(lines, headers, each_day(start or first, end or last))
+        # The ids are read several times, so they are found once.
+        folder = scratch(t.spark, "touched").root
+
+        def keep(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.parquet(f"{folder}/{name}")
+            return t.spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+        lines, headers = touching(lines, headers, each_day(start or first, end or last), keep)
     return build_sales(
         t.newest_items(lines),
         t.newest_transactions(headers),
@@ -152,7 +169,7 @@ def full_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dimension(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_dimension(spark, star(spark, sf_dir), name)
+    return read_dimension(spark, dimensions_of(spark, sf_dir), name)
 
 
 def partial_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,13 +264,13 @@ def campaign_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales(samples(spark, sf_dir), star(spark, sf_dir))
+    return sales(samples(spark, sf_dir), dimensions_of(spark, sf_dir))
 
 
 def fact_upsert_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines delivered later merged into the stored fact of the earlier deliveries, for the sales of some months."""
     t = samples(spark, sf_dir)
-    dimensions = star(spark, sf_dir)
+    dimensions = dimensions_of(spark, sf_dir)
     items = t.transaction_items()
     early = F.col("ingest_date") <= day(FIRST_LOAD_UPTO)
     layout = scratch(spark, "upsert")
@@ -312,7 +329,7 @@ def fact_loaded_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         (STEP_CUT, last),
         (STEP_CUT - STEP_OVERLAP, STEP_CUT + STEP_OVERLAP),
     ]
-    dimensions = star(spark, sf_dir)
+    dimensions = dimensions_of(spark, sf_dir)
     layout = scratch(spark, "steps")
     create_tables(spark, layout)
     for start, end in steps:

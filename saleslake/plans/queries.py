@@ -29,7 +29,7 @@ from saleslake.operators.unique_keys import narrow
 from saleslake.plans import reports
 from saleslake.plans.fact import build_sales, dropped_of, load_fact, resolve_headers, resolve_lines, touching
 from saleslake.plans.pipeline import backfill, bootstrap, run_day
-from saleslake.session import together
+from saleslake.session import sort_in_memory, together
 from saleslake.sinks.tables import (
     STAGING_RETENTION_DAYS,
     create_tables,
@@ -77,6 +77,7 @@ def _input(spark: SparkSession, sf_dir: str) -> tuple[str, str, int]:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> SampleTables:
+    sort_in_memory(spark)
     key = _input(spark, sf_dir)
     if key not in _samples or _samples[key].spark is not spark:
         _samples[key] = SampleTables(spark, sf_dir)

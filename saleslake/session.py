@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -45,6 +46,22 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(listers))
 
 
+# What a task reads or gets from a shuffle at most, where it sorts rows that take ten times the memory they have on disk.
+SORTED_BYTES = "32m"
+
+
+def sort_in_memory(spark: SparkSession) -> None:
+    """Let no task read or get more than `SORTED_BYTES` where input can be cut; smaller limits that are set stay."""
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
+        if _bytes(spark.conf.get(key)) > _bytes(SORTED_BYTES):
+            spark.conf.set(key, SORTED_BYTES)
+
+
+def _bytes(size: str) -> int:
+    digits, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(digits) * 1024 ** " kmgtp".index(unit[0] if unit and unit[0] != "b" else " ")
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """Run a block with another value of a setting that affects only how jobs run, not their results."""

@@ -28,6 +28,9 @@ MOVING_DAY = date(1998, 1, 1)
 # Files a batch of a replayed stream has at most.
 FILES_A_BATCH = 8
 
+# What a line's ids are made of, by which its deliveries are ranked.
+LINE_KEY = ("l_orderkey", "l_linenumber")
+
 # Settles which copy of a line is the newest when several came on one day.
 LINE_TIEBREAK = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
@@ -92,8 +95,15 @@ class SampleTables:
         return latest_per_key(deliveries, ["transaction_id"]).drop("ingest_date")
 
     def transaction_items(self) -> DataFrame:
-        """All deliveries of all lines, with the columns that settle ties."""
+        """All deliveries of all lines, with the columns of the line's key and those that settle ties."""
         return self.table("lineitem").select(
+            *self._line(), F.col("l_shipdate").cast("date").alias("ingest_date"), *LINE_KEY, *LINE_TIEBREAK
+        )
+
+    @staticmethod
+    def _line() -> list[Column]:
+        """A line as staged, from the columns of its key and those that settle ties."""
+        return [
             F.concat(_id("TXN", "l_orderkey"), F.lit("-"), F.col("l_linenumber").cast("string")).alias(
                 "transaction_item_id"
             ),
@@ -101,15 +111,19 @@ class SampleTables:
             _id("PROD", "l_partkey").alias("product_id"),
             F.col("l_quantity").cast("long").alias("quantity"),
             F.col("l_extendedprice").cast(schemas.MONEY).alias("price"),
-            F.col("l_shipdate").cast("date").alias("ingest_date"),
-            *LINE_TIEBREAK,
-        )
+        ]
 
     def newest_items(self, deliveries: DataFrame | None = None) -> DataFrame:
-        """The newest delivery of each line, out of `deliveries` (default: all of them)."""
+        """The newest delivery of each line, out of `deliveries` (default: all of them).
+
+        Numbers are ranked, and the ids and amounts made of what is left: rows of a third of the size are sorted and shuffled.
+        """
         deliveries = self.transaction_items() if deliveries is None else deliveries
-        newest = latest_per_key(deliveries, ["transaction_item_id"], tiebreakers=LINE_TIEBREAK)
-        return newest.select(*schemas.STAGING["transaction_items"].fieldNames(), "ingest_date")
+        # Lines without an id are one line, whichever part of it is missing.
+        whole = F.col("l_orderkey").isNotNull() & F.col("l_linenumber").isNotNull()
+        ranked = deliveries.select(*LINE_KEY, "ingest_date", *LINE_TIEBREAK, *(F.when(whole, F.col(c)).alias(f"_{c}") for c in LINE_KEY))
+        newest = latest_per_key(ranked, [f"_{c}" for c in LINE_KEY], tiebreakers=LINE_TIEBREAK)
+        return newest.select(*self._line(), "ingest_date")
 
     def products(self) -> DataFrame:
         return self.table("part").select(

@@ -32,6 +32,8 @@ SHORT = 2
 BLOCK_BYTES = 24_000_000
 BUCKET_BYTES = 16_000_000
 _POSITIONS = 2_000_000
+# Texts that are added up at a time: their numbers stand in the byte that a gram leaves free.
+_AT_ONCE = 256
 _START, _END = 0xFE, 0xFF  # bytes that UTF-8 never has
 _SYMBOLS = 256
 _END_WORD = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -58,6 +60,25 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Each key once, in order. The keys are sorted where they are."""
+    keys.sort()
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def _merged_runs(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key of some runs once, in order, with its counts added up; within a run no key is repeated.
+
+    Only keys are sorted, and each run's counts are added where its keys then are, so nothing but the runs and one copy of their
+    keys is held.
+    """
+    merged = _distinct(np.concatenate(keys))
+    total = np.zeros(len(merged), np.int64)
+    for k, c in zip(keys, counts, strict=True):
+        total[np.searchsorted(merged, k)] += c
+    return merged, total
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each key once, in order, with its counts added up."""
     if not len(keys):
@@ -69,14 +90,17 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys * _SPREAD) >> np.uint64(33)).astype(np.int64) % n
+    found = ((keys * _SPREAD) >> np.uint64(33)) % np.uint64(n)
+    # Few bytes a bucket: numbers of two bytes are sorted by their digits.
+    return found.astype(np.uint16 if n <= 1 << 16 else np.int64)
 
 
 def _dealt(keys: np.ndarray, values: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Sorted keys and their values by where they go, each part still sorted."""
     order = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
-    for part in np.split(order, cuts[1:]) if len(order) else []:
+    ordered = to[order]
+    cuts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+    for part in np.split(order, cuts) if len(order) else []:
         yield int(to[part[0]]), keys[part], values[part]
 
 
@@ -86,16 +110,17 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     line = np.frombuffer(b"".join(pad + text + bytes([_END]) for text in texts), np.uint8)
     found = np.zeros(len(line) - order, np.uint64)
     for i in range(order + 1):
-        found = (found << np.uint64(8)) | line[i : len(line) - order + i]
+        found <<= np.uint64(8)
+        found |= line[i : len(line) - order + i]
     return found[line[order:] != _START], np.array([len(text) + 1 for text in texts])
 
 
-def _batches(texts: list[bytes]) -> Iterator[slice]:
-    """Runs of texts with about `_POSITIONS` bytes."""
+def _batches(texts: list[bytes], most: int | None = None) -> Iterator[slice]:
+    """Runs of texts with about `_POSITIONS` bytes, and `most` texts at most."""
     start, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text)
-        if held >= _POSITIONS:
+        if held >= _POSITIONS or i + 1 - start == most:
             yield slice(start, i + 1)
             start, held = i + 1, 0
     if start < len(texts):
@@ -107,16 +132,45 @@ def gram_counts(texts: list[bytes], train: np.ndarray, order: int) -> tuple[np.n
     keys, counts = [], []
     for part in _batches(texts):
         found, n = grams(texts[part], order)
-        flagged = np.sort((found << np.uint64(1)) | np.repeat(train[part].astype(np.uint64), n))
-        first = np.flatnonzero(np.append(True, flagged[1:] >> np.uint64(1) != flagged[:-1] >> np.uint64(1)))
-        keys.append(flagged[first] >> np.uint64(1))
-        counts.append(np.add.reduceat((flagged & np.uint64(1)).astype(np.int64), first))
-    return _summed(np.concatenate(keys), np.concatenate(counts))
+        found <<= np.uint64(1)
+        found |= np.repeat(train[part], n)
+        found.sort()
+        learnt = (found & np.uint64(1)).astype(np.uint8)
+        found >>= np.uint64(1)
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        keys.append(found[first])
+        counts.append(np.add.reduceat(learnt, first, dtype=np.int32))
+    return _merged_runs(keys, counts)
+
+
+def gram_keys(texts: list[bytes], order: int) -> np.ndarray:
+    """The different grams of the texts."""
+    return _distinct(np.concatenate([_distinct(grams(texts[part], order)[0]) for part in _batches(texts)]))
+
+
+def gram_sums(texts: list[bytes], order: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of the values of each text's grams, all of which are in `keys`.
+
+    Grams are sorted together with the number of their text, so equal ones are looked up once and none has to go back to its place.
+    """
+    sums = []
+    for part in _batches(texts, _AT_ONCE):
+        found, n = grams(texts[part], order)
+        found <<= np.uint64(8)
+        found |= np.repeat(np.arange(len(n), dtype=np.uint8), n)
+        found.sort()
+        owner = (found & np.uint64(_AT_ONCE - 1)).astype(np.uint8)
+        found >>= np.uint64(8)
+        new = np.append(True, found[1:] != found[:-1])
+        told = values[np.searchsorted(keys, found[new])]
+        sums.append(np.bincount(owner, told[np.cumsum(new) - 1], len(n)))
+    return np.concatenate(sums)
 
 
 def _word_keys(text: bytes) -> np.ndarray:
     """64-bit hashes of a text's words, and the end."""
-    return np.array([xxhash.xxh64_intdigest(word) for word in text.split()] + [int(_END_WORD)], np.uint64)
+    digests = b"".join(map(xxhash.xxh64_digest, text.split()))
+    return np.append(np.frombuffer(digests, ">u8").astype(np.uint64), _END_WORD)
 
 
 def word_counts(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +181,7 @@ def word_counts(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.n
         keys.append(joined)
         counts.append(np.repeat(train[part].astype(np.int64), [len(x) for x in found]))
         keys[-1], counts[-1] = _summed(keys[-1], counts[-1])
-    return _summed(np.concatenate(keys), np.concatenate(counts))
+    return _merged_runs(keys, counts)
 
 
 class Level:
@@ -291,7 +345,7 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
         """Words: the counts, back to the blocks. Grams: each once with its count, to the part of the trie it is in."""
         kind, bucket = key[0].as_py(), key[1].as_py()
         parts = [unpacked_keys(x.as_py()) for x in found.column("keys")]
-        keys, counts = _summed(np.concatenate(parts), np.concatenate([unpacked(x.as_py(), "<i8") for x in found.column("counts")]))
+        keys, counts = _merged_runs(parts, [unpacked(x.as_py(), "<i8") for x in found.column("counts")])
         rows: list[tuple] = []
         if kind == "word":
             rows.append(("words", bucket, b"", b"", int(counts.sum()), int((counts > 0).sum())))
@@ -379,30 +433,32 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
             ids += some_ids
             raw += some_texts
         # The answers have no keys: they are in the order in which the block's keys were asked for.
-        none = np.zeros(len(raw), bool)
-        values = {}
-        for kind, number, asked_keys in (("gram", "<f4", gram_counts(raw, none, order)[0]), ("word", "<i8", word_counts(raw, none)[0])):
+        def told_for(kind: str, number: str, asked_keys: np.ndarray) -> np.ndarray:
             rows = told.filter(pc.equal(told.column("kind"), kind)).sort_by("bucket")
-            found = np.concatenate([unpacked(x.as_py(), number) for x in rows.column("told")])
-            by_key = np.empty_like(found)
-            by_key[np.argsort(_buckets(asked_keys, buckets), kind="stable")] = found
-            values[kind] = (asked_keys, by_key)
-        columns: list[list] = [[], [], [], []]
+            by_key = np.empty(len(asked_keys), number)
+            order_ = np.argsort(_buckets(asked_keys, buckets), kind="stable")
+            start = 0
+            for answer in rows.column("told"):
+                found = unpacked(answer.as_py(), number)
+                by_key[order_[start : start + len(found)]] = found
+                start += len(found)
+            return by_key
+
+        keys = gram_keys(raw, order)
+        scores = gram_sums(raw, order, keys, told_for("gram", "<f4", keys))
+        of_words = [_word_keys(text) for text in raw]
+        keys = _distinct(np.concatenate(of_words))
+        counts = told_for("word", "<i8", keys)
+        columns: list[list] = [[], [], []]
         for part in _batches(raw):
-            position, n = grams(raw[part], order)
-            ends = np.append(0, np.cumsum(n)[:-1])
-            keys, logs = values["gram"]
-            columns[3].append(np.add.reduceat(_values_of(keys, logs, position).astype(np.float64), ends))
-            of_words = [_word_keys(text) for text in raw[part]]
-            n = np.array([len(x) for x in of_words])
+            n = np.array([len(x) for x in of_words[part]])
             ends = np.append(0, np.cumsum(n)[:-1])
-            keys, counts = values["word"]
-            seen = _values_of(keys, counts, np.concatenate(of_words))
+            seen = _values_of(keys, counts, np.concatenate(of_words[part]))
             columns[0].append(n)
             columns[1].append(np.add.reduceat((seen > 0).astype(np.int64), ends))
             columns[2].append(np.add.reduceat(np.log10((seen + 0.5) / (tokens + 0.5 * (vocabulary + 1))), ends))
         done = [np.concatenate(x) for x in columns]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": done[0].astype(np.int64), "n_known": done[1], "base_score": done[2], "score": done[3]})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": done[0].astype(np.int64), "n_known": done[1], "base_score": done[2], "score": scores})
 
     scored = (
         asked.where("kind = 'doc'")
@@ -417,7 +473,7 @@ def score(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
 def _merged(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = [unpacked_keys(x.as_py()) for x in found.column("keys")]
     counts = [unpacked(x.as_py(), "<i8") for x in found.column("counts")]
-    return _summed(np.concatenate(keys), np.concatenate(counts))
+    return _merged_runs(keys, counts)
 
 
 def _rows(*columns: list) -> pa.RecordBatch:

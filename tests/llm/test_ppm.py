@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -144,3 +145,29 @@ def test_better_than_the_base(spark):
     found = ppm.scored(spark.read.parquet(f"{SF}/../sf0.1/documents.parquet")).where("held_out")
     row = found.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
     assert row["score"] > 0.95 * row["base"]
+
+
+def test_sums_of_texts():
+    """More texts than are added up at a time, some of them empty."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(("ab", "abc", "zz", "q")) for _ in range(rng.choice((0, 1, 9)))).encode() for _ in range(600)]
+    keys = ppm.gram_keys(texts, 6)
+    values = np.random.default_rng(2).random(len(keys))
+    found, n = ppm.grams(texts, 6)
+    assert (keys == np.unique(found)).all()
+    want = [part.sum() for part in np.split(values[np.searchsorted(keys, found)], np.cumsum(n)[:-1])]
+    assert ppm.gram_sums(texts, 6, keys, values) == pytest.approx(want)
+
+
+def test_memory_of_a_block(monkeypatch):
+    """Counting the grams of a block holds its runs and little more (66 bytes a gram before, 31 now)."""
+    monkeypatch.setattr(ppm, "_POSITIONS", 200_000)
+    texts = list(np.random.default_rng(4).integers(97, 123, (40, 50_000), np.uint8).view("S50000").ravel())
+    tracemalloc.start()
+    try:
+        keys, _ = ppm.gram_counts(texts, np.ones(len(texts), bool), 6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(keys) > 1_900_000
+    assert peak < 50 * len(keys)

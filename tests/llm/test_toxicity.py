@@ -71,6 +71,37 @@ def test_decode_is_the_best_path(restorer):
         assert restorer.decode(signs) == "".join(x or "" for x in best)
 
 
+def plain_features(word):
+    raw = word.encode()
+    parts = [b"=" + raw, *(raw[:n] for n in range(3, min(len(raw), 9) + 1))]
+    return sorted(zlib.crc32(x) % toxicity.BUCKETS for x in parts)
+
+
+def test_features_of_words():
+    words = ["", "a", "ab", "abc", "idiot", "é", "ébène", "x" * 9, "x" * 10, "worthlessness", "idiot"]
+    owner, features = toxicity.features_of(words)
+    assert [sorted(features[owner == i].tolist()) for i in range(len(words))] == [plain_features(x) for x in words]
+    assert [len(x) for x in toxicity.features_of([])] == [0, 0]
+
+
+def test_texts_looked_at_together(restorer, monkeypatch):
+    """Texts have the features and scores that each has alone, also when tokens are forgotten between."""
+    texts = ["", "You 1D10T, idiot!", "l o s e r", "a quiet day", "stuuupid and quiet, s.t.u.p.i.d", "A quiet day"] * 60
+    found = toxicity._all_features(restorer, [x.encode() for x in texts])
+    for text, features in zip(texts[:6], found, strict=False):
+        words = {w for token in set(text.lower().split()) for w in restorer.words(token)} | set(restorer.spaced(text.lower()))
+        assert features.tolist() == sorted({x for w in words for x in plain_features(w)})
+    chosen = np.unique(np.concatenate([found[1], found[2]]))
+    counts = np.zeros(64**3, np.int64)
+    alone = [toxicity.Scorer(counts, chosen, np.linspace(0.1, 1, len(chosen)), -2.0).score(x) for x in texts[:6]]
+    assert len(set(alone)) > 3
+    monkeypatch.setattr(toxicity, "KNOWN_TOKENS", 3)
+    scorer = toxicity.Scorer(counts, chosen, np.linspace(0.1, 1, len(chosen)), -2.0)
+    groups = list(toxicity._groups([x.encode() for x in texts]))
+    assert len(groups) == 2
+    assert [x for some in groups for x in scorer.scores(texts[some])] == alone * 60
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1), (4, 0, None), (None, 1, 1), (8, None, 0), (99, 1, 1)], LABELS)

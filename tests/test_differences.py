@@ -5,6 +5,7 @@ import random
 from conftest import d, rows_of
 from pyspark.sql import functions as F
 
+from saleslake.operators import checks
 from saleslake.operators.checks import differences, reconcile
 
 SHAPE = "id string, day date, n long, text string"
@@ -85,3 +86,21 @@ def test_equal_groups_are_not_joined(spark):
     assert rows_of(found) == [("5", "changed", "n")]
     operators = found._jdf.queryExecution().executedPlan().toString()
     assert "FullOuter" in operators and "LeftSemi" in operators
+
+
+def test_rows_that_do_not_differ_are_not_shuffled(spark, monkeypatch):
+    """Where all groups have rows that differ, whole rows are still picked of the keys that do; of all rows before."""
+    picked = []
+    lookup = checks.sliced_lookup
+
+    def counting(left, right, *args, **kwargs):
+        found = lookup(left, right, *args, **kwargs)
+        picked.append(found.count())
+        return found
+
+    monkeypatch.setattr(checks, "sliced_lookup", counting)
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit(DAYS[0]).alias("day"), F.col("id").alias("n"))
+    changed = rows.withColumn("n", F.when(F.col("n") % 50 == 0, -1).otherwise(F.col("n")))
+    found = differences(rows, changed, "id", groups=10)
+    assert rows_of(found) == sorted((str(i), "changed", "n") for i in range(0, 5000, 50))
+    assert picked == [100, 100]

@@ -6,7 +6,7 @@ import pytest
 from conftest import final_plan_of, plan_of
 from pyspark.sql import functions as F
 
-from saleslake.operators.joins import hot_values, lookup_join, measured_bytes, salt_counts, salted_join
+from saleslake.operators.joins import hot_values, lookup_join, measured_bytes, salt_counts, salted_join, sliced_lookup
 
 LEFT = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 50}", i % 10) for i in range(3000)]
 # Two intervals per key, and keys that no left row has; `k7` is missing on this side.
@@ -108,3 +108,18 @@ def test_plain_equi_join_without_hot_keys(sides):
     left, right = sides
     joined = salted_join(left, right, "key", "inner", ["row_id"], hot={})
     assert "_salt" not in final_plan_of(joined)
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+@pytest.mark.parametrize(("most", "slice_bytes"), [(10_000, 10_000), (10_000, 100), (10, 10)])
+def test_sliced_lookup_matches_brute_force(spark, how, most, slice_bytes):
+    """A list of keys in one broadcast, in several, and shuffled; null keys match nothing."""
+    left = spark.createDataFrame(LEFT, "row_id int, key string, at int")
+    keys = sorted({k for k, *_ in RIGHT})
+    right = spark.createDataFrame([(k,) for k in keys], "key string")
+    joined = sliced_lookup(left, right, "key", how, ["row_id"], most, slice_bytes)
+    plan = plan_of(joined)
+    assert ("BroadcastHashJoin" in plan) == (most > 10)
+    assert (plan.count("BroadcastHashJoin") > 1) == (slice_bytes == 100)
+    wanted = [row for row in LEFT if (row[1] in keys) == (how == "left_semi")]
+    assert Counter(map(tuple, joined.collect())) == Counter(wanted)

@@ -15,7 +15,7 @@ from saleslake.functions.keys import UNKNOWN_KEY, date_key
 from saleslake.functions.money import line_amount
 from saleslake.layout import Layout
 from saleslake.operators.asof import version_lookup
-from saleslake.operators.joins import BROADCAST_LIMIT, hot_values, lookup_join, measured_bytes, salted_join
+from saleslake.operators.joins import BROADCAST_LIMIT, SLICES, hot_values, lookup_join, measured_bytes, salted_join, sliced_lookup
 from saleslake.operators.upsert import upsert
 from saleslake.sinks.tables import write_fact
 from saleslake.sources.tables import read_fact, read_fact_days
@@ -153,15 +153,18 @@ def touching(
     headers: DataFrame,
     days: Sequence[date],
     keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows,
-    broadcast_limit: int = BROADCAST_LIMIT,
+    broadcast_limit: int = SLICES * BROADCAST_LIMIT,
+    slice_bytes: int = BROADCAST_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """All deliveries of the lines and headers that can matter for sales on `days`; the rest needs no ranking.
 
     These are headers that any delivery dates to one of the days, and lines that any delivery gives to such a header,
-    with all their deliveries. Where every header is on the days there is nothing to leave out. `keep` may store the ids.
+    with all their deliveries. Where every header is on the days there is nothing to leave out. `keep` may store
+    the ids and the deliveries.
 
-    Headers too many to broadcast are not worth looking for: that would shuffle the deliveries several times, where ranking
-    them all shuffles them once, so all are returned. Of too many lines just those are looked for that another header has too.
+    Ids are broadcast, in several slices if need be. Headers of more than `broadcast_limit` bytes are not worth looking for: that would
+    shuffle the deliveries several times, where ranking them all shuffles them once, so all are returned. Of too many lines just
+    those are looked for that another header has too.
     """
     on = on_days(F.col("transaction_date"), days)
     if headers.where(~F.coalesce(on, F.lit(False))).isEmpty():
@@ -169,15 +172,20 @@ def touching(
     ids = keep(headers.where(on).select("transaction_id").distinct(), "headers")
     if measured_bytes(ids) > broadcast_limit:
         return lines, headers
-    of_headers = lookup_join(lines, ids, "transaction_id", "left_semi", ["transaction_item_id"], broadcast_limit=broadcast_limit)
+
+    def look(rows: DataFrame, found: DataFrame, key: str, how: str, spread_on: str) -> DataFrame:
+        return sliced_lookup(rows, found, key, how, [spread_on], broadcast_limit, slice_bytes)
+
+    of_headers = look(lines, ids, "transaction_id", "left_semi", "transaction_item_id")
     items = keep(of_headers.select("transaction_item_id").distinct(), "lines")
     if measured_bytes(items) <= broadcast_limit:
-        touched = lookup_join(lines, items, "transaction_item_id", "left_semi", ["ingest_date"], broadcast_limit=broadcast_limit)
+        touched = look(lines, items, "transaction_item_id", "left_semi", "ingest_date")
     else:
-        elsewhere = lookup_join(lines, ids, "transaction_id", "left_anti", ["transaction_item_id"], broadcast_limit=broadcast_limit)
+        elsewhere = look(lines, ids, "transaction_id", "left_anti", "transaction_item_id")
         moved = keep(elsewhere.select("transaction_item_id").join(items, "transaction_item_id", "left_semi").distinct(), "moved")
-        touched = of_headers.unionByName(lookup_join(elsewhere, moved, "transaction_item_id", "left_semi", ["ingest_date"], broadcast_limit=broadcast_limit))
-    return touched, lookup_join(headers, ids, "transaction_id", "left_semi", ["ingest_date"], broadcast_limit=broadcast_limit)
+        touched = of_headers.unionByName(look(elsewhere, moved, "transaction_item_id", "left_semi", "ingest_date"))
+    # Both are read several times: to rank them, and to look for hot keys.
+    return keep(touched, "touched-lines"), keep(look(headers, ids, "transaction_id", "left_semi", "ingest_date"), "touched-headers")
 
 
 def days_of(lines: DataFrame, headers: DataFrame, on: date) -> list[date]:

@@ -31,6 +31,24 @@ def test_too_many_headers_are_not_looked_for(spark):
     assert touching(lines, headers, [DAY], broadcast_limit=9) == (lines, headers)
 
 
+def test_long_lists_of_headers_are_looked_for_in_slices(spark):
+    """Two headers take 20 bytes, more than a slice; all deliveries were returned before, and each slice read again."""
+    _, headers = deliveries(spark)
+    lines = staged(spark, "transaction_items", [("i1", "t1", "p", 1, None, DAY), ("i2", "t2", "p", 1, None, DAY), ("i3", "t4", "p", 1, None, DAY), ("i3", None, "p", 1, None, LATER)])
+    more = headers.unionByName(staged(spark, "transactions", [("t4", "c1", d("2024-03-21"), None, None, DAY)]))
+    kept = []
+
+    def keep(rows, name):
+        kept.append(name)
+        return rows
+
+    for limit in (1000, 35):
+        touched, of = touching(lines, more, [DAY, LATER], keep, limit, 10)
+        assert rows_of(touched, "transaction_item_id", "transaction_id") == [("i1", "t1"), ("i2", "t2")]
+        assert rows_of(of, "transaction_id") == [("t1",), ("t2",), ("t3",)]
+    assert {"touched-lines", "touched-headers"} < set(kept)
+
+
 def test_queries_that_build_a_fact_of_their_own_load_the_dimensions_only(spark, monkeypatch):
     def whole(*_):
         raise AssertionError("the fact of the whole history is not read")

@@ -202,6 +202,14 @@ def test_money_that_does_not_fit_is_rejected(spark, layout, text):
             read_extract(spark, layout, "products", DAY).collect()
 
 
+@pytest.mark.parametrize("text", ["123456789012345678.123456789", "-0.5", "+7", "1.", "1.5e-12", "12.5\n", " 12.5", "1.1000000000", "007.10"])
+def test_plain_money_is_what_a_wider_number_says(spark, text):
+    """As the number with 18 decimals, if that has no more than money holds."""
+    frame = spark.createDataFrame([(text,)], "t string").select(exact_money(F.col("t")).alias("m"), F.col("t").cast("decimal(38,18)").alias("wide"))
+    row = frame.first()
+    assert row["m"] == (row["wide"] if row["wide"] == round(row["wide"], 9) else None)
+
+
 def test_amounts_are_exact(spark):
     row = spark.createDataFrame([(3, Decimal("0.123456789"))], "q long, p decimal(27,9)").select(line_amount(F.col("q"), F.col("p")).alias("a")).first()
     assert row["a"] == Decimal("0.370370367")

@@ -309,6 +309,27 @@ def test_a_hot_day_is_written_by_several_tasks_and_sorted(spark, layout):
         assert keys == sorted(keys)
 
 
+def test_days_of_a_large_load_are_one_file_each(spark, layout):
+    """A partition of many days that exceeds the advisory size would be cut through all of its days."""
+    days = each_day(DAY, DAY + timedelta(days=299))
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("i"), F.col("id")).alias("transaction_item_id"), F.lit("t").alias("transaction_id"),
+        F.xxhash64("id").alias("customer_key"), F.xxhash64("id").alias("product_key"), F.lit(-1).cast("long").alias("campaign_key"),
+        F.lit(20240310).cast("long").alias("date_key"),
+        F.expr("date_add(date'2024-03-10', cast(id % 300 as int))").alias("sale_date"),
+        F.col("id").alias("quantity"), *(F.lit(1).cast(schemas.FACT_SALES[c].dataType).alias(c) for c in ("unit_price", "line_amount", "transaction_total_amount")),
+    ).repartition(16)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        write_fact(rows, layout, days)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    stored = read_fact(spark, layout, days[0], days[-1])
+    assert stored.count() == 60_000
+    assert len(stored.inputFiles()) == len(days)
+
+
 def test_write_of_a_century(spark, layout):
     create_tables(spark, layout)
     write_fact(schemas.empty(spark, schemas.FACT_SALES), layout, each_day(d("1900-01-01"), d("2000-01-01")))

@@ -1,11 +1,12 @@
+import random
 import shutil
 from datetime import timedelta
 from pathlib import Path
 
 import pytest
-from conftest import d, money, rows_of
+from conftest import d, final_plan_of, money, rows_of, staged
 
-from saleslake import schemas
+from saleslake import schemas, storage
 from saleslake.layout import Layout
 from saleslake.operators.checks import CheckFailed, all_loaded
 from saleslake.operators.upsert import DuplicateKeys
@@ -147,6 +148,45 @@ def test_lost_line_fails_reconciliation(spark, two_days):
     assert not all_loaded(lines, headers, fact.unionByName(fact.limit(1)), [MON, TUE]).first()["passed"]
 
 
+def test_the_final_check_follows_the_newest_deliveries(spark):
+    rng = random.Random(3)
+    headers = [(f"T{n}", "c", d(f"2024-01-{rng.randint(1, 9):02}"), money("1"), None, d(f"2024-02-{day:02}")) for n in range(40) for day in rng.sample(range(1, 20), 2)]
+    lines = [(f"I{n}", f"T{rng.randint(0, 49)}", "p", 1, money("1"), d(f"2024-02-{day:02}")) for n in range(200) for day in rng.sample(range(1, 20), rng.randint(1, 3))]
+    dated = {row[0]: row[2] for row in sorted(headers, key=lambda row: row[-1])}
+    owner = {row[0]: row[1] for row in sorted(lines, key=lambda row: row[-1])}
+    days = [d("2024-01-02"), d("2024-01-03"), d("2024-01-07")]
+    want = {i for i, t in owner.items() if dated.get(t) in days}
+    stored = spark.createDataFrame([(i,) for i in [*want, "other"]], "transaction_item_id string")
+    kept = []
+
+    def keep(rows, name):
+        kept.append(name)
+        return rows
+
+    check = all_loaded(staged(spark, "transaction_items", lines), staged(spark, "transactions", headers), stored, days, keep)
+    assert "SortAggregate" not in final_plan_of(check)
+    assert tuple(check.first()) == (len(want), len(want), True)
+    assert kept == ["headers-to-check"]  # line ids meet the fact in one shuffle
+
+
+def test_only_a_merge_stores_the_resolved_lines(spark, two_days, monkeypatch):
+    stored, delete = [], storage.delete
+
+    def recorded(session, path):
+        if "/sales-" in path and "to-merge" not in path:
+            stored.append("resolved" in storage.names(session, path))
+        delete(session, path)
+
+    monkeypatch.setattr(storage, "delete", recorded)
+    days = [MON, TUE]
+    want = rows_of(read_fact(spark, two_days, MON, TUE))
+    pipeline.load_sales(spark, two_days, days)
+    delete(spark, two_days.fact_sales)
+    pipeline.load_sales(spark, two_days, days)
+    assert stored == [True, False]
+    assert rows_of(read_fact(spark, two_days, MON, TUE)) == want
+
+
 def test_corrected_extract_replaces_the_sales(spark, two_days):
     deliver(two_days, TUE, {"transaction_items": ["I4,T3,P2,3,25.00", "I5,T3,P1,1,100.00"]})
     pipeline.run_day(spark, two_days, TUE)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,14 @@ BROADCAST_LIMIT = 64 * 1024 * 1024
 # Slices of that size that one list of keys may have, so that what is broadcast for it stays bounded.
 SLICES = 4
 
+# Bits that the keys of a long list are marked by at most, 32 MiB, how many of them a key has for itself, and how they are cut.
+MARK_BITS = 2**28
+_BITS_A_KEY = 16
+_BLOCK_BITS, _WORD_BITS = 1024, 64
+
+# A list of more bytes is marked where a few rows of other keys do no harm: a hash table takes several times the bytes of its keys, on the driver too.
+MARKED_FROM = BROADCAST_LIMIT // 4
+
 # A key counts as hot from this share of the rows on, so there are at most a thousand of them. Keys below
 # it make partitions that adaptive execution can still split.
 HOT_SHARE = 0.001
@@ -150,3 +159,35 @@ def sliced_lookup(
         part = rows.join(F.broadcast(keys.withColumnRenamed(key, "_lookup")), F.col(key) == F.col("_lookup"), how)
         joined = part if joined is None else joined.unionByName(part)
     return joined
+
+
+def marked(left: DataFrame, keys: DataFrame, key: str, most_bits: int = MARK_BITS) -> DataFrame:
+    """Rows of `left` whose key is in the list `keys`, and some of other keys; of each key all rows or none. Null keys match nothing.
+
+    A Bloom filter: a key sets three bits of a block that its hash names, and only the blocks are broadcast. That is 2 bytes a key, and no more
+    than `most_bits` for a list of any length, where a hash table of keys would take a hundred bytes for each of them on the driver and
+    on every executor. Of the other keys 0.5% come along as long as there are 16 bits for each key, 2% of them with 8 and 15% with 4.
+    """
+    listed = keys.where(F.col(key).isNotNull())
+    bits = min(most_bits, 2 ** math.ceil(math.log2(max(_BITS_A_KEY * listed.count(), _BLOCK_BITS))))
+    hashed = F.xxhash64(key)
+    # The lowest bits name the block, higher ones the places in it.
+    block = F.pmod(hashed, F.lit(max(1, bits // _BLOCK_BITS)))
+    places = [F.shiftrightunsigned(hashed, shift).bitwiseAND(F.lit(_BLOCK_BITS - 1)).cast("int") for shift in (28, 40, 52)]
+
+    def word(place: Column) -> Column:
+        return F.shiftright(place, int(math.log2(_WORD_BITS)))
+
+    def bit(place: Column) -> Column:
+        return place.bitwiseAND(F.lit(_WORD_BITS - 1))
+
+    def set_in(i: int) -> Column:
+        """The bits that a key sets in word `i` of its block."""
+        each = [F.when(word(F.col(f"_p{n}")) == i, F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col(f"_p{n}")))).otherwise(F.lit(0).cast("long")) for n in range(len(places))]
+        return F.bit_or(reduce(Column.bitwiseOR, each))
+
+    # Dealt by block first, so that keys are shuffled and not blocks of every task.
+    dealt = listed.select(block.alias("_block"), *(p.alias(f"_p{n}") for n, p in enumerate(places))).repartition("_block")
+    blocks = dealt.groupBy("_block").agg(F.array(*map(set_in, range(_BLOCK_BITS // _WORD_BITS))).alias("_words"))
+    has_all = reduce(Column.__and__, (F.getbit(F.get("_words", word(p)), bit(p)) == 1 for p in places))
+    return left.join(F.broadcast(blocks), (block == F.col("_block")) & F.col(key).isNotNull() & has_all, "left_semi")

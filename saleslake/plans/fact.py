@@ -15,7 +15,7 @@ from saleslake.functions.keys import UNKNOWN_KEY, date_key
 from saleslake.functions.money import line_amount
 from saleslake.layout import Layout
 from saleslake.operators.asof import version_lookup
-from saleslake.operators.joins import BROADCAST_LIMIT, SLICES, hot_values, lookup_join, measured_bytes, salted_join, sliced_lookup
+from saleslake.operators.joins import BROADCAST_LIMIT, MARKED_FROM, SLICES, hot_values, lookup_join, marked, measured_bytes, salted_join
 from saleslake.operators.upsert import upsert
 from saleslake.sinks.tables import write_fact
 from saleslake.sources.tables import read_fact, read_fact_days
@@ -148,13 +148,17 @@ def build_sales(*args, **kwargs) -> DataFrame:
     return sales_of(resolve_lines(*args, **kwargs))
 
 
+# From this share of all headers on, ranking all deliveries costs less than to look for those that matter and store them.
+LARGE_SHARE = 1 / 3
+
+
 def touching(
     lines: DataFrame,
     headers: DataFrame,
     days: Sequence[date],
     keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows,
     broadcast_limit: int = SLICES * BROADCAST_LIMIT,
-    slice_bytes: int = BROADCAST_LIMIT,
+    slice_bytes: int = MARKED_FROM,
 ) -> tuple[DataFrame, DataFrame]:
     """All deliveries of the lines and headers that can matter for sales on `days`; the rest needs no ranking.
 
@@ -162,30 +166,31 @@ def touching(
     with all their deliveries. Where every header is on the days there is nothing to leave out. `keep` may store
     the ids and the deliveries.
 
-    Ids are broadcast, in several slices if need be. Headers of more than `broadcast_limit` bytes are not worth looking for: that would
-    shuffle the deliveries several times, where ranking them all shuffles them once, so all are returned. Of too many lines just
-    those are looked for that another header has too.
+    Lists of ids up to `slice_bytes` are broadcast, of longer ones just bits that mark them, so that the driver never holds a table of
+    them; a few lines and headers that do not matter may then come along, with all their deliveries, and are left out once their newest
+    delivery is known. Headers of more than `broadcast_limit` bytes are not worth looking for, nor is a long list of `LARGE_SHARE` of all headers:
+    that would read the deliveries three times and store most of them, where ranking them all shuffles them once. So all are returned.
     """
-    on = on_days(F.col("transaction_date"), days)
-    if headers.where(~F.coalesce(on, F.lit(False))).isEmpty():
+    on = F.coalesce(on_days(F.col("transaction_date"), days), F.lit(False))
+    if headers.where(~on).isEmpty():
         return lines, headers
     ids = keep(headers.where(on).select("transaction_id").distinct(), "headers")
-    if measured_bytes(ids) > broadcast_limit:
+    size = measured_bytes(ids)
+    if size > broadcast_limit:
+        return lines, headers
+    if size > MARKED_FROM and headers.agg(F.avg(on.cast("int"))).first()[0] > LARGE_SHARE:
         return lines, headers
 
-    def look(rows: DataFrame, found: DataFrame, key: str, how: str, spread_on: str) -> DataFrame:
-        return sliced_lookup(rows, found, key, how, [spread_on], broadcast_limit, slice_bytes)
+    def look(rows: DataFrame, found: DataFrame, key: str, spread_on: str) -> DataFrame:
+        if measured_bytes(found) > slice_bytes:
+            return marked(rows, found, key)
+        return lookup_join(rows, found, key, "left_semi", [spread_on])
 
-    of_headers = look(lines, ids, "transaction_id", "left_semi", "transaction_item_id")
+    of_headers = look(lines, ids, "transaction_id", "transaction_item_id")
     items = keep(of_headers.select("transaction_item_id").distinct(), "lines")
-    if measured_bytes(items) <= broadcast_limit:
-        touched = look(lines, items, "transaction_item_id", "left_semi", "ingest_date")
-    else:
-        elsewhere = look(lines, ids, "transaction_id", "left_anti", "transaction_item_id")
-        moved = keep(elsewhere.select("transaction_item_id").join(items, "transaction_item_id", "left_semi").distinct(), "moved")
-        touched = of_headers.unionByName(look(elsewhere, moved, "transaction_item_id", "left_semi", "ingest_date"))
+    touched = look(lines, items, "transaction_item_id", "ingest_date")
     # Both are read several times: to rank them, and to look for hot keys.
-    return keep(touched, "touched-lines"), keep(look(headers, ids, "transaction_id", "left_semi", "ingest_date"), "touched-headers")
+    return keep(touched, "touched-lines"), keep(look(headers, ids, "transaction_id", "ingest_date"), "touched-headers")
 
 
 def days_of(lines: DataFrame, headers: DataFrame, on: date) -> list[date]:

@@ -6,7 +6,7 @@ import pytest
 from conftest import final_plan_of, plan_of
 from pyspark.sql import functions as F
 
-from saleslake.operators.joins import hot_values, lookup_join, measured_bytes, salt_counts, salted_join, sliced_lookup
+from saleslake.operators.joins import hot_values, lookup_join, marked, measured_bytes, salt_counts, salted_join, sliced_lookup
 
 LEFT = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 50}", i % 10) for i in range(3000)]
 # Two intervals per key, and keys that no left row has; `k7` is missing on this side.
@@ -123,3 +123,17 @@ def test_sliced_lookup_matches_brute_force(spark, how, most, slice_bytes):
     assert (plan.count("BroadcastHashJoin") > 1) == (slice_bytes == 100)
     wanted = [row for row in LEFT if (row[1] in keys) == (how == "left_semi")]
     assert Counter(map(tuple, joined.collect())) == Counter(wanted)
+
+
+def test_marked_rows_hold_all_of_the_list_and_few_others(spark):
+    """Bits are broadcast, not keys, and no more of them than asked for; of each key all rows come or none."""
+    rows = spark.range(40_000).select(F.when(F.col("id") > 0, F.concat(F.lit("k"), (F.col("id") % 20_000).cast("string"))).alias("key"), "id")
+    wanted = spark.range(0, 20_000, 10).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key")).unionByName(rows.limit(1).select("key"))
+    for most_bits, others in ((2**28, 0.02), (2**14, 0.25), (1024, 1.0)):
+        found = marked(rows, wanted, "key", most_bits)
+        assert found.columns == rows.columns
+        counts = dict(map(tuple, found.groupBy("key").count().collect()))
+        assert None not in counts and counts.keys() >= {f"k{n}" for n in range(0, 20_000, 10)}
+        assert {n for key, n in counts.items() if key != "k0"} == {2}
+        assert len(counts) <= 2000 + others * 18_000
+    assert marked(rows, wanted.limit(0), "key").isEmpty()

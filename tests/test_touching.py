@@ -2,7 +2,8 @@
 
 from conftest import d, rows_of, staged
 
-from saleslake.plans import queries
+from saleslake.operators.joins import marked
+from saleslake.plans import fact, queries
 from saleslake.plans.fact import touching
 
 DAY, LATER = d("2024-03-09"), d("2024-03-20")
@@ -56,3 +57,22 @@ def test_queries_that_build_a_fact_of_their_own_load_the_dimensions_only(spark,
     monkeypatch.setattr(queries, "star", whole)
     assert queries.dimension(spark, "/root/testdata/sf0.001", "dim_product").count() == 200
     assert queries.fact_upsert_range(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_long_lists_of_ids_are_never_broadcast_whole(spark, monkeypatch):
+    """The driver held a hash table of up to 256 MiB of ids for each list; a list that is long, and not most of all headers, is marked by bits."""
+    lines, headers = deliveries(spark)
+    lists = []
+
+    def noted(rows, found, key):
+        lists.append(key)
+        return marked(rows, found, key)
+
+    monkeypatch.setattr(fact, "marked", noted)
+    wanted = [("i1", "t1"), ("i2", "t1"), ("i2", "t2"), ("i3", "t1"), ("i3", "t3")]
+    touched, of = touching(lines, headers, [DAY], slice_bytes=5)
+    assert rows_of(touched, "transaction_item_id", "transaction_id") == wanted and rows_of(of, "transaction_id") == [("t1",)]
+    assert lists == ["transaction_id", "transaction_item_id", "transaction_id"]
+    monkeypatch.setattr(fact, "MARKED_FROM", 5)
+    assert rows_of(touching(lines, headers, [DAY], slice_bytes=5)[0], "transaction_item_id", "transaction_id") == wanted
+    assert touching(lines, headers, [LATER]) == (lines, headers)

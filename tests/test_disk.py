@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from saleslake import storage
-from saleslake.plans import pipeline, queries
+from saleslake.plans import fact, pipeline, queries
 from saleslake.session import SHUFFLE_CLEANUP, drops_shuffles
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +31,24 @@ def test_shuffles_of_steps_that_are_over_are_gone(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/dropped/1").agg(F.sum("count")).first()[0] == 1000
 
 
+def test_days_of_a_first_load_are_written_from_stored_lines(spark, monkeypatch):
+    """They were ranked, joined, dealt and written in one job, with the shuffles of all these steps on the disks at its end."""
+    seen = []
+    write = fact.write_fact
+
+    def noted(rows, *args):
+        left = shuffles(spark) - known
+        seen.append(("Window" in rows._jdf.queryExecution().optimizedPlan().toString(), left))
+        return write(rows, *args)
+
+    monkeypatch.setattr(fact, "write_fact", noted)
+    t = queries.samples(spark, SF)
+    rows = t.newest_items().count()
+    known = shuffles(spark)
+    assert queries.bootstrap_history(spark, SF).count() == rows
+    assert seen == [(False, set())]
+
+
 def test_daily_runs_drop_what_the_extracts_were_cut_out_of(spark, monkeypatch):
     """The newest lines and headers stayed until the application ended. Extracts hold all columns, compressed."""
     seen = []
@@ -46,5 +64,5 @@ def test_daily_runs_drop_what_the_extracts_were_cut_out_of(spark, monkeypatch):
 
 
 def test_all_loads_drop_their_shuffles():
-    loads = (pipeline.run_day, pipeline.backfill, pipeline.load_sales, queries.star, queries.daily_runs, queries.fact_loaded_in_steps)
+    loads = (pipeline.run_day, pipeline.backfill, pipeline.bootstrap, pipeline.load_sales, queries.star, queries.daily_runs, queries.fact_loaded_in_steps)
     assert all(hasattr(load, "__wrapped__") for load in loads)

@@ -5,7 +5,7 @@ import random
 from conftest import d, rows_of
 from pyspark.sql import functions as F
 
-from saleslake.operators import checks
+from saleslake.operators import checks, joins
 from saleslake.operators.checks import differences, reconcile
 
 SHAPE = "id string, day date, n long, text string"
@@ -104,3 +104,21 @@ def test_rows_that_do_not_differ_are_not_shuffled(spark, monkeypatch):
     found = differences(rows, changed, "id", groups=10)
     assert rows_of(found) == sorted((str(i), "changed", "n") for i in range(0, 5000, 50))
     assert picked == [100, 100]
+
+
+def test_a_long_list_of_keys_is_marked_and_not_broadcast(spark, monkeypatch):
+    """The driver held a hash table of all keys that differ; rows of other keys that come along with the marks change nothing."""
+    rng = random.Random(5)
+    expected = [(f"k{i}", DAYS[0], i, None) for i in range(3000)]
+    actual = [row if rng.random() < 0.8 else (*row[:2], -1, "c") for row in expected if rng.random() < 0.95]
+    picked = []
+
+    def coarse(side, keys, key):
+        picked.append(joins.marked(side, keys, key, 1024))
+        return picked[-1]
+
+    monkeypatch.setattr(checks, "marked", coarse)
+    monkeypatch.setattr(checks, "MARKED_FROM", 100)
+    found = differences(frame(spark, expected), frame(spark, actual), "id")
+    assert rows_of(found) == plain(expected, actual)
+    assert picked[0].count() > 2 * found.count()

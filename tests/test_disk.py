@@ -31,7 +31,7 @@ def test_shuffles_of_steps_that_are_over_are_gone(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/dropped/1").agg(F.sum("count")).first()[0] == 1000
 
 
-def test_days_of_a_first_load_are_written_from_stored_lines(spark, monkeypatch):
+def test_days_of_a_large_first_load_are_written_from_stored_lines(spark, monkeypatch):
     """They were ranked, joined, dealt and written in one job, with the shuffles of all these steps on the disks at its end."""
     seen = []
     write = fact.write_fact
@@ -42,6 +42,7 @@ def test_days_of_a_first_load_are_written_from_stored_lines(spark, monkeypatch):
         return write(rows, *args)
 
     monkeypatch.setattr(fact, "write_fact", noted)
+    monkeypatch.setattr(pipeline, "LARGE_LOAD", 5000)
     t = queries.samples(spark, SF)
     rows = t.newest_items().count()
     known = shuffles(spark)
